@@ -1 +1,6 @@
 """Whole jobs and the registered queries."""
+
+from vantage.plans.registry import ORACLE, QUERIES
+from vantage.plans import density_queries  # noqa: F401  (registers)
+
+__all__ = ["ORACLE", "QUERIES"]
