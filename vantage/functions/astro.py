@@ -45,10 +45,21 @@ def _instant(julian_date: Column) -> Column:
     return F.timestamp_millis(ms)
 
 
-def with_sun(df, ts: str, lat: str, lon: str, name: str = "sun"):
+def computed_once(df, **columns: Column):
+    """Add columns through a one-row generator.
+
+    Projections above it see plain attributes, so the optimizer cannot copy
+    these expressions into lambdas or filters that use them many times.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def with_sun(df, ts: str, lat: str, lon: str, tz: str, name: str = "sun"):
     """Add a struct of sun times for the day around ``ts``; fields are null when undefined.
 
-    Intermediate columns are separate projections, so each step is computed once.
+    ``clock`` holds the same times as fractional local hours. Intermediate
+    columns are separate projections, so each step is computed once.
     """
     transit, declination = _solar(F.col(ts), F.col(lon))
     out = df.withColumns({"_transit": transit, "_declination": declination})
@@ -57,11 +68,11 @@ def with_sun(df, ts: str, lat: str, lon: str, name: str = "sun"):
         for key, deg in (("horizon", HORIZON_DEG), ("golden", GOLDEN_DEG), ("blue", BLUE_DEG))
     })
     at = lambda key, sign: _instant(F.col("_transit") + F.col(f"_arc_{key}") * sign)
-    out = out.withColumns({
-        "_rise": at("horizon", -1), "_set": at("horizon", 1),
-        "_gold_rise": at("golden", -1), "_gold_set": at("golden", 1),
-        "_blue_rise": at("blue", -1), "_blue_set": at("blue", 1),
-    })
+    times = {
+        "rise": at("horizon", -1), "set": at("horizon", 1), "gold_rise": at("golden", -1),
+        "gold_set": at("golden", 1), "blue_rise": at("blue", -1), "blue_set": at("blue", 1),
+    }
+    out = out.withColumns({f"_{key}": c for key, c in times.items()})
     minutes = half_up((F.unix_millis("_set") - F.unix_millis("_rise")) / 60000.0)
     day_length = F.concat(
         F.floor(minutes / 60).cast("string"), F.lit("h "), F.lpad((minutes % 60).cast("string"), 2, "0"),
@@ -70,6 +81,7 @@ def with_sun(df, ts: str, lat: str, lon: str, name: str = "sun"):
     span = lambda a, b: F.when(
         F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("start"), F.col(b).alias("end"))
     )
+    clock = lambda c: F.hour(local(c, tz)) + F.minute(local(c, tz)) / 60.0
     sun = F.struct(
         F.col("_rise").alias("sunrise"), F.col("_set").alias("sunset"),
         F.when(F.col("_rise").isNotNull(), _instant(F.col("_transit"))).alias("solar_noon"),
@@ -78,9 +90,9 @@ def with_sun(df, ts: str, lat: str, lon: str, name: str = "sun"):
         span("_gold_set", "_set").alias("golden_evening"),
         span("_blue_rise", "_rise").alias("blue_morning"),
         span("_set", "_blue_set").alias("blue_evening"),
+        F.struct(*[clock(F.col(f"_{key}")).alias(key) for key in times]).alias("clock"),
     )
-    helpers = [c for c in out.columns if c not in df.columns]
-    return out.withColumn(name, sun).drop(*helpers)
+    return computed_once(out, **{name: sun}).select(*[c for c in df.columns if c != name], name)
 
 
 def moon(ts: Column) -> Column:
@@ -99,18 +111,14 @@ def moon(ts: Column) -> Column:
     )
 
 
-def light_band(sun: Column, hour: Column, tz: str) -> Column:
+def light_band(sun: Column, hour: Column) -> Column:
     """golden, blue, day or night at the middle of a local hour."""
-    clock = lambda ts: F.hour(local(ts, tz)) + F.minute(local(ts, tz)) / 60.0
-    t = hour + 0.5
-    inside = lambda w: F.coalesce(
-        t.between(clock(sun[w]["start"]), clock(sun[w]["end"])), F.lit(False)
-    )
-    daytime = t.between(clock(sun["sunrise"]), clock(sun["sunset"]))
+    t, clock = hour + 0.5, sun["clock"]
+    inside = lambda a, b: F.coalesce(t.between(clock[a], clock[b]), F.lit(False))
     return (
-        F.when(inside("golden_morning") | inside("golden_evening"), "golden")
-        .when(inside("blue_morning") | inside("blue_evening"), "blue")
-        .when(sun["sunrise"].isNull() | daytime, "day")
+        F.when(inside("rise", "gold_rise") | inside("gold_set", "set"), "golden")
+        .when(inside("blue_rise", "rise") | inside("set", "blue_set"), "blue")
+        .when(clock["rise"].isNull() | inside("rise", "set"), "day")
         .otherwise("night")
     )
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 def parse_time(text: Column) -> Column:
     """ISO-like or RFC 2822 text to timestamp, null when it is not a time."""
+    # The weekday name is redundant, and a named zone here can only be UTC.
+    mail = F.regexp_replace(F.regexp_replace(text, "^[A-Z][a-z]{2}, *", ""), "(GMT|UTC|Z)$", "+0000")
     return F.coalesce(
-        text.try_cast("timestamp"),
-        F.try_to_timestamp(text, F.lit("EEE, d MMM yyyy HH:mm:ss Z")),
+        text.try_cast("timestamp"), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z"))
     )
 
 

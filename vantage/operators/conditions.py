@@ -16,7 +16,7 @@ def conditions(locations: DataFrame, forecast: DataFrame, as_of: Column, tz: str
     days = locations.withColumn("day_no", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1)))).withColumn(
         "at", as_of + F.make_dt_interval(days=F.col("day_no"))
     )
-    lit = with_sun(days, "at", "lat", "lon", "sun").withColumns({
+    lit = with_sun(days, "at", "lat", "lon", tz).withColumns({
         "moon": moon(F.col("at")), "date": F.date_format(sun_date(F.col("at"), tz), "yyyy-MM-dd"),
     })
     return lit.join(forecast, ["location", "date"], "left")

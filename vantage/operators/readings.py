@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage import vocab
-from vantage.functions.astro import light_band, with_sun
+from vantage.functions.astro import computed_once, light_band, with_sun
 from vantage.functions.text import mentions
 from vantage.functions.shoot import best_window, raw_score, verdict
 from vantage.functions.times import half_up, local_date, local_hour, local_weekday, weekday
@@ -39,8 +39,8 @@ def venue_readings(venues: DataFrame, readings: DataFrame, as_of: Column, tz: st
     latest = latest_readings(readings).drop("obs_id")
     profile = F.col("profile")
     out = venues.join(latest, READING_KEY, "left").withColumn("_at", F.coalesce(F.col("ts"), as_of))
-    out = with_sun(out, "_at", "lat", "lon", "_sun")
-    out = out.withColumn("_light", light_band(F.col("_sun"), local_hour(F.col("_at"), tz), tz))
+    out = with_sun(out, "_at", "lat", "lon", tz, "_sun")
+    out = computed_once(out, _light=light_band(F.col("_sun"), local_hour(F.col("_at"), tz)))
     busy = F.coalesce("live", "typical")
     estimated = F.col("live").isNull() & F.col("typical").isNotNull()
     return out.select(
@@ -81,9 +81,9 @@ def week_light(venues: DataFrame, as_of: Column, tz: str) -> DataFrame:
     out = venues.select("area", "cid", "name", "lat", "lon").withColumn(
         "_step", F.explode(F.sequence(F.lit(0), F.lit(6)))
     ).withColumns({"_at": as_of + F.make_dt_interval(days=step), "dow": weekday(F.date_add(today, step))})
-    out = with_sun(out, "_at", "lat", "lon", "_sun")
-    lights = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: light_band(F.col("_sun"), h, tz))
-    return out.select("area", "cid", "name", "dow", lights.alias("light_by_hour"))
+    out = with_sun(out, "_at", "lat", "lon", tz, "_sun")
+    lights = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: light_band(F.col("_sun"), h))
+    return computed_once(out, light_by_hour=lights).select("area", "cid", "name", "dow", "light_by_hour")
 
 
 def best_windows(venues: DataFrame, light: DataFrame) -> DataFrame:
@@ -101,9 +101,9 @@ def best_windows(venues: DataFrame, light: DataFrame) -> DataFrame:
     scores = F.transform(
         "_hours", lambda h: raw_score(F.element_at(F.col("_curve"), h), none, F.get("light_by_hour", h))
     )
-    return joined.withColumn("_scores", scores).select(
-        "area", "cid", "name", "dow", best_window(F.col("_hours"), F.col("_scores")).alias("best")
-    )
+    scored = computed_once(joined, _scores=scores)
+    best = computed_once(scored, best=best_window(F.col("_hours"), F.col("_scores")))
+    return best.select("area", "cid", "name", "dow", "best")
 
 
 def venue_history(venues: DataFrame, readings: DataFrame, as_of: Column, tz: str, n_days: int = 14) -> dict[str, DataFrame]:
