@@ -30,7 +30,10 @@ TOWNS = ["Kelso", "Orange", "Robin Hill", ""]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One of the test tables; zone-less times are read as UTC instants."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    zoneless = [c for c, kind in rows.dtypes if kind == "timestamp_ntz"]
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else rows
 
 
 def as_of():

@@ -455,7 +455,26 @@ def departed(spark, sf):
 # --- groups -----------------------------------------------------------------------------------------------
 
 
-@query("e16_duplicate_groups")
+_DISTANCE = haversine_sql("x.lat", "x.lng", "p.lat", "p.lng")
+
+
+@query("e16_duplicate_groups", f"""
+WITH RECURSIVE {LISTING_SQL},
+k AS (SELECT id, lat, lng, {_sub(TITLE_KEY_SQL, 'title')} || '|' || strftime(start_ts, '%Y-%m-%d') AS dkey FROM listing),
+points AS (SELECT dkey, lat, lng, min(id) AS id FROM k WHERE lat IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY dkey ORDER BY id) AS n FROM points),
+walk AS (
+  SELECT dkey, n, id AS founder, [{{'lat': lat, 'lng': lng, 'f': id}}] AS members FROM p WHERE n = 1
+  UNION ALL
+  SELECT dkey, n, founder, list_append(before, {{'lat': lat, 'lng': lng, 'f': founder}}) FROM (
+    SELECT p.dkey, p.n, p.lat, p.lng, w.members AS before, coalesce(list_min(list_filter(
+      list_distinct(list_transform(w.members, lambda x: x.f)),
+      lambda g: len(list_filter(w.members, lambda x: x.f = g AND {_DISTANCE} > 0.3)) = 0)), p.id) AS founder
+    FROM walk w JOIN p ON p.dkey = w.dkey AND p.n = w.n + 1)),
+clusters AS (SELECT dkey, founder, row_number() OVER (PARTITION BY dkey ORDER BY founder) - 1 AS i FROM (SELECT DISTINCT dkey, founder FROM walk)),
+placed AS (SELECT p.dkey, p.lat, p.lng, c.i FROM p JOIN walk w ON w.dkey = p.dkey AND w.n = p.n JOIN clusters c ON c.dkey = p.dkey AND c.founder = w.founder)
+SELECT k.id, substr(sha1(k.dkey || '#' || coalesce(placed.i, 0)), 1, 16) AS dedupe_group
+FROM k LEFT JOIN placed ON placed.dkey = k.dkey AND placed.lat = k.lat AND placed.lng = k.lng""")
 def duplicate_groups(spark, sf):
     return dedupe.assign_groups(b.listings(spark, sf)).select("id", "dedupe_group")
 

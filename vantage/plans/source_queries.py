@@ -540,7 +540,7 @@ def slugs(spark, sf):
 
 
 def _esc(expr: str) -> str:
-    return f"regexp_replace(replace(replace(replace({expr}, '\\', '\\\\'), ';', '\;'), ',', '\\,'), '\\r?\\n', '\\\\n', 'g')"
+    return f"regexp_replace(replace(replace(replace({expr}, '\\', '\\\\'), ';', '\\;'), ',', '\\,'), '\\r?\\n', '\\\\n', 'g')"
 
 
 @query("a17_calendar_entries", f"""

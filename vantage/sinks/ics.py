@@ -12,7 +12,7 @@ def escape(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     out = F.replace(out, F.lit(";"), F.lit("\\;"))
     out = F.replace(out, F.lit(","), F.lit("\\,"))
-    return F.regexp_replace(out, "\r?\n", r"\\\\n")
+    return F.regexp_replace(out, "\r?\n", r"\\n")
 
 
 def stamp(ts: Column) -> Column:
