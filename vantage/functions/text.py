@@ -61,13 +61,13 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 def fold_accents(c: Column) -> Column:
     """Lower-case and reduce to base letters (compatibility decomposition)."""
     source, target, multi = _fold_tables()
-    low = F.lower(c)
+    low = F.translate(F.lower(c), source, target)
     table = F.str_to_map(F.lit("\n".join(f"{a}\t{b}" for a, b in multi.items())), F.lit("\n"), F.lit("\t"))
     spelled = F.array_join(
         F.transform(F.split(low, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
     )
-    expanded = F.when(low.rlike("[" + "".join(multi) + "]"), spelled).otherwise(low)
-    return F.translate(expanded, source, target)
+    # Few texts hold anything beyond ASCII once single characters are replaced.
+    return F.when(low.rlike(r"[^\x00-\x7f]"), spelled).otherwise(low)
 
 
 def _plain_words(c: Column) -> Column:

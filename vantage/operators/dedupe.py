@@ -7,8 +7,9 @@ while the work is spread out:
 * Events at one position always share a group, and events without a position
   always land in the first group, so only the first event of each distinct
   position takes part.
-* A decision depends only on positions within 600 metres, so a key is cut into
-  tiles with a margin. Tiles are folded independently; where margins overlap,
+* Keys with few positions are folded inside one row.
+* For the rest, a decision depends only on positions within 600 metres, so a
+  key is cut into tiles with a margin. Tiles are folded independently; where margins overlap,
   tiles exchange results until nothing changes. Since every decision looks only
   at smaller ids, the unchanged state is the sequential result.
 """
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantage.functions.geo import EARTH_KM
+from vantage.functions.geo import EARTH_KM, haversine_km
 from vantage.functions.text import title_key
 from vantage.functions.times import utc_date
 from vantage.operators.ranking import rank_by_id
@@ -134,25 +135,53 @@ def _founders(points: DataFrame, tile_deg: float) -> DataFrame:
             return settled.unionByName(current)
 
 
-def assign_groups(events: DataFrame, tile_deg: float = TILE_DEG) -> DataFrame:
-    """Add dedupe_group to events (id, title, start_ts, lat, lng, ...)."""
+def _fold_row(positions: Column) -> Column:
+    """First-fit over a short id-ordered array of positions: array<struct<id, founder>>."""
+    start = F.array().cast("array<struct<id:bigint,lat:double,lng:double,founder:bigint>>")
+
+    def add(placed: Column, p: Column) -> Column:
+        far = F.filter(placed, lambda m: haversine_km(m["lat"], m["lng"], p["lat"], p["lng"]) > NEAR_KM)
+        free = F.array_except(
+            F.transform(placed, lambda m: m["founder"]), F.transform(far, lambda m: m["founder"]))
+        return F.concat(placed, F.array(F.struct(
+            p["id"].alias("id"), p["lat"].alias("lat"), p["lng"].alias("lng"),
+            F.coalesce(F.array_min(free), p["id"]).alias("founder"))))
+
+    return F.aggregate(positions, start, add)
+
+
+def assign_groups(events: DataFrame, tile_deg: float = TILE_DEG, row_limit: int = 64) -> DataFrame:
+    """Add dedupe_group to events (id, title, start_ts, lat, lng, ...).
+
+    Keys with up to ``row_limit`` positions are folded in a row, larger ones in tiles.
+    """
     keyed = events.withColumn("_key", event_key(F.col("title"), F.col("start_ts")))
-    points = (
+    points = checkpointed(
         keyed.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
         .groupBy(F.col("_key").alias("key"), "lat", "lng").agg(F.min("id").alias("id"))
     )
     per_key = points.groupBy("key").agg(F.count(F.lit(1)).alias("_positions"))
-    several = per_key.filter(F.col("_positions") > 1).select("key")
-    contested = checkpointed(points.join(several, "key", "left_semi"))
-    founders = _founders(contested, tile_deg)
+    few = per_key.filter(F.col("_positions").between(2, row_limit)).select("key")
+    many = per_key.filter(F.col("_positions") > row_limit).select("key")
+    in_row = (
+        points.join(few, "key", "left_semi").groupBy("key")
+        .agg(F.array_sort(F.collect_list(F.struct("id", "lat", "lng"))).alias("_p"))
+        .select("key", F.explode(_fold_row(F.col("_p"))).alias("_m"))
+        .select("key", "_m.id", "_m.founder")
+    )
+    founders = in_row
+    crowded = checkpointed(points.join(many, "key", "left_semi"))
+    if not crowded.isEmpty():
+        founders = founders.unionByName(_founders(crowded, tile_deg))
     indexed = rank_by_id(
         founders.select("key", "founder").distinct(), ["key"], "founder", "_index"
     )
+    # Everything else - one position, or none - is in the first group of its key.
     positions = (
-        contested.join(founders, ["key", "id"]).join(indexed, ["key", "founder"])
+        points.join(founders, ["key", "id"]).join(indexed, ["key", "founder"])
+        .filter(F.col("_index") > 0)
         .select(F.col("key").alias("_key"), "lat", "lng", "_index")
     )
-    # Everything else - one position, or none - is in the first group of its key.
     return (
         keyed.join(positions, ["_key", "lat", "lng"], "left")
         .withColumn("dedupe_group", group_id(F.col("_key"), F.coalesce(F.col("_index"), F.lit(0))))

@@ -51,3 +51,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """
     fits = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if fits else df
+
+
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Rebalance an input that arrives in fewer partitions than there are cores.
+
+    Meant ahead of costly row-local work on small files. An input with at least
+    two partitions per core - anything large - is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -19,26 +19,18 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _type_of(v: Column) -> Column:
-    """OBJECT<..>, ARRAY<..>, STRING, ... of a variant, null when absent."""
-    return F.schema_of_variant(v)
-
-
 def _field(v: Column, key: str) -> Column:
     return _get(v, f'$["{key}"]', "variant")
 
 
 def _as_string(v: Column) -> Column:
     """Text of a JSON string, null for every other kind of value."""
-    return F.when(_type_of(v) == "STRING", v.try_cast("string"))
+    return F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string"))
 
 
 def _as_array(v: Column) -> Column:
-    return F.when(F.startswith(_type_of(v), F.lit("ARRAY")), _get(v, "$", "array<variant>"))
-
-
-def _is_object(v: Column) -> Column:
-    return F.startswith(_type_of(v), F.lit("OBJECT"))
+    """Items of a JSON array, null for every other kind of value."""
+    return _get(v, "$", "array<variant>")
 
 
 def _children(node: Column) -> Column:
@@ -53,8 +45,7 @@ def _children(node: Column) -> Column:
         ]),
         lambda c: c["v"].isNotNull(),
     )
-    none = F.array().cast("array<struct<path:array<int>,v:variant>>")
-    return F.coalesce(items, F.when(_is_object(v), fields), none)
+    return F.coalesce(items, fields)
 
 
 def _is_event(v: Column) -> Column:
@@ -79,7 +70,7 @@ def _first_string(v: Column, depth: int = 2) -> Column:
 
 
 def _number(v: Column) -> Column:
-    numeric = _type_of(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    numeric = F.schema_of_variant(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
     return F.coalesce(F.when(numeric, v.try_cast("double")), leading_number(_as_string(v)))
 
 
@@ -137,7 +128,8 @@ def page_events(pages: DataFrame) -> DataFrame:
         F.col("_name").alias("title"), F.coalesce(_as_string(_field(v, "description")), F.lit("")).alias("description"),
         iso(F.col("_start")).alias("start_time"), iso(F.col("_end")).alias("end_time"),
         F.coalesce(_as_string(loc), _as_string(_field(loc, "name")), F.lit("")).alias("venue_name"),
-        F.coalesce(_as_string(address), F.when(_is_object(address), parts), F.lit("")).alias("address"),
+        # Without address fields the joined parts are empty.
+        F.coalesce(_as_string(address), parts, F.lit("")).alias("address"),
         _number(_field(geo, "latitude")).alias("lat"), _number(_field(geo, "longitude")).alias("lng"),
         url.alias("url"), F.coalesce(_first_string(_field(v, "image")), F.lit("")).alias("image_url"),
         F.coalesce(F.when(category != "", category), F.lit("Event")).alias("category"),
