@@ -95,14 +95,13 @@ def best_windows(venues: DataFrame, light: DataFrame) -> DataFrame:
     joined = light.join(days_of, ["area", "cid"]).withColumn(
         "_curve", F.try_element_at(F.col("_by_day"), F.get(names, F.col("dow")))
     ).filter(F.size("_curve") > 0)
-    hour_list = F.array_sort(F.map_keys("_curve"))
-    joined = joined.withColumn("_hours", hour_list)
+    bars = F.array_sort(F.map_entries("_curve"))
+    joined = computed_once(joined, _bars=bars)
     none = F.lit(None).cast("int")
-    scores = F.transform(
-        "_hours", lambda h: raw_score(F.element_at(F.col("_curve"), h), none, F.get("light_by_hour", h))
-    )
-    scored = computed_once(joined, _scores=scores)
-    best = computed_once(scored, best=best_window(F.col("_hours"), F.col("_scores")))
+    scored = computed_once(joined, _scores=F.transform(
+        "_bars", lambda e: raw_score(e["value"], none, F.get("light_by_hour", e["key"]))))
+    hours_of = F.transform("_bars", lambda e: e["key"])
+    best = computed_once(scored, best=best_window(hours_of, F.col("_scores")))
     return best.select("area", "cid", "name", "dow", "best")
 
 
