@@ -267,6 +267,8 @@ def test_manual_merge_is_idempotent(spark):
     marks = actions.merge_groups(df, ask)
     name = "m" + hashlib.sha1(b"1,2,3").hexdigest()[:15]
     assert {r.id: r.manual_group for r in marks.collect()} == {1: name, 2: name, 3: name}
+    large = actions.merge_groups(df, ask, max_listed=2).collect()
+    assert {r.id for r in large} == {1, 2, 3} and len({r.manual_group for r in large}) == 1 and large[0].manual_group != name
     again = merged.with_group(actions.apply_actions(df, marks))
     ask2 = spark.createDataFrame([(1, name)], "request_id int, group_key string")
     assert {r.manual_group for r in actions.merge_groups(again, ask2).collect()} == {name}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantage.functions.geo import grid_of
+from vantage.functions.geo import box_from_radius, grid_of
 from vantage.functions.shoot import ramp_colour
 from vantage.functions.text import slug
 from vantage.functions.times import half_up, iso
-from vantage.functions.geo import box_from_radius
 from vantage.operators.ranking import nearest_rank
+from vantage.session import broadcast_if_small
 
 # Areas come from settings; a table above this size is joined without a hint.
 MAX_BROADCAST_AREAS = 10_000
@@ -55,7 +55,7 @@ def locate(observations: DataFrame, areas: DataFrame) -> DataFrame:
         F.col("slug").alias("area"), F.col("bbox.south").alias("south"), F.col("bbox.west").alias("west"),
         "cell_metres", "kernel_metres", grid_of(F.col("bbox"), F.col("cell_metres")).alias("g"),
     )
-    cell = observations.join(sized, "area").withColumns({
+    cell = observations.join(broadcast_if_small(sized, MAX_BROADCAST_AREAS), "area").withColumns({
         "row": F.floor((F.col("lat") - F.col("south")) / F.col("g.d_lat")),
         "col": F.floor((F.col("lon") - F.col("west")) / F.col("g.d_lon")),
     })
@@ -146,7 +146,7 @@ def cell_bounds(grid: DataFrame, areas: DataFrame) -> DataFrame:
     sized = areas.select(
         F.col("slug").alias("area"), "bbox", grid_of(F.col("bbox"), F.col("cell_metres")).alias("g")
     )
-    return grid.join(sized, "area").withColumns({
+    return grid.join(broadcast_if_small(sized, MAX_BROADCAST_AREAS), "area").withColumns({
         "south": F.col("bbox.south") + F.col("r") * F.col("g.d_lat"),
         "north": F.col("bbox.south") + (F.col("r") + 1) * F.col("g.d_lat"),
         "west": F.col("bbox.west") + F.col("c") * F.col("g.d_lon"),

@@ -54,8 +54,11 @@ def upsert_events(
         "title": cut(F.col("title"), title_chars),
         "description": cut(F.col("description"), description_chars),
     })
-    # Ids for unseen keys only; the current table contributes its key columns.
-    unseen = fresh.select(order[0], *EVENT_KEY).join(current.select(*EVENT_KEY), EVENT_KEY, "left_anti")
+    # Ids for unseen keys only; both sides contribute just their key and order columns.
+    arrived = incoming.groupBy(*EVENT_KEY).agg(F.max(F.struct(*order)).alias("_last")).select(
+        *EVENT_KEY, F.col(f"_last.{order[0]}").alias(order[0])
+    )
+    unseen = arrived.join(current.select(*EVENT_KEY), EVENT_KEY, "left_anti")
     top = current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     new_ids = ordered_positions(unseen, [order[0], *EVENT_KEY], "_position").select(
         *EVENT_KEY, "_position"

@@ -8,7 +8,7 @@ from vantage import vocab
 from vantage.functions import geo, shoot, text
 from vantage.functions.astro import moon, with_sun
 from vantage.operators import conditions as cond
-from vantage.operators import grid, views
+from vantage.operators import grid, merged, views
 from vantage.plans import bindings as b
 from vantage.plans.bindings import haversine_sql
 from vantage.plans.light_sql import label_sql, score_sql, sun_sql, why_sql
@@ -584,3 +584,35 @@ def traffic_weights(spark, sf):
     return b.table(spark, sf, "events").select(
         "event_id", F.round(shoot.jam_severity(k % 8, k * 9 - 1), 4).alias("severity"),
         F.round(shoot.alert_weight(F.get(kinds, k % 9), F.when(k % 3 == 0, (k % 14).cast("double"))), 4).alias("weight"))
+
+
+@query("b13_h32_picked_areas", """
+SELECT s_name AS name, 'supplier-' || lpad(s_suppkey::VARCHAR, 9, '0') AS slug, CASE WHEN s_suppkey % 3 = 0 THEN 90 ELSE 150 END::DOUBLE AS cell_metres,
+  300::DOUBLE AS kernel_metres FROM supplier WHERE s_suppkey % 5 <> 0 AND s_name IN ('Supplier#000000003', 'Supplier#000000004', 'Supplier#000000005')""")
+def picked_areas(spark, sf):
+    k = F.col("s_suppkey")
+    settings = b.table(spark, sf, "supplier").select(
+        F.col("s_name").alias("name"), F.when(k % 5 != 0, F.lit(-33.4)).alias("lat"), F.lit(149.5).alias("lng"),
+        F.lit(None).cast("double").alias("radius_km"), F.when(k % 3 == 0, 90.0).alias("cell_metres"), F.lit(None).cast("double").alias("kernel_metres"),
+        F.lit(None).cast("struct<south:double,west:double,north:double,east:double>").alias("bbox"))
+    chosen = grid.pick_areas(grid.area_dimension(settings), [" supplier-000000003", "SUPPLIER#000000004", "supplier-000000005", ""])
+    return chosen.drop("bbox")
+
+
+@query("b4_nearby_listings", f"""
+WITH {b.LISTING_SQL} SELECT source, count(*) AS n FROM listing
+WHERE lat IS NULL OR {haversine_sql('-33.4193::DOUBLE', '149.5775::DOUBLE', 'lat', 'lng')} <= 2.5::DOUBLE * 1.5 GROUP BY source""")
+def nearby(spark, sf):
+    return structured.nearby_only(b.listings(spark, sf), b.AREAS[0]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g5_text_links", f"""
+WITH {_HEADS}, told AS (SELECT DISTINCT group_key, regexp_replace(u, '[.,;:!?)\\]]+$', '') AS url FROM heads,
+  unnest(regexp_extract_all(description || ' ' || url || ' https://extra.example.org/' || member_count || '.', 'https?://[^\\s"''<>)\\]]+')) t(u))
+SELECT group_key, url FROM told WHERE url NOT IN (SELECT url FROM grouped WHERE grouped.group_key = told.group_key)""")
+def text_links(spark, sf):
+    rows = b.grouped_listings(spark, sf)
+    heads = merged.merged_heads(rows).withColumn("description", F.concat(
+        "description", F.lit(" "), "url", F.lit(" https://extra.example.org/"), F.col("member_count").cast("string"), F.lit(".")))
+    links = views.event_links(heads, merged.merged_members(rows))
+    return links.filter(~F.col("from_source")).select("group_key", "url")
