@@ -74,27 +74,35 @@ def daily_coverage(readings: DataFrame, venues: DataFrame, tz: str) -> DataFrame
     return week.join(counted, [*READING_KEY, "dow"], "left").fillna(0, ["readings", "live"])
 
 
-def week_light(venues: DataFrame, as_of: Column, tz: str) -> DataFrame:
-    """(area, cid, dow, hours array of light) using the next date of each weekday."""
+def _venue_week(venues: DataFrame, as_of: Column, tz: str, **carried: Column) -> DataFrame:
+    """Each venue seven times, with the light of every hour on the next date of each weekday.
+
+    ``carried`` columns may use dow; they travel along, so the weekly profile
+    needs no join.
+    """
     today = local_date(as_of, tz)
     step = F.col("_step")
-    out = venues.select("area", "cid", "name", "lat", "lon").withColumn(
-        "_step", F.explode(F.sequence(F.lit(0), F.lit(6)))
-    ).withColumns({"_at": as_of + F.make_dt_interval(days=step), "dow": weekday(F.date_add(today, step))})
+    out = venues.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumns({
+        "_at": as_of + F.make_dt_interval(days=step), "dow": weekday(F.date_add(today, step)),
+    })
+    keys = ["area", "cid", "name", "dow"]
+    out = out.select(*keys, "lat", "lon", "_at", *[c.alias(n) for n, c in carried.items()])
     out = with_sun(out, "_at", "lat", "lon", tz, "_sun")
     lights = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: light_band(F.col("_sun"), h))
-    return computed_once(out, light_by_hour=lights).select("area", "cid", "name", "dow", "light_by_hour")
+    return computed_once(out, light_by_hour=lights).select(*keys, "light_by_hour", *carried)
 
 
-def best_windows(venues: DataFrame, light: DataFrame) -> DataFrame:
+def week_light(venues: DataFrame, as_of: Column, tz: str) -> DataFrame:
+    """(area, cid, name, dow, light_by_hour) for every venue and weekday."""
+    return _venue_week(venues, as_of, tz)
+
+
+def best_windows(venues: DataFrame, as_of: Column, tz: str) -> DataFrame:
     """Best shooting window per venue and weekday, from the weekly profile."""
     names = F.array(*[F.lit(d) for d in vocab.DAY_NAMES])
-    days_of = venues.select("area", "cid", F.col("profile.by_day").alias("_by_day")).filter(
-        F.col("_by_day").isNotNull()
-    )
-    joined = light.join(days_of, ["area", "cid"]).withColumn(
-        "_curve", F.try_element_at(F.col("_by_day"), F.get(names, F.col("dow")))
-    ).filter(F.size("_curve") > 0)
+    curve = F.try_element_at(F.col("profile.by_day"), F.get(names, F.col("dow")))
+    profiled = venues.filter(F.col("profile").isNotNull())
+    joined = _venue_week(profiled, as_of, tz, _curve=curve).filter(F.size("_curve") > 0)
     bars = F.array_sort(F.map_entries("_curve"))
     joined = computed_once(joined, _bars=bars)
     none = F.lit(None).cast("int")
@@ -115,7 +123,7 @@ def venue_history(venues: DataFrame, readings: DataFrame, as_of: Column, tz: str
         venues.select(*READING_KEY).distinct(), READING_KEY, "left_semi"
     )
     light = week_light(venues, as_of, tz)
-    windows = best_windows(venues, light).select("area", "name", "dow", "best")
+    windows = best_windows(venues, as_of, tz).select("area", "name", "dow", "best")
     summary = daily_coverage(recent, venues, tz).join(windows, [*READING_KEY, "dow"], "left")
     newest = recent.groupBy(*READING_KEY).agg(
         F.max_by(F.struct("live", "typical"), F.struct("ts", "obs_id")).alias("_r"), F.max("ts").alias("ts")

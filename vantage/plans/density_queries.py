@@ -206,8 +206,7 @@ WITH {_WINDOWS}
 SELECT cid, dow::INTEGER AS dow, from_hour::INTEGER AS from_hour, to_hour::INTEGER AS to_hour,
   round(top, 4) AS score, {label_sql('top')} AS label FROM windows""")
 def windows(spark, sf):
-    venues = b.venues(spark, sf)
-    best = rd.best_windows(venues, rd.week_light(venues, b.as_of(), b.TZ)).filter(F.col("best").isNotNull())
+    best = rd.best_windows(b.venues(spark, sf), b.as_of(), b.TZ).filter(F.col("best").isNotNull())
     return best.select("cid", "dow", "best.from_hour", "best.to_hour", F.round("best.score", 4).alias("score"), "best.label")
 
 
