@@ -126,6 +126,13 @@ def test_crowd_curve_and_verdicts(evaluate):
     assert got[6].score > got[7].score
 
 
+def test_profile_score_equals_raw_score(evaluate):
+    rows = [(p, light) for p in (*range(0, 101), 120) for light in ("golden", "night", None)]
+    none = F.lit(None).cast("int")
+    both = evaluate(lambda p, l: F.array(shoot.profile_score(p, l), shoot.raw_score(p, none, l)), rows, "p int, l string")
+    assert all(a == b for a, b in both)
+
+
 def test_best_window(evaluate):
     def window(pairs):
         hours = F.array(*[F.lit(h) for h, _ in pairs])

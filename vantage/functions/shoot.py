@@ -58,6 +58,23 @@ def raw_score(busy: Column, typical: Column, light: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+def _curve_at(percent: int) -> float:
+    for (x0, y0), (x1, y1) in zip(vocab.CROWD_CURVE, vocab.CROWD_CURVE[1:]):
+        if percent <= x1:
+            return y0 + (percent - x0) * (y1 - y0) / (x1 - x0)
+    return vocab.CROWD_CURVE[-1][1]
+
+
+def profile_score(percent: Column, light: Column) -> Column:
+    """raw_score of a whole percentage without a typical value, as a table lookup.
+
+    Light enough to run inside a lambda over the hours of a weekly profile.
+    """
+    curve = F.array(*[F.lit(_curve_at(p)) for p in range(101)])
+    at = F.get(curve, F.greatest(F.lit(0), F.least(F.lit(100), percent)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), at * light_factor(light)))
+
+
 def verdict(busy: Column, typical: Column, light: Column, estimated: Column) -> Column:
     """struct(score, label, why, light, surge, estimated); Unknown without a reading."""
     score = raw_score(busy, typical, light)
@@ -89,24 +106,27 @@ def best_window(hours: Column, scores: Column) -> Column:
     the row: the window ends where the first non-qualifying hour lies on each
     side of the best hour.
     """
-    pairs = F.array_sort(F.arrays_zip(hours.alias("h"), scores.alias("s")))
+    pairs = F.arrays_zip(hours.alias("h"), scores.alias("s"))
     # Highest score first, then earliest hour.
     best = F.array_min(F.transform(
         pairs, lambda p: F.struct((-p["s"]).alias("neg"), p["h"].alias("hour"))
     ))
-    score, hour = -best["neg"], best["hour"]
-    near = F.transform(F.filter(pairs, lambda p: p["s"] >= score - WINDOW_TOLERANCE), lambda p: p["h"])
-    span = F.sequence(F.array_min(hours) - 1, F.array_max(hours) + 1)
-    gaps = F.array_except(span, near)
-    first = F.array_max(F.filter(gaps, lambda h: h < hour)) + 1
-    last = F.array_min(F.filter(gaps, lambda h: h > hour)) - 1
-    return F.when(
-        score > WINDOW_FLOOR,
-        F.struct(
-            first.alias("from_hour"), last.alias("to_hour"), score.alias("score"),
-            verdict_label(score).alias("label"),
-        ),
-    )
+
+    def around(found: Column) -> Column:
+        score, hour = -found["neg"], found["hour"]
+        near = F.transform(F.filter(pairs, lambda p: p["s"] >= score - WINDOW_TOLERANCE), lambda p: p["h"])
+        gaps = F.array_except(F.sequence(F.array_min(hours) - 1, F.array_max(hours) + 1), near)
+        return F.when(
+            score > WINDOW_FLOOR,
+            F.struct(
+                (F.array_max(F.filter(gaps, lambda h: h < hour)) + 1).alias("from_hour"),
+                (F.array_min(F.filter(gaps, lambda h: h > hour)) - 1).alias("to_hour"),
+                score.alias("score"), verdict_label(score).alias("label"),
+            ),
+        )
+
+    # The lambda variable holds the best hour, so it is found once per row.
+    return F.try_element_at(F.transform(F.array(best), around), F.lit(1))
 
 
 def ramp_colour(score: Column, ramp: str = "grid") -> Column:

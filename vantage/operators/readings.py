@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vantage import vocab
 from vantage.functions.astro import computed_once, light_band, with_sun
 from vantage.functions.text import mentions
-from vantage.functions.shoot import best_window, raw_score, verdict
+from vantage.functions.shoot import best_window, profile_score, verdict
 from vantage.functions.times import half_up, local_date, local_hour, local_weekday, weekday
 from vantage.operators.validate import days, hours
 
@@ -105,9 +105,8 @@ def best_windows(venues: DataFrame, as_of: Column, tz: str) -> DataFrame:
     joined = _venue_week(profiled, as_of, tz, _curve=curve).filter(F.size("_curve") > 0)
     bars = F.array_sort(F.map_entries("_curve"))
     joined = computed_once(joined, _bars=bars)
-    none = F.lit(None).cast("int")
     scored = computed_once(joined, _scores=F.transform(
-        "_bars", lambda e: raw_score(e["value"], none, F.get("light_by_hour", e["key"]))))
+        "_bars", lambda e: profile_score(e["value"], F.get("light_by_hour", e["key"]))))
     hours_of = F.transform("_bars", lambda e: e["key"])
     best = computed_once(scored, best=best_window(hours_of, F.col("_scores")))
     return best.select("area", "cid", "name", "dow", "best")
