@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vantage import vocab
+from vantage.functions import let
 from vantage.functions.text import SPACE, squeeze, trim_all, unshout
 
 
@@ -65,9 +66,10 @@ def locality_of(address: Column) -> Column:
     parts = F.filter(F.transform(F.split(address, ","), squeeze), lambda p: p != "")
     bare = F.transform(parts, strip_region_and_postcode)
     real = F.filter(bare, lambda p: (p != "") & ~is_region(p) & ~is_postcode(p) & ~is_country(p))
-    last = F.try_element_at(real, F.lit(-1))
     street = rf"(?i)(?<!\w)({'|'.join(vocab.STREET_WORDS)})$"
-    return F.when(last.isNull() | last.rlike("^[0-9]") | last.rlike(street), "").otherwise(last)
+    named = lambda last: F.when(
+        last.isNull() | last.rlike("^[0-9]") | last.rlike(street), "").otherwise(last)
+    return let(F.try_element_at(real, F.lit(-1)), named)
 
 
 def _spelled_out(part: Column, earlier: Column) -> Column:
@@ -96,15 +98,19 @@ def clean_address(address: Column, default_region: Column) -> Column:
         return F.when(repeated | inside, kept).otherwise(F.concat(kept, F.array(part)))
 
     kept = F.aggregate(parts, F.array().cast("array<string>"), keep)
-    country_at = F.array_position(F.transform(kept, is_country), F.lit(True)).cast("int")
-    upto = F.when(country_at > 0, country_at).otherwise(F.size(kept))
-    return F.array_join(F.slice(kept, F.lit(1), upto), ", ")
+
+    def cut_after_country(kept: Column) -> Column:
+        country_at = F.array_position(F.transform(kept, is_country), F.lit(True)).cast("int")
+        upto = F.when(country_at > 0, country_at).otherwise(F.size(kept))
+        return F.array_join(F.slice(kept, F.lit(1), upto), ", ")
+
+    return let(kept, cut_after_country)
 
 
 def valid_address(address: Column, default_region: Column) -> Column:
     """Cleaned address, '' when the source only had a placeholder."""
     cleaned = clean_address(F.coalesce(address, F.lit("")), default_region)
-    return F.when(is_placeholder(cleaned), "").otherwise(cleaned)
+    return let(cleaned, lambda c: F.when(is_placeholder(c), "").otherwise(c))
 
 
 def place_label(venue: Column, locality: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vantage import vocab
+from vantage.functions import let
 from vantage.functions.times import half_up
 
 WINDOW_TOLERANCE = 0.08
@@ -125,8 +126,7 @@ def best_window(hours: Column, scores: Column) -> Column:
             ),
         )
 
-    # The lambda variable holds the best hour, so it is found once per row.
-    return F.try_element_at(F.transform(F.array(best), around), F.lit(1))
+    return let(best, around)
 
 
 def ramp_colour(score: Column, ramp: str = "grid") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage import vocab
+from vantage.functions import let
 from vantage.functions.times import local_hour
 
 NOW_LABEL = r"(?i)Currently\s+(\d+)%\s+busy,\s+usually\s+(\d+)%\s+busy"
@@ -48,27 +49,35 @@ def week_profile(day_labels: Column) -> Column:
         F.filter(F.transform(d, busy_label), lambda p: p.isNotNull()), empty))
     total = lambda d: F.aggregate(d, F.lit(0), lambda a, p: a + p["pct"])
     names = F.array(*[F.lit(d) for d in vocab.DAY_NAMES])
-    ranked = F.filter(
-        F.transform(week, lambda d, i: F.struct(total(d).alias("t"), i.alias("i"))), lambda x: x["t"] > 0
-    )
-    busiest = F.array_min(F.transform(ranked, lambda x: F.struct((-x["t"]).alias("t"), x["i"].alias("i"))))["i"]
-    quietest = F.array_min(ranked)["i"]
-    # First of the highest bars, in label order.
-    peak = F.array_min(F.transform(
-        F.get(week, busiest),
-        lambda p, j: F.struct((-p["pct"]).alias("neg"), j.alias("j"), p["hour"].alias("hour")),
-    ))
     # A repeated hour keeps its last value, as in any keyed record.
     curve = lambda d: F.map_from_entries(F.filter(
         d, lambda p, j: ~F.exists(F.filter(d, lambda _q, k: k > j), lambda q: q["hour"] == p["hour"])))
-    profile = F.struct(
-        F.get(names, busiest).alias("busiest_day"), busiest.alias("busiest_day_index"),
-        peak["hour"].alias("busiest_hour"), (-peak["neg"]).alias("busiest_peak"),
-        F.get(names, quietest).alias("quietest_day"),
-        F.transform(ranked, lambda x: F.get(names, x["i"])).alias("open_days"),
-        F.map_from_arrays(names, F.transform(week, curve)).alias("by_day"),
-    )
-    return F.when((F.size(day_labels) == 7) & (F.size(ranked) > 0), profile)
+
+    def summary(week: Column, ranked: Column, busiest: Column) -> Column:
+        quietest = F.array_min(ranked)["i"]
+        # First of the highest bars, in label order.
+        peak = F.array_min(F.transform(
+            F.get(week, busiest),
+            lambda p, j: F.struct((-p["pct"]).alias("neg"), j.alias("j"), p["hour"].alias("hour")),
+        ))
+        return F.struct(
+            F.get(names, busiest).alias("busiest_day"), busiest.alias("busiest_day_index"),
+            peak["hour"].alias("busiest_hour"), (-peak["neg"]).alias("busiest_peak"),
+            F.get(names, quietest).alias("quietest_day"),
+            F.transform(ranked, lambda x: F.get(names, x["i"])).alias("open_days"),
+            F.map_from_arrays(names, F.transform(week, curve)).alias("by_day"),
+        )
+
+    def profile(week: Column) -> Column:
+        ranked = F.filter(
+            F.transform(week, lambda d, i: F.struct(total(d).alias("t"), i.alias("i"))), lambda x: x["t"] > 0
+        )
+        busiest = lambda r: F.array_min(
+            F.transform(r, lambda x: F.struct((-x["t"]).alias("t"), x["i"].alias("i"))))["i"]
+        return let(ranked, lambda r: F.when(
+            F.size(r) > 0, let(busiest(r), lambda top: summary(week, r, top))))
+
+    return F.when(F.size(day_labels) == 7, let(week, profile))
 
 
 def panel_readings(captures: DataFrame, venues: DataFrame, tz: str, weight: float = 1.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantage.functions import let
 from vantage.functions.geo import in_box
 from vantage.operators.merge import first_per_key
 
@@ -12,7 +13,10 @@ from vantage.operators.merge import first_per_key
 def parse_place_link(href: Column) -> Column:
     """struct(name, cid, kgmid, lat, lon), null when any part is missing."""
     # A plus in a link is data, not a space, until the name is read.
-    url = F.try_url_decode(F.replace(href, F.lit("+"), F.lit("%2B")))
+    return let(F.try_url_decode(F.replace(href, F.lit("+"), F.lit("%2B"))), _place_fields)
+
+
+def _place_fields(url: Column) -> Column:
     part = lambda pattern: F.regexp_extract(url, pattern, 1)
     some = lambda c: F.when(c != "", c)
     encoded = part("!16z([A-Za-z0-9_-]+)")
@@ -21,15 +25,19 @@ def parse_place_link(href: Column) -> Column:
     )
     decoded = F.try_to_binary(padded, F.lit("base64")).cast("string")
     mid = F.coalesce(some(part("!16s([^!?]+)")), F.when(decoded.rlike(r"(?i)^/[a-z]/\w+$"), decoded))
-    fields = {
-        "name": some(F.replace(part("/maps/place/([^/]+)/"), F.lit("+"), F.lit(" "))),
-        "cid": some(part("(?i)!1s(0x[0-9a-f]+:0x[0-9a-f]+)")), "kgmid": mid,
-        "lat": part(r"!3d(-?[\d.]+)").try_cast("double"), "lon": part(r"!4d(-?[\d.]+)").try_cast("double"),
-    }
-    complete = F.lit(True)
-    for c in fields.values():
-        complete = complete & c.isNotNull()
-    return F.when(complete, F.struct(*[c.alias(n) for n, c in fields.items()]))
+    row = F.struct(
+        some(F.replace(part("/maps/place/([^/]+)/"), F.lit("+"), F.lit(" "))).alias("name"),
+        some(part("(?i)!1s(0x[0-9a-f]+:0x[0-9a-f]+)")).alias("cid"), mid.alias("kgmid"),
+        part(r"!3d(-?[\d.]+)").try_cast("double").alias("lat"), part(r"!4d(-?[\d.]+)").try_cast("double").alias("lon"),
+    )
+
+    def complete(r: Column) -> Column:
+        missing = F.lit(False)
+        for name in ("name", "cid", "kgmid", "lat", "lon"):
+            missing = missing | r[name].isNull()
+        return F.when(~missing, r)
+
+    return let(row, complete)
 
 
 def discovered_venues(links: DataFrame, boxes: DataFrame) -> DataFrame:
