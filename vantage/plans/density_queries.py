@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vantage.functions import geo, shoot, times
-from vantage.operators import grid, readings as rd, venue_life, views
+from vantage.operators import grid, readings as rd, venue_life
 from vantage.plans import bindings as b
 from vantage.plans.light_sql import label_sql, light_sql, score_sql, sun_sql, surge_sql, why_sql
 from vantage.plans.registry import query, time_sql, time_text

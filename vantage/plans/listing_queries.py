@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from vantage import vocab
-from vantage.functions import address as ad, score, text, times
+from vantage.functions import address as ad, score, text
 from vantage.operators import actions, calendar, clean, dedupe, merge, merged, place, validate, venues, views
 from vantage.plans import bindings as b
 from vantage.plans.bindings import GROUPED_SQL, LISTING_SQL, TITLE_KEY_SQL, haversine_sql
