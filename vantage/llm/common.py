@@ -75,8 +75,12 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64, at least ``n`` of each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size, inverse = max(n, 1 << 16), pow(BASE, -1, 1 << 64)
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([1], np.full(size - 1, b)), dtype=np.uint64)) for b in (BASE, inverse)]
+        size = max(n, 1 << 16)
+        _POWERS.clear()
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.multiply.accumulate(steps))
     return _POWERS[0], _POWERS[1]
 
 
