@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 WHITE = np.zeros(256, bool)
@@ -49,12 +52,45 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Arrow batches of fewer rows while the jobs inside run: long rows then take less memory at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def pack(a: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+
+
+def unpack(b: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), dtype)
+
+
+def tree_join(rows: DataFrame, dtype: type, join: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Packed arrays of one fixed size, one per row of the one column, joined in a tree; one array reaches the driver.
+
+    Without rows the result is all zeros.
+    """
+    def both(a: bytes | None, b: bytes | None) -> bytes | None:
+        return b if a is None else a if b is None else pack(join(unpack(a, dtype), unpack(b, dtype)))
+
+    total = rows.rdd.treeAggregate(None, lambda a, r: both(a, bytes(r[0])), both, 3)
+    return np.zeros(size, dtype) if total is None else unpack(total, dtype)
+
+
+def text_slices(batch: pa.RecordBatch, column: str | int, most: int = 1 << 19, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about ``most`` bytes; a longer text is a run of its own.
 
-    Null texts count as empty. Whole texts only: nothing is cut.
+    Null texts count as empty. Whole texts only: nothing is cut. ``lower`` folds the case of all letters.
     """
-    col = batch.column(column).cast(pa.large_binary())
+    col = batch.column(column)
+    col = (pc.utf8_lower(col) if lower else col).cast(pa.large_binary())
     if col.null_count:
         col = pa.array([x or b"" for x in col.to_pylist()], pa.large_binary())
     n = len(col)
