@@ -139,3 +139,16 @@ def languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least ``least`` as its score, with all their columns."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in batches:
+            found = [own.predict(t.as_py()) for t in b.column(place)]
+            yield b.filter(pa.array([la != UNKNOWN and p >= least for la, p in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import decontaminate, jaccard, langid, mixing, secrets
+from vantage.llm import decontaminate, jaccard, langid, licenses, mixing, pseudonyms, quality, resampling, secrets
 from vantage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pseudonyms")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The key of a real job comes from its secret store; this one is for the synthetic tables.
+    found = pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), b"key of the synthetic tables")
+    return found.select("doc_id", "text", _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op6_importance_resampling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
