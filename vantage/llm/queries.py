@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import decontaminate, jaccard, langid, licenses, mixing, pseudonyms, quality, resampling, secrets
+from vantage.llm import decontaminate, jaccard, langid, licenses, mixing, pseudonyms, quality, resampling, secrets, suffixes
 from vantage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_importance_resampling")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
