@@ -15,15 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.common import BASE, LOWER, mix, stored, text_slices, word_hashes, word_spans
+from vantage.llm.common import BASE, LOWER, mix, pack, small_batches, stored, text_slices, tree_join, word_hashes, word_spans
 from vantage.operators.components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -88,27 +87,15 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                         [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [bitmap(s) for s in sets], [None] * (j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(cols, kinds, strict=True)], names)
         if counts.any():
-            packed = zstandard.compress(counts.astype(np.uint32).tobytes(), 1)
+            packed = pack(counts)
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([None, None, None, None, packed], kinds, strict=True)], names)
 
     return docs.mapInArrow(scan, "id long, n long, digest binary, bitmap array<long>, sketch binary")
 
 
-def _tree(rows: DataFrame, unpack: Callable[[bytes], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], zero: np.ndarray) -> np.ndarray:
-    """The bounded arrays of all tasks joined in a tree; one array reaches the driver."""
-    def part(rs):
-        out = None
-        for r in rs:
-            out = unpack(r[0]) if out is None else join(out, unpack(r[0]))
-        return [] if out is None else [out]
-
-    parts = rows.rdd.mapPartitions(part)
-    return zero if parts.isEmpty() else parts.treeReduce(join, 3)
-
-
 def rarity(rows: DataFrame) -> np.ndarray:
     """Class of each sketch slot: the binary logarithm of its count over all documents."""
-    counts = _tree(rows.filter("sketch is not null").select("sketch"), lambda x: np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.int64), np.add, np.zeros(SKETCH, np.int64))
+    counts = tree_join(rows.filter("sketch is not null").select("sketch"), np.int64, np.add, SKETCH)
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
@@ -175,10 +162,9 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
         for b in batches:
             for c in b.columns:
                 out[_filter_slots(c.to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(out).tobytes(), 1)], pa.binary())], ["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([pack(np.packbits(out))], pa.binary())], ["bits"])
 
-    wanted = _tree(pairs.select("a", "b").mapInArrow(bits, "bits binary"), lambda x: np.frombuffer(zstandard.decompress(x), np.uint8),
-                   np.bitwise_or, np.zeros(FILTER_BITS // 8, np.uint8))
+    wanted = tree_join(pairs.select("a", "b").mapInArrow(bits, "bits binary"), np.uint8, np.bitwise_or, FILTER_BITS // 8)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,47 +203,61 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a null id, whose class is null. Equal sets always link. Rows that repeat an id get the class of their own text.
     The similarity is ``percent`` per hundred or more, decided in whole numbers.
     """
-    given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = stored(profiles(given, words))
-    known = given.filter("id is not null")
-    order = rarity(rows)
-    own = rows.filter("sketch is null").select("id", "n", "digest", "bitmap")
-    sets = stored(
-        own.filter("n > 0 and id is not null").groupBy("digest")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    )
-    tokens = (
-        prefix_tokens(known, order, words, percent).filter("n > 0").join(sets.select("id", "n"), ["id", "n"], "left_semi")
-        .select(F.explode("tokens").alias("token"), "id", "n")
-    )
-    tiles = stored(shared_tokens(tokens).withColumn("band", band(F.col("n"), percent)))
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
-        b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
-        return pairs.join(a, "a").join(b, "b").filter(may_link(F.col("na"), F.col("nb"), F.col("bits_a"), F.col("bits_b"), percent)).select("a", "b")
-
-    hubs = tiles.groupBy("token", "band").agg(F.min("id").alias("hub"), F.max("id").alias("_top")).filter("hub < _top").drop("_top")
-    first = stored(bounded(tiles.join(hubs, ["token", "band"]).filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()))
-    links = stored(linked(known, first, words, percent))
-
-    labels = connected_components(links)
-    named = tiles.join(labels, tiles["id"] == labels["node"], "left").select("token", "id", "n", "band", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("token")
-    open_tiles = stored(named.join(mixed, "token"))
-    left = open_tiles.toDF("token", "ia", "na", "tile", "la")
-    right = open_tiles.select("token", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("band").alias("_band"),
-                              F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
-    once = (F.col("_band") > F.col("tile")) | (F.col("ia") < F.col("ib"))
-    rest = (
-        left.join(right, ["token", "tile"]).filter(fits & once)
-        .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    )
-    more = stored(linked(known, stored(bounded(rest)), words, percent))
-    final = connected_components(links.unionByName(more))
-    classes = sets.join(final, sets["id"] == final["node"], "left").select("digest", F.coalesce("component", "id").alias("component"))
-    return own.join(classes, "digest", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).alias("component_id"),
-    )
+    with small_batches(docs.sparkSession):
+        given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+        rows = stored(profiles(given, words))
+        known = given.filter("id is not null")
+        order = rarity(rows)
+        own = rows.filter("sketch is null").select("id", "n", "digest", "bitmap")
+        sets = stored(
+            own.filter("n > 0 and id is not null").groupBy("digest")
+            .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+        )
+        tokens = (
+            prefix_tokens(known, order, words, percent).filter("n > 0").join(sets.select("id", "n"), ["id", "n"], "left_semi")
+            .select(F.explode("tokens").alias("token"), "id", "n")
+        )
+        tiles = stored(shared_tokens(tokens).withColumn("band", band(F.col("n"), percent)))
+
+        def bounded(pairs: DataFrame) -> DataFrame:
+            a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
+            b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
+            return pairs.join(a, "a").join(b, "b").filter(may_link(F.col("na"), F.col("nb"), F.col("bits_a"), F.col("bits_b"), percent)).select("a", "b")
+
+        hubs = tiles.groupBy("token", "band").agg(F.min("id").alias("hub"), F.max("id").alias("_top")).filter("hub < _top").drop("_top")
+        first = stored(bounded(tiles.join(hubs, ["token", "band"]).filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()))
+        links = stored(linked(known, first, words, percent))
+
+        labels = connected_components(links)
+        named = tiles.join(labels, tiles["id"] == labels["node"], "left").select("token", "id", "n", "band", F.coalesce("component", "id").alias("label"))
+        mixed = named.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("token")
+        open_tiles = stored(named.join(mixed, "token"))
+        left = open_tiles.toDF("token", "ia", "na", "tile", "la")
+        right = open_tiles.select("token", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("band").alias("_band"),
+                                  F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"))
+        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
+        once = (F.col("_band") > F.col("tile")) | (F.col("ia") < F.col("ib"))
+        rest = (
+            left.join(right, ["token", "tile"]).filter(fits & once)
+            .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        )
+        more = stored(linked(known, stored(bounded(rest)), words, percent))
+        final = connected_components(links.unionByName(more))
+        classes = sets.join(final, sets["id"] == final["node"], "left").select("digest", F.coalesce("component", "id").alias("component"))
+        return own.join(classes, "digest", "left").select(
+            F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+            F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).alias("component_id"),
+        )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their class, one row per id, with all their columns.
+
+    Rows with a null id stay. Of rows that repeat an id the first by a hash of the whole row stays.
+    """
+    ids = similar_classes(docs, doc_id, text, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    row = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"))
+    known = row.filter("_id is not null").join(ids.withColumnRenamed("doc_id", "_id"), "_id", "left_semi")
+    order = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
+    first = known.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_row")
+    return first.unionByName(row.filter("_id is null").select("_row")).select("_row.*")
