@@ -72,7 +72,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-@query("op8_jaccard_join")
+SHINGLE_SQL = """
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then []::VARCHAR[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from words),
+flat as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from flat a join flat b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) as (
+  select doc_id, doc_id from documents
+  union
+  select reach.a, links.b from reach join links on reach.b = links.a)
+select doc_id, len(s)::BIGINT as n_shingles, (select min(b) from reach where reach.a = doc_id) as component_id from sets
+"""
+
+
+@query("op8_jaccard_join", SHINGLE_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents"))
 
@@ -82,10 +103,54 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_quality_rules")
+RULES_SQL = """
+with base as (
+  select doc_id, lang, source, coalesce(text, '') as t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+  from documents),
+windows as (select doc_id, unnest(range(1, greatest(len(w) - 1, 1))) as i, w from base),
+named as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as c from windows),
+again as (select doc_id, count(distinct x) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as x from named where c > 1) group by doc_id),
+counted as (
+  select doc_id, lang, source, len(w)::BIGINT as n_words, length(array_to_string(w, ''))::BIGINT as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT as n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT as n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT as n_repeat_words, len(lines)::BIGINT as n_lines
+  from base left join again using (doc_id)),
+failing as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted),
+long as (
+  select *, unnest([{'rate': 'symbols', 'v': n_symbols * 1000 // greatest(n_words, 1), 'wide': 100},
+                    {'rate': 'dup_lines', 'v': n_dup_lines * 1000 // greatest(n_lines, 1), 'wide': 400},
+                    {'rate': 'repeats', 'v': n_repeat_words * 1000 // greatest(n_words, 1), 'wide': 300},
+                    {'rate': 'word_length', 'v': word_chars * 1000 // greatest(n_words, 1), 'wide': 2000}], recursive := true)
+  from failing),
+bucketed as (select *, greatest(length(bin(v)) - 6, 0) as sh from long where not base_failed),
+floored as (select *, (v >> sh) << sh as f from bucketed),
+placed as (
+  select 'own' as level, lang, source, rate, wide, f, row_number() over (partition by lang, source, rate order by f) as r, count(*) over (partition by lang, source, rate) as n from floored
+  union all select 'language', lang, null, rate, wide, f, row_number() over (partition by lang, rate order by f), count(*) over (partition by lang, rate) from floored
+  union all select 'overall', null, null, rate, wide, f, row_number() over (partition by rate order by f), count(*) over (partition by rate) from floored),
+quartiles as (
+  select level, lang, source, rate, any_value(wide) as wide, any_value(n) as n, min(f) filter (4 * r >= n) as q1, min(f) filter (4 * r >= 2 * n) as q2, min(f) filter (4 * r >= 3 * n) as q3
+  from placed group by level, lang, source, rate),
+limits as (select *, q2 + greatest(6 * (q3 - q1), wide) as high from quartiles),
+judged as (
+  select l.doc_id, l.rate, not l.base_failed and l.v > case when o.n >= 100 then o.high when g.n >= 100 then g.high else a.high end as above,
+    list_position(['symbols', 'dup_lines', 'repeats', 'word_length'], l.rate) as place
+  from long l
+  left join limits o on o.level = 'own' and o.lang is not distinct from l.lang and o.source is not distinct from l.source and o.rate = l.rate
+  left join limits g on g.level = 'language' and g.lang is not distinct from l.lang and g.rate = l.rate
+  left join limits a on a.level = 'overall' and a.rate = l.rate),
+reasons as (select doc_id, string_agg(rate, ',' order by place) filter (above) as reasons from judged group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and reasons is null as kept, coalesce(reasons, '') as reasons
+from failing left join reasons using (doc_id)
+"""
+
+
+@query("op3_quality_rules", RULES_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 @query("op2_license_scan")
@@ -105,7 +170,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_suffix_dedup")
+SUFFIX_SQL = """
+with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+starts as (select doc_id, unnest(range(0, greatest(n - 99, 0))) as s, h from bytes),
+later as (
+  select doc_id, s from (
+    select doc_id, s, row_number() over (partition by k order by doc_id, s) as r from (select doc_id, s, md5(substr(h, 2 * s + 1, 200)) as k from starts))
+  where r > 1),
+marked as (select doc_id, s, case when s > lag(s) over w + 100 or lag(s) over w is null then 1 else 0 end as fresh
+  from later window w as (partition by doc_id order by s)),
+numbered as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as run from marked),
+runs as (select doc_id, min(s) as lo, max(s) + 100 as hi from numbered group by doc_id, run),
+ends as (select doc_id, lo, hi, 1 as real from runs union all select doc_id, n, n, 0 from bytes),
+pieces as (select doc_id, lo, hi, real, coalesce(lag(hi) over (partition by doc_id order by lo, hi, real desc), 0) as at from ends)
+select b.doc_id, any_value(b.n)::BIGINT as n_bytes, sum(p.hi - p.lo)::BIGINT as n_removed, sum(p.real)::BIGINT as n_spans,
+  sha256(unhex(string_agg(substr(b.h, 2 * p.at + 1, 2 * (p.lo - p.at)), '' order by p.lo, p.real desc))) as kept_sha256
+from pieces p join bytes b on b.doc_id = p.doc_id group by b.doc_id
+"""
+
+
+@query("op10_suffix_dedup", SUFFIX_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
