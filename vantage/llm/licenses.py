@@ -89,6 +89,9 @@ RULES = [
 LINE_END = r"[.!?;:]+(?=\s|$)|\n"
 BLOCK_END = r"[.!?;:]+(?=\s|$)|\n[ \t\r]*\n"
 
+#: A text without any of these words holds no known sentence; most texts go by.
+MAY = r"licen[sc]e|permission|redistribut|warrant|liable|copyright|public domain|rights|version|mpl"
+
 
 def normalised(sentence: Column) -> Column:
     """Lower-case words and numbers with one space between them."""
@@ -120,8 +123,7 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Null and empty texts have neither sentences nor licences. Equal rows give equal rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    # A text without any of these words holds no known sentence; the test is cheap and lets most texts go by.
-    may = F.lower("text").rlike(r"licen[sc]e|permission|redistribut|warrant|liable|copyright|public domain|rights|version|mpl")
+    may = F.lower("text").rlike(MAY)
     read = rows.select("doc_id", F.when(may, F.col("text")).alias("text")).select(
         "doc_id", identifiers(F.col("text"), LINE_END).alias("lines"), identifiers(F.col("text"), BLOCK_END).alias("blocks"))
     return read.select("doc_id", F.when(F.size("blocks") > F.size("lines"), F.col("blocks")).otherwise(F.col("lines")).alias("sentence_ids"),
