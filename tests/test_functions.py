@@ -102,17 +102,18 @@ def test_classification(spark):
         ("Winter car show", "bring your ute", ""), ("Bathurst party bus", "", ""), ("A quiet evening", "craft fair in town", "Talks"),
         ("Nothing here", "", "Talks"), ("Nothing here", "", " Facebook "), ("Boxing day swim", "", ""), ("x", "y " * 900 + "rodeo", "")]
     df = spark.createDataFrame(rows, "title string, description string, given string")
-    got = [r.category for r in score.with_category(df, supplied="given").collect()]
+    got = [r.category for r in score.with_category(df, supplied="given", chars=1500).collect()]
     assert got == ["Cars & bikes", "Nightlife", "Festivals", "Talks", "Event", "Sport", "Event"]
-    whole = [r.category for r in score.with_category(df, supplied="given", chars=None).collect()]
+    whole = [r.category for r in score.with_category(df, supplied="given").collect()]
     assert whole[-1] == "Country & agricultural"
 
 
 def test_photo_score(evaluate):
     rows = [("Air show", "outdoor", "Music", "x.jpg", False), ("Webinar", "zoom class", "", "", False), ("Parade", "", "", "", True),
             ("fêtefair éfair", "", "", "", False), ("Art walk", "z " * 1200 + "fireworks", "arts", "", False)]
-    got = evaluate(score.photo_score, rows, "t string, d string, c string, i string, o boolean")
-    assert got == [10 + 35 + 15 + 18 + 5, 0, 0, 10 + 28, 10 + 15 + 14]
+    kinds = "t string, d string, c string, i string, o boolean"
+    assert evaluate(lambda *c: score.photo_score(*c, chars=2000), rows, kinds) == [10 + 35 + 15 + 18 + 5, 0, 0, 10 + 28, 10 + 15 + 14]
+    assert evaluate(score.photo_score, rows, kinds)[-1] == 10 + 15 + 14 + 30
 
 
 def test_crowd_curve_and_verdicts(evaluate):
@@ -198,3 +199,25 @@ def test_links_and_slugs(evaluate):
     got = evaluate(text.social_profile, [("https://www.facebook.com/ClubX/posts/1",), ("https://x.com/@team",), ("https://facebook.com/events/9",),
                                          ("https://example.org/club",), ("https://evil-facebook.com/a1",)], "u string")
     assert [tuple(g) if g else None for g in got] == [("Facebook", "ClubX"), ("X", "team"), None, None, None]
+
+
+def test_times_as_pages_write_them(evaluate):
+    from vantage.functions.times import parse_time
+
+    day = "2024-06-01 "
+    cases = {
+        "10:30": None, "T10:30": None, "7:00 PM": None, "next Saturday": None, "": None, None: None, "2024-02-30": None, "June 2024": None,
+        "2024-06-01T10:00+1000": day + "00:00:00", "2024-06-01T10:00:00+10:00": day + "00:00:00", "2024-06-01 7:00 PM": day + "19:00:00",
+        "June 1, 2024 7:00 PM": day + "19:00:00", "Saturday, June 1, 2024 7:05 pm": day + "19:05:00", "2024/06/01": day + "00:00:00",
+        "06/01/2024": day + "00:00:00", "Sat Jun 01 2024": day + "00:00:00", "1 Jun 2024": day + "00:00:00",
+        "Sat, 1 Jun 2024 10:00:00 GMT": day + "10:00:00", "2024-06-01T10:00:00.000Z": day + "10:00:00", "2024-06-01": day + "00:00:00",
+    }
+    got = evaluate(parse_time, [(t,) for t in cases], "t string")
+    assert [None if x is None else str(x) for x in got] == list(cases.values())
+
+
+def test_numbers_without_exponents(evaluate):
+    from vantage.functions.text import plain_number
+
+    assert evaluate(plain_number, [(5e-4,), (1.23456785e7,), (-33.42,), (0.0,), (1e-10,), (2e7,), (None,)], "n double") == [
+        "0.0005", "12345678.5", "-33.42", "0.0", "0.0000000001", "20000000.0", None]

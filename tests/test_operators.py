@@ -245,9 +245,10 @@ def test_upsert_keeps_state_and_position(spark):
     new = spark.createDataFrame([(*base("a", "n" * 400, None), 1), (*base("c", "first", 3.0), 1), (*base("c", "last", 3.0), 2)],
                                 ", ".join(c for c in cols.split(", ")[1:18]) + ", seq int")
     for strict in (False, True):
-        rows = {r.source_id: r for r in merge.upsert_events(old, new, ["seq"], strict).collect()}
+        rows = {r.source_id: r for r in merge.upsert_events(old, new, ["seq"], strict, title_chars=300).collect()}
         a = rows["a"]
         assert a.id == 7 and a.title == "n" * 300 and a.starred and a.archived and a.manual_group == "m" and a.lat == (None if strict else 1.0)
+        assert {len(r.title) for r in merge.upsert_events(old, new, ["seq"], strict).collect() if r.source_id == "a"} == {400}
         assert rows["b"].title == "kept" and rows["c"].title == "last" and rows["c"].id == 10 and rows["c"].archived is False
 
 

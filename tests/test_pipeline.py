@@ -170,9 +170,12 @@ def test_calendar_text(spark, tmp_path):
     flat = text.replace("\r\n ", "")
     assert "SUMMARY:" + "é" * 90 in flat and "A cruise\\; with punctuation\\, and\\na newline." in flat and "DTEND:20260822T020000Z" in flat
     assert "X-WR-CALNAME:Cal — é\r\n" in flat and "\r\nNAME:Cal — é\r\n" in flat
-    split = ics.calendars(ics.entry(df, F.lit(t)), "category", per_file=1).collect()
-    assert sum(f.ics.count("BEGIN:VEVENT") for f in split) == 2
-    ics.write_calendars(ics.calendars(ics.entry(df, F.lit(t)), "category"), "category", f"{tmp_path}/cal")
+    later = ics.entry(df.unionByName(df.withColumns({"start_ts": F.lit(datetime(2026, 9, 1)), "group_key": F.concat("group_key", F.lit("x"))})), F.lit(t))
+    split = {f.month: f.ics for f in ics.calendars(later, "category", title="Cal — é").collect()}
+    assert sorted(split) == ["2026-08", "2026-09"] and split["2026-08"] == text
+    ics.write_calendars(ics.calendars(later, "category", title="Cal — é"), "category", f"{tmp_path}/cal")
+    written = {p.parent.name: p.read_bytes() for p in (tmp_path / "cal").glob("*/*/*.txt")}
+    assert written == {f"month={m}": x.encode() for m, x in split.items()}
     geojson.write_features(spark.createDataFrame([("a", 0.5, "{}")], "area string, score double, feature string"),
                            spark.createDataFrame([("a", "x")], "area string, label string"), f"{tmp_path}/geo")
     assert spark.read.text(f"{tmp_path}/geo/features").first().value == "{}"

@@ -84,7 +84,7 @@ def body_text(title: Column, description: Column, chars: int | None) -> Column:
 
 def with_category(
     df, title: str = "title", description: str = "description", supplied: str | None = None,
-    chars: int | None = vocab.CLASSIFY_BODY_CHARS, name: str = "category",
+    chars: int | None = None, name: str = "category",
 ):
     """Add the category; ``chars`` limits how much of the text counts (None: all of it)."""
     hits = df.withColumns({
@@ -98,7 +98,7 @@ def with_category(
 
 def photo_score(
     title: Column, description: Column, category: Column, image_url: Column, is_online: Column,
-    chars: int | None = vocab.PHOTO_TEXT_CHARS,
+    chars: int | None = None,
 ) -> Column:
     """0..100: how much a photographer would want to be there."""
     text = body_text(title, description, chars)

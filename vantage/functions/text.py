@@ -198,3 +198,10 @@ def social_profile(url: Column) -> Column:
         & handle.rlike("^[A-Za-z0-9._-]{2,}$")
     )
     return F.when(usable, F.struct(network.alias("network"), handle.alias("handle")))
+
+
+def plain_number(n: Column) -> Column:
+    """A number's digits without an exponent: the shortest decimal that stands for it."""
+    exact = n.cast("string")
+    written = F.regexp_replace(n.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1")
+    return F.when(F.contains(exact, F.lit("E")), F.regexp_replace(written, r"\.$", ".0")).otherwise(exact)

@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vantage.functions.text import trim_all
+
+
+# Forms of a day, and of a clock time after it, that pages write beside ISO 8601: each part in brackets may be absent.
+WRITTEN_TIME = (
+    "[yyyy-M-d][yyyy/M/d][M/d/yyyy][MMMM d, yyyy][MMM d, yyyy][MMM d yyyy][d MMM yyyy][d MMMM yyyy]"
+    "[ h:mm a][ H:mm[:ss][ Z]]"
+)
+
 
 def parse_time(text: Column) -> Column:
-    """ISO-like or RFC 2822 text to timestamp, null when it is not a time."""
+    """ISO-like, RFC 2822 or written-out text to timestamp, null when it is not a time.
+
+    A text without a day is not a time: nothing is taken from the clock of the run.
+    """
+    # Offsets may lack their colon, and a time with an offset its seconds.
+    iso_like = F.regexp_replace(text, r"(\d[+-]\d{2})(\d{2})\s*$", "$1:$2")
+    iso_like = F.regexp_replace(iso_like, r"([T ]\d{1,2}:\d{2})([+-])", "$1:00$2")
+    dated = F.when(text.rlike(r"^\s*\d{4}(-\d{1,2}){0,2}([T ]\d.*)?$"), iso_like.try_cast("timestamp"))
     # The weekday name is redundant, and a named zone here can only be UTC.
-    mail = F.regexp_replace(F.regexp_replace(text, "^[A-Z][a-z]{2}, *", ""), "(GMT|UTC|Z)$", "+0000")
-    return F.coalesce(
-        text.try_cast("timestamp"), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z"))
-    )
+    plain = F.regexp_replace(F.regexp_replace(trim_all(text), "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +", ""), " ?(GMT|UTC|Z)$", " +0000")
+    clock = F.regexp_replace(F.regexp_replace(plain, "(?i) ?am$", " AM"), "(?i) ?pm$", " PM")
+    written = F.try_to_timestamp(clock, F.lit(WRITTEN_TIME))
+    return F.coalesce(dated, F.when(text.rlike(r"\d{4}") & text.rlike(r"^\s*[A-Z]|\d[/ -]"), written))
 
 
 def iso(ts: Column) -> Column:

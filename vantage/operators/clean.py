@@ -9,8 +9,6 @@ from vantage.functions.address import clean_address, region_tokens, valid_addres
 from vantage.functions.score import with_category
 from vantage.functions.text import clean_description
 
-DESCRIPTION_CHARS = 4000
-
 
 def region_counts(addresses: DataFrame, column: str = "address") -> DataFrame:
     """How often each known region appears; at most one row per region in the vocabulary."""
@@ -34,7 +32,7 @@ def _inverse(column: str):
 
 
 def clean_rows(
-    events: DataFrame, region=None, description_chars: int | None = DESCRIPTION_CHARS
+    events: DataFrame, region=None, description_chars: int | None = None
 ) -> DataFrame:
     """Re-clean venue, address and description; ``changed`` marks rows that differ."""
     region = default_region(events) if region is None else region

@@ -38,7 +38,7 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def upsert_events(
     current: DataFrame, incoming: DataFrame, order: list[str], strict: bool = False,
-    title_chars: int | None = 300, description_chars: int | None = 4000,
+    title_chars: int | None = None, description_chars: int | None = None,
 ) -> DataFrame:
     """Merge incoming rows into the current table on (source, source_id).
 

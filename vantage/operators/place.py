@@ -9,8 +9,8 @@ from vantage.functions.text import trim_all
 from vantage.operators.validate import Area, inside_any_area
 
 
-def geocode_candidates(venue: Column, address: Column, cities: list[str], attempts: int = 4, chars: int = 200) -> Column:
-    """Queries to try for one listing, best first."""
+def geocode_candidates(venue: Column, address: Column, cities: list[str], attempts: int | None = None, chars: int | None = None) -> Column:
+    """Queries to try for one listing, best first; all of them, whole, unless limits are given."""
     cities = [c for c in cities if c]
     towns = [c.lower().split(",")[0].strip() for c in cities]
 
@@ -25,14 +25,16 @@ def geocode_candidates(venue: Column, address: Column, cities: list[str], attemp
         none = F.array().cast("array<string>")
         return F.when(text == "", none).when(names_town(text), F.array(text)).otherwise(suffixed)
 
+    cut = lambda q: F.substring(q, 1, chars) if chars else q
     none = F.array().cast("array<string>")
     both = F.when((venue != "") & (address != ""), F.array(F.concat(venue, F.lit(", "), address))).otherwise(none)
     head = F.when(F.contains(venue, F.lit(",")), F.array(F.substring_index(venue, ",", 1))).otherwise(none)
     tidy = F.transform(
         F.concat(spots(address), spots(venue), both, head),
-        lambda q: F.substring(trim_all(F.regexp_replace(trim_all(q), "^,|,$", "")), 1, chars),
+        lambda q: cut(trim_all(F.regexp_replace(trim_all(q), "^,|,$", ""))),
     )
-    return F.slice(F.array_distinct(F.filter(tidy, lambda q: q != "")), 1, attempts)
+    distinct = F.array_distinct(F.filter(tidy, lambda q: q != ""))
+    return F.slice(distinct, 1, attempts) if attempts else distinct
 
 
 def placement_backlog(events: DataFrame, limit: int | None = None) -> DataFrame:

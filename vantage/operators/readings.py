@@ -70,7 +70,7 @@ def daily_coverage(readings: DataFrame, venues: DataFrame, tz: str) -> DataFrame
     counted = readings.groupBy(*READING_KEY, local_weekday(F.col("ts"), tz).alias("dow")).agg(
         F.count(F.lit(1)).alias("readings"), F.count("live").alias("live")
     )
-    week = venues.select(*READING_KEY).distinct().withColumn("dow", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    week = venues.select("area", "cid", "name").distinct().withColumn("dow", F.explode(F.sequence(F.lit(0), F.lit(6))))
     return week.join(counted, [*READING_KEY, "dow"], "left").fillna(0, ["readings", "live"])
 
 
@@ -117,13 +117,14 @@ def venue_history(venues: DataFrame, readings: DataFrame, as_of: Column, tz: str
 
     points: readings; observed: live pattern; summary: weekday coverage with
     best window; light: band per hour; now: current verdict (null when stale).
+    Readings know a venue by its name; venues of one name share them and stay apart by their cid.
     """
     recent = readings.filter(F.col("ts") >= as_of - days(n_days)).join(
         venues.select(*READING_KEY).distinct(), READING_KEY, "left_semi"
     )
     light = week_light(venues, as_of, tz)
-    windows = best_windows(venues, as_of, tz).select("area", "name", "dow", "best")
-    summary = daily_coverage(recent, venues, tz).join(windows, [*READING_KEY, "dow"], "left")
+    windows = best_windows(venues, as_of, tz).select("area", "cid", "dow", "best")
+    summary = daily_coverage(recent, venues, tz).join(windows, ["area", "cid", "dow"], "left")
     newest = recent.groupBy(*READING_KEY).agg(
         F.max_by(F.struct("live", "typical"), F.struct("ts", "obs_id")).alias("_r"), F.max("ts").alias("ts")
     ).withColumn("dow", local_weekday(F.col("ts"), tz))
@@ -131,7 +132,7 @@ def venue_history(venues: DataFrame, readings: DataFrame, as_of: Column, tz: str
     live, typical = F.col("_r.live"), F.col("_r.typical")
     band = F.get("light_by_hour", local_hour(F.col("ts"), tz))
     fresh = as_of - F.col("ts") < hours(2)
-    now = now.select(*READING_KEY, "ts", F.when(
+    now = now.select("area", "cid", "name", "ts", F.when(
         fresh, verdict(F.coalesce(live, typical), typical, band, live.isNull())).alias("now"))
     return {
         "points": recent.select(*READING_KEY, "ts", "live", "typical"),
@@ -157,13 +158,18 @@ def area_summary(areas: DataFrame, venues: DataFrame) -> DataFrame:
 
 
 def busiest_first(readings: DataFrame) -> DataFrame:
-    """Live readings, then typical ones, then unsampled; busiest first in each band."""
+    """Live readings, then typical ones, then unsampled; busiest first in each band, by area and cid at ties."""
     band = F.when(F.col("live").isNotNull(), 0).when(F.col("typical").isNotNull(), 1).otherwise(2)
-    return readings.orderBy(band, F.coalesce("live", "typical", F.lit(0)).desc())
+    return readings.orderBy(band, F.coalesce("live", "typical", F.lit(0)).desc(), "area", "cid")
+
+
+def by_score(readings: DataFrame) -> DataFrame:
+    """Best score first, unscored venues last, by area and cid at ties."""
+    return readings.orderBy(F.col("shoot.score").desc_nulls_last(), "area", "cid")
 
 
 def best_to_shoot(readings: DataFrame) -> DataFrame:
-    return readings.orderBy(F.col("shoot.score").desc(), F.collate("name", "UNICODE"))
+    return readings.orderBy(F.col("shoot.score").desc(), F.collate("name", "UNICODE"), "area", "cid")
 
 
 def live_now(readings: DataFrame, n: int = 10) -> DataFrame:

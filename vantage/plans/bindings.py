@@ -14,7 +14,6 @@ from vantage import vocab
 from vantage.operators.dedupe import event_key, group_id
 from vantage.operators.merged import with_group
 from vantage.operators.validate import Area
-from vantage.session import spread_if_few
 
 TZ = "Australia/Sydney"
 # The zone is eleven hours ahead of UTC on every date the derived data uses.
@@ -39,7 +38,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     zoneless = [c for c, kind in rows.dtypes if kind == "timestamp_ntz"]
     rows = rows.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else rows
     # Wide texts, and tables whose rows expand into costly expressions.
-    return spread_if_few(rows) if name in ("documents", "pages", "customer", "orders") else rows
+    return rows
 
 
 def as_of():

@@ -160,7 +160,7 @@ def hourly(spark, sf):
 @query("d8_daily_coverage", f"""
 WITH {b.OBS_SQL}, {b.VENUE_SQL}, week AS (SELECT DISTINCT area, name, d AS dow FROM venues, range(7) t(d)),
 counted AS (SELECT area, name, {DOW} AS dow, count(*) AS readings, count(live) AS live FROM readings GROUP BY ALL)
-SELECT area, name, dow::INTEGER AS dow, coalesce(readings, 0) AS readings, coalesce(live, 0) AS live
+SELECT area, cid, name, dow::INTEGER AS dow, coalesce(readings, 0) AS readings, coalesce(live, 0) AS live
 FROM week LEFT JOIN counted USING (area, name, dow)""")
 def coverage(spark, sf):
     return rd.daily_coverage(_readings(spark, sf), b.venues(spark, sf), b.TZ)
@@ -213,28 +213,28 @@ def windows(spark, sf):
 @query("c2_history_summary", f"""
 WITH {b.OBS_SQL}, {_WINDOWS},
 recent AS (SELECT * FROM readings WHERE ts >= {AS_OF} - INTERVAL 14 DAY),
-days7 AS (SELECT DISTINCT area, name, d AS dow FROM venues, range(7) t(d)),
+days7 AS (SELECT DISTINCT area, cid, name, d AS dow FROM venues, range(7) t(d)),
 counted AS (SELECT area, name, {DOW} AS dow, count(*) AS readings, count(live) AS live FROM recent GROUP BY ALL)
-SELECT area, name, dow::INTEGER AS dow, coalesce(readings, 0) AS readings, coalesce(live, 0) AS live,
+SELECT area, cid, name, dow::INTEGER AS dow, coalesce(readings, 0) AS readings, coalesce(live, 0) AS live,
   from_hour::INTEGER AS from_hour, to_hour::INTEGER AS to_hour
-FROM days7 LEFT JOIN counted USING (area, name, dow) LEFT JOIN windows USING (area, name, dow)""")
+FROM days7 LEFT JOIN counted USING (area, name, dow) LEFT JOIN windows USING (area, cid, dow)""")
 def history(spark, sf):
     parts = rd.venue_history(b.venues(spark, sf), _readings(spark, sf), b.as_of(), b.TZ)
-    return parts["summary"].select("area", "name", "dow", "readings", "live", "best.from_hour", "best.to_hour")
+    return parts["summary"].select("area", "cid", "name", "dow", "readings", "live", "best.from_hour", "best.to_hour")
 
 
 @query("b19_verdict_now", f"""
 WITH {b.OBS_SQL}, {b.VENUE_SQL}, {_WEEK}, {sun_sql('week', 'seen', 'lat', 'lon')},
 fresh AS (SELECT * FROM readings WHERE ts >= TIMESTAMP '2024-01-17 12:00:00' AND name IN (SELECT name FROM venues)
   QUALIFY row_number() OVER (PARTITION BY area, name ORDER BY ts DESC, obs_id DESC) = 1),
-lit AS (SELECT f.*, coalesce(f.live, f.typical) AS busy, {light_sql('hour(f.local_ts)')} AS light
+lit AS (SELECT f.*, s.cid, coalesce(f.live, f.typical) AS busy, {light_sql('hour(f.local_ts)')} AS light
   FROM fresh f JOIN sun s ON s.area = f.area AND s.name = f.name AND s.dow = dayofweek(f.local_ts))
-SELECT area, name, {time_sql('ts')} AS ts,
+SELECT area, cid, name, {time_sql('ts')} AS ts,
   CASE WHEN TIMESTAMP '2024-01-31 12:00:00' - ts < INTERVAL 2 HOUR THEN round({score_sql('busy', 'typical', 'light')}, 4) END AS score
 FROM lit""")
 def verdict_now(spark, sf):
     parts = rd.venue_history(b.venues(spark, sf), _readings(spark, sf), b.as_of(), b.TZ)
-    return parts["now"].select("area", "name", time_text(F.col("ts")).alias("ts"), F.round("now.score", 4).alias("score"))
+    return parts["now"].select("area", "cid", "name", time_text(F.col("ts")).alias("ts"), F.round("now.score", 4).alias("score"))
 
 
 # --- heat grid -------------------------------------------------------------------------------------

@@ -1,11 +1,10 @@
-"""Session settings, checkpointing and size-checked broadcasts."""
+"""Session settings and checkpointing."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings the operators rely on; values that depend on the cluster (memory,
 # cores, shuffle partitions) stay with the submitter.
@@ -30,34 +29,21 @@ def build_session(app: str = "vantage", master: str | None = None, **extra: str)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage.
+    """Cut lineage through storage that every executor can read.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    when nothing is configured (tests) is a scratch folder chosen here.
+    where that is unset (tests) it lies under the home folder of the default
+    file system, named after the application, and goes when the process ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vantage-checkpoint-"))
+        if not folder:
+            hadoop = context._jvm.org.apache.hadoop.fs
+            system = hadoop.FileSystem.get(context._jsc.hadoopConfiguration())
+            path = hadoop.Path(system.getHomeDirectory(), f".sparkStaging/checkpoint-{context.applicationId}")
+            atexit.register(lambda: context._jsc is not None and system.delete(path, True))
+            folder = str(path)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after counting that it holds at most ``max_rows`` rows.
-
-    The count stops at ``max_rows + 1`` rows. Above the bound the frame is
-    returned unhinted, so the join shuffles on its keys instead.
-    """
-    fits = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
-
-
-def spread_if_few(df: DataFrame) -> DataFrame:
-    """Rebalance an input that arrives in fewer partitions than there are cores.
-
-    Meant ahead of costly row-local work on small files. An input with at least
-    two partitions per core - anything large - is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantage.functions.text import plain_number
+
 CRLF = "\r\n"
 
 
@@ -31,7 +33,7 @@ def fold(line: Column) -> Column:
     return F.when(F.octet_length(line) <= 75, line).otherwise(folded)
 
 
-def entry(events: DataFrame, as_of: Column, domain: str = "vantage", description_chars: int | None = 500) -> DataFrame:
+def entry(events: DataFrame, as_of: Column, domain: str = "vantage", description_chars: int | None = None) -> DataFrame:
     """Add ``entry``: the folded VEVENT text of each event, every line ending in CRLF."""
     c = F.col
     end = F.coalesce("end_ts", c("start_ts") + F.make_dt_interval(hours=F.lit(2)))
@@ -44,7 +46,7 @@ def entry(events: DataFrame, as_of: Column, domain: str = "vantage", description
         F.concat(F.lit("DESCRIPTION:"), escape(F.concat_ws("\n", filled(described), filled(c("url"))))),
         F.concat(F.lit("LOCATION:"), escape(F.concat_ws(", ", filled(c("venue_name")), filled(c("address"))))),
         F.concat(F.lit("CATEGORIES:"), escape(filled(c("category")))),
-        F.concat(F.lit("GEO:"), c("lat").cast("string"), F.lit(";"), c("lng").cast("string")),
+        F.concat(F.lit("GEO:"), plain_number(c("lat")), F.lit(";"), plain_number(c("lng"))),
         F.concat(F.lit("URL:"), filled(c("url"))), F.lit("END:VEVENT"),
     )
     present = F.filter(lines, lambda x: x.isNotNull())
@@ -63,19 +65,13 @@ def header(name: Column, description: Column, product: str = "-//vantage//EN") -
     return F.concat(F.array_join(F.transform(present, fold), CRLF), F.lit(CRLF))
 
 
-def calendars(entries: DataFrame, feed: str, per_file: int = 1000, title: str = "Events") -> DataFrame:
-    """(feed, part, parts, ics): complete calendar texts of about ``per_file`` events each.
+def calendars(entries: DataFrame, feed: str, title: str = "Events") -> DataFrame:
+    """(feed, month, ics): complete calendar texts, one for each month of a feed.
 
-    A feed of any size is split by a hash of its events, so no calendar text
-    grows with the feed; small feeds come out as one file.
+    An event's file depends on its own start alone, so it never moves when others come or go.
     """
-    # Feeds are categories or areas.
-    sizes = entries.groupBy(feed).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / per_file).cast("bigint")
-    split = entries.join(sizes, feed).withColumn("parts", parts).withColumn(
-        "part", F.pmod(F.xxhash64("group_key"), F.col("parts"))
-    )
-    bodies = split.groupBy(feed, "part", "parts").agg(
+    month = F.date_format("start_ts", "yyyy-MM")
+    bodies = entries.groupBy(feed, month.alias("month")).agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("start_ts", "group_key", "entry"))), lambda e: e["entry"]
         ), "").alias("_body"), F.count(F.lit(1)).alias("_events"),
@@ -83,10 +79,11 @@ def calendars(entries: DataFrame, feed: str, per_file: int = 1000, title: str =
     name = F.concat_ws(" - ", F.lit(title), F.when(F.col(feed) != "", F.col(feed)))
     about = F.concat(F.col("_events").cast("string"), F.lit(" events"))
     text = F.concat(header(name, about), F.col("_body"), F.lit("END:VCALENDAR" + CRLF))
-    return bodies.select(feed, "part", "parts", text.alias("ics"))
+    return bodies.select(feed, "month", text.alias("ics"))
 
 
 def write_calendars(files: DataFrame, feed: str, path: str) -> None:
-    """One text file per calendar, under feed=.../part=..."""
-    files.select(feed, "part", "ics").repartition(feed, "part").write.mode("overwrite").option(
-        "lineSep", "\n").partitionBy(feed, "part").text(path)
+    """One text file per calendar, under feed=.../month=...; every line, the last one too, ends in CRLF."""
+    body = F.regexp_replace("ics", "\r\n$", "")
+    files.select(feed, "month", body.alias("ics")).repartition(feed, "month").write.mode("overwrite").option(
+        "lineSep", CRLF).partitionBy(feed, "month").text(path)

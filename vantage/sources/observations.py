@@ -44,7 +44,7 @@ def append_pass(observations: DataFrame, run: DataFrame, root: str) -> None:
     """Append one pass: its run row and its observations, laid out by area and day."""
     (
         observations.withColumn("obs_date", F.to_date("ts"))
-        .repartition("area", "obs_date", F.pmod(F.xxhash64("obs_id"), F.lit(16)))
+        .repartitionByRange("area", "obs_date", "ts")
         .sortWithinPartitions("area", "obs_date", "source", "ts")
         .write.mode("append").partitionBy("area", "obs_date").parquet(f"{root}/density_observation")
     )
@@ -52,7 +52,12 @@ def append_pass(observations: DataFrame, run: DataFrame, root: str) -> None:
 
 
 def read_observations(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/density_observation")
+    """The appended observations; the areas of the folder names are texts, whatever they look like."""
+    path = f"{root}/density_observation"
+    found = spark.read.parquet(path).schema
+    kinds = {"area": "string", "obs_date": "date"}
+    columns = [f"`{f.name}` {kinds.get(f.name, f.dataType.simpleString())}" for f in found]
+    return spark.read.schema(", ".join(columns)).parquet(path)
 
 
 def per_pass_source(observations: DataFrame) -> DataFrame:

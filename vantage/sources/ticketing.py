@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantage.functions.text import plain_number
+
 RAW_COLUMNS = [
     "source", "source_id", "title", "description", "start_time", "end_time", "venue_name", "address", "lat", "lng",
     "url", "image_url", "category", "price_text", "is_online",
@@ -49,7 +51,7 @@ def _joined(sep: str, *parts: Column) -> Column:
 
 def number_text(n: Column) -> Column:
     """Shortest text of a number: whole numbers without a decimal point."""
-    return F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
+    return F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(plain_number(n))
 
 
 def _first(c: Column) -> Column:

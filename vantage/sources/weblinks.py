@@ -9,14 +9,15 @@ from vantage import vocab
 from vantage.functions.text import host_of
 
 
-def candidate_pages(links: DataFrame, per_query: int = 8, extra_skipped: DataFrame | None = None) -> DataFrame:
-    """Pages to read from (query_pos, link_pos, url): the first links of each query, each page once.
+def candidate_pages(links: DataFrame, per_query: int | None = None, extra_skipped: DataFrame | None = None) -> DataFrame:
+    """Pages to read from (query_pos, link_pos, url): the first ``per_query`` links of each query (None: all), each page once.
 
     ``link_pos`` is zero-based within its query. Deny-listed hosts and their
     subdomains go; a table of further hosts (host) is removed with an
     anti-join on every parent domain.
     """
-    head = links.filter(F.col("link_pos") < per_query).withColumn("host", host_of(F.col("url")))
+    head = links if per_query is None else links.filter(F.col("link_pos") < per_query)
+    head = head.withColumn("host", host_of(F.col("url")))
     suffixes = "|".join(h.replace(".", r"\.") for h in vocab.SKIPPED_HOSTS)
     kept = head.filter(F.col("host").isNotNull() & ~F.col("host").rlike(rf"(^|\.)({suffixes})$"))
     if extra_skipped is not None:
