@@ -252,24 +252,26 @@ def test_upsert_keeps_state_and_position(spark):
         assert rows["b"].title == "kept" and rows["c"].title == "last" and rows["c"].id == 10 and rows["c"].archived is False
 
 
-def test_merged_group_of_blank_fields_and_nested_view(spark):
+def test_merged_group_of_blank_fields_and_member_order(spark):
     t = datetime(2024, 1, 1)
     rows = [(i, "s", "", "d" * (i % 3), t + timedelta(days=i % 2), None, "", "", None, float(i) if i > 3 else None, "", "x.jpg" if i > 2 else "", "", "", i != 9, i == 5, False, 1.0 * i, "", "g" if i < 9 else "h") for i in range(10)]
     df = merged.with_group(spark.createDataFrame(rows, "id bigint, source string, title string, description string, start_ts timestamp, end_ts timestamp, venue_name string, address string, lat double, lng double, url string, image_url string, category string, price_text string, is_online boolean, starred boolean, hidden boolean, photo_score double, manual_group string, dedupe_group string"))
-    heads = {r.group_key: r for r in merged.nested_view(df, nested_limit=5).collect()}
+    heads = {r.group_key: r for r in merged.merged_heads(df).collect()}
     g = heads["g"]
     assert (g.title, g.description, g.lat, g.lng, g.member_count, g.starred, g.is_online) == ("", "dd", None, 4.0, 9, True, True)
-    assert g.members is None and [m.id for m in heads["h"].members] == [9] and heads["h"].images == ["x.jpg"] and not heads["h"].is_online
+    order = [(r.group_key, r.id) for r in sorted(merged.member_positions(df).collect(), key=lambda r: (r.group_key, r.position))]
+    assert order == [("g", i) for i in (0, 2, 4, 6, 8, 1, 3, 5, 7)] + [("h", 9)] and not heads["h"].is_online
 
 
 def test_manual_merge_is_idempotent(spark):
     df = merged.with_group(spark.createDataFrame([(1, "", "a"), (2, "", "b"), (3, "", "b"), (4, "", "c")], "id bigint, manual_group string, dedupe_group string"))
     ask = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "request_id int, group_key string")
     marks = actions.merge_groups(df, ask)
-    name = "m" + hashlib.sha1(b"1,2,3").hexdigest()[:15]
+    name = "m" + hashlib.sha1(hashlib.sha1(b"1,2,3").hexdigest().encode()).hexdigest()[:15]
     assert {r.id: r.manual_group for r in marks.collect()} == {1: name, 2: name, 3: name}
-    large = actions.merge_groups(df, ask, max_listed=2).collect()
-    assert {r.id for r in large} == {1, 2, 3} and len({r.manual_group for r in large}) == 1 and large[0].manual_group != name
+    far = merged.with_group(spark.createDataFrame([(1, "", "a"), (70000, "", "b")], "id bigint, manual_group string, dedupe_group string"))
+    parts = ",".join(hashlib.sha1(x).hexdigest() for x in (b"1", b"70000"))
+    assert {r.manual_group for r in actions.merge_groups(far, ask).collect()} == {"m" + hashlib.sha1(parts.encode()).hexdigest()[:15]}
     again = merged.with_group(actions.apply_actions(df, marks))
     ask2 = spark.createDataFrame([(1, name)], "request_id int, group_key string")
     assert {r.manual_group for r in actions.merge_groups(again, ask2).collect()} == {name}

@@ -19,34 +19,28 @@ def set_flag(events: DataFrame, groups: DataFrame, flag: str, value: bool) -> Da
     return group_rows(events, groups).select("id", F.lit(value).alias(flag))
 
 
-# Requests up to this many listings are named after their full id list.
-MAX_LISTED_IDS = 100_000
+# Listings whose ids share all but these low bits are named together.
+SLICE_BITS = 16
 
 
-def merge_groups(events: DataFrame, requests: DataFrame, max_listed: int = MAX_LISTED_IDS) -> DataFrame:
+def merge_groups(events: DataFrame, requests: DataFrame) -> DataFrame:
     """(id, manual_group) for merge requests (request_id, group_key).
 
     The new group name depends on the member ids alone, so repeating a merge
     changes nothing. Requests that name fewer than two listings are dropped;
-    see refused_merges. The name is a digest of the sorted id list; a request
-    too large to list its ids in one row is named after order-free aggregates
-    of them instead.
+    see refused_merges. Ids are digested in slices of at most 65,536, and the
+    name is a digest of the ordered slice digests, so no id list grows with the
+    group.
     """
     rows = _requested(events, requests)
-    sizes = rows.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("id").alias("_lo"), F.max("id").alias("_hi"),
-        F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_y"),
-    ).filter(F.col("_n") >= 2)
-    short = sizes.filter(F.col("_n") <= max_listed).select("request_id")
-    listed = rows.join(short, "request_id", "left_semi").groupBy("request_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("_text")
-    )
-    long = sizes.filter(F.col("_n") > max_listed).select(
-        "request_id", F.concat_ws(",", *[F.col(c).cast("string") for c in ("_n", "_lo", "_hi", "_x", "_y")]).alias("_text")
-    )
-    named = listed.unionByName(long).select(
-        "request_id", F.concat(F.lit("m"), F.substring(F.sha1("_text"), 1, 15)).alias("manual_group")
+    slices = rows.groupBy("request_id", F.shiftright("id", SLICE_BITS).alias("_slice")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")).alias("_part"),
     )
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_slice", "_part"))), lambda x: x["_part"])
+    named = slices.groupBy("request_id").agg(
+        F.sum("_n").alias("_n"), F.concat(F.lit("m"), F.substring(F.sha1(F.array_join(parts, ",")), 1, 15)).alias("manual_group")
+    ).filter(F.col("_n") >= 2).drop("_n")
     # A listing named by several requests follows the last one.
     return rows.join(named, "request_id").groupBy("id").agg(
         F.max_by("manual_group", "request_id").alias("manual_group")

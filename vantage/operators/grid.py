@@ -123,14 +123,15 @@ def heat_grid(located: DataFrame, percentile: float = 97.0) -> DataFrame:
     """(area, r, c, raw, score, scale, top_name, breakdown) for every non-empty cell."""
     layers = density_by_source(located)
     cells = layers.groupBy("area", "r", "c").agg(
-        F.sum("raw").alias("_raw"),
+        # Rounded: the last bits of a sum depend on the order of its terms, and ranks must not.
+        F.round(F.sum("raw"), 9).alias("_raw"),
         # One entry per observation source.
         F.map_from_entries(F.array_sort(F.collect_list(F.when(
             F.col("raw") > 0, F.struct("source", F.round("raw", 3).alias("raw")))))).alias("breakdown"),
     ).filter(F.col("_raw") > 0)
     scale = nearest_rank(cells, ["area"], "_raw", scale_index(percentile), "scale").drop("n")
     return (
-        cells.join(scale, "area").join(cell_labels(located), ["area", "r", "c"], "left")
+        cells.join(scale, "area", "left").fillna(1.0, ["scale"]).join(cell_labels(located), ["area", "r", "c"], "left")
         .withColumns({
             "raw": F.round("_raw", 3),
             "score": F.round(F.least(F.col("_raw") / F.col("scale"), F.lit(1.0)), 4),
@@ -138,6 +139,11 @@ def heat_grid(located: DataFrame, percentile: float = 97.0) -> DataFrame:
     )
 
 
+def by_score(grid: DataFrame) -> DataFrame:
+    """Hottest cell first, by area, row and column at ties."""
+    return grid.orderBy(F.col("score").desc(), "area", "r", "c")
+
+
 def cell_bounds(grid: DataFrame, areas: DataFrame) -> DataFrame:
     """Add south, north, west, east of every cell."""
     sized = areas.select(

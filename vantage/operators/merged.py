@@ -6,7 +6,7 @@ aggregates and the listings themselves stay in long tables keyed by group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.address import locality_of
@@ -93,25 +93,20 @@ def merged_images(events: DataFrame) -> DataFrame:
     )
 
 
-def nested_view(events: DataFrame, nested_limit: int = 500) -> DataFrame:
-    """Heads with member and image arrays inlined for groups of up to ``nested_limit`` listings.
+def member_positions(events: DataFrame) -> DataFrame:
+    """The listings behind each group with their zero-based ``position`` in (start_ts, id) order.
 
-    Larger groups have null arrays here; their rows are in merged_members and
-    merged_images, which are complete for every group.
+    Rows are counted per group and day first, so no group is sorted as a whole.
     """
-    heads = merged_heads(events)
-    small = events.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") <= nested_limit
-    ).select("group_key")
-    members = (
-        merged_members(events).join(small, "group_key", "left_semi").groupBy("group_key")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            "start_ts", "id", "source", "title", "url", "image_url", "venue_name"))).alias("members"))
-    )
-    images = F.array_distinct(F.transform(
-        F.filter("members", lambda m: m["image_url"] != ""), lambda m: m["image_url"]))
-    sources = F.transform("members", lambda m: F.struct(m["source"].alias("source"), m["url"].alias("url")))
-    return heads.join(members, "group_key", "left").withColumns({"images": images, "sources": sources})
+    daily = merged_members(events).withColumn("_day", F.to_date("start_ts"))
+    before = Window.partitionBy("group_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = daily.groupBy("group_key", "_day").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").withColumnsRenamed({"group_key": "_group", "_day": "_on"})
+    inside = F.row_number().over(Window.partitionBy("group_key", "_day").orderBy("start_ts", "id")) - 1
+    numbered = daily.withColumn("_row", inside)
+    return numbered.join(
+        offsets, (F.col("group_key") == F.col("_group")) & F.col("_day").eqNullSafe(F.col("_on"))
+    ).withColumn("position", F.col("_before") + F.col("_row")).drop("_day", "_on", "_group", "_before", "_row")
 
 
 def group_rows(events: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -83,3 +83,17 @@ def ordered_positions(df: DataFrame, order: list[str], name: str, partitions: in
         .withColumn(name, F.col("_before") + F.col("_row"))
         .drop("_part", "_before", "_row")
     )
+
+
+def sorted_positions(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """The zero-based place of every row of a sorted frame.
+
+    The sorted rows are checkpointed; only the sizes of the sorted partitions are accumulated in one place.
+    """
+    marked = checkpointed(ordered.withColumn("_mark", F.monotonically_increasing_id()))
+    part = F.shiftright("_mark", 33)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(offsets, part == F.col("_part")).withColumn(name, F.col("_before") + inside).drop("_mark", "_part", "_before")

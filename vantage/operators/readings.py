@@ -164,12 +164,13 @@ def busiest_first(readings: DataFrame) -> DataFrame:
 
 
 def by_score(readings: DataFrame) -> DataFrame:
-    """Best score first, unscored venues last, by area and cid at ties."""
-    return readings.orderBy(F.col("shoot.score").desc_nulls_last(), "area", "cid")
+    """Strongest reading first, by area and cid at ties."""
+    return readings.orderBy(F.col("score").desc(), "area", "cid")
 
 
 def best_to_shoot(readings: DataFrame) -> DataFrame:
-    return readings.orderBy(F.col("shoot.score").desc(), F.collate("name", "UNICODE"), "area", "cid")
+    # Rounded, so that the last bits of equal scores do not decide.
+    return readings.orderBy(F.round("shoot.score", 9).desc(), F.collate("name", "UNICODE"), "area", "cid")
 
 
 def live_now(readings: DataFrame, n: int = 10) -> DataFrame:

@@ -76,11 +76,11 @@ def top_shortlist(events: DataFrame, as_of: Column, n: int = 8) -> DataFrame:
 
 def by_date(events: DataFrame, newest_first: bool = False) -> DataFrame:
     start = F.col("start_ts")
-    return events.orderBy(start.desc() if newest_first else start.asc())
+    return events.orderBy(start.desc() if newest_first else start.asc(), "group_key")
 
 
 def by_photo_score(events: DataFrame) -> DataFrame:
-    return events.orderBy(F.col("photo_score").desc(), "start_ts")
+    return events.orderBy(F.col("photo_score").desc(), "start_ts", "group_key")
 
 
 def with_distance(events: DataFrame, lat: float | None, lng: float | None) -> DataFrame:
@@ -90,7 +90,7 @@ def with_distance(events: DataFrame, lat: float | None, lng: float | None) -> Da
 
 
 def by_distance(events: DataFrame, lat: float | None, lng: float | None) -> DataFrame:
-    return with_distance(events, lat, lng).orderBy(F.col("distance_km").asc_nulls_last())
+    return with_distance(events, lat, lng).orderBy(F.col("distance_km").asc_nulls_last(), "group_key")
 
 
 def with_place(events: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def with_place(events: DataFrame) -> DataFrame:
 
 def by_place(events: DataFrame) -> DataFrame:
     """Place headings together, blank ones last, case and accents ignored, then by start."""
-    return with_place(events).orderBy(F.col("place") == "", F.collate("place", "UNICODE_CI_AI"), "start_ts")
+    return with_place(events).orderBy(F.col("place") == "", F.collate("place", "UNICODE_CI_AI"), "start_ts", "group_key")
 
 
 def per_place(events: DataFrame) -> DataFrame:

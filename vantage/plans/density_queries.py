@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vantage.functions import geo, shoot, times
 from vantage.operators import grid, readings as rd, venue_life
+from vantage.operators.ranking import sorted_positions
 from vantage.plans import bindings as b
 from vantage.plans.light_sql import label_sql, light_sql, score_sql, sun_sql, surge_sql, why_sql
 from vantage.plans.registry import query, time_sql, time_text
@@ -112,20 +113,25 @@ def venue_readings(spark, sf):
 
 @query("f5_busiest_first", f"""
 WITH {b.OBS_SQL}, {b.VENUE_SQL}, {_LATEST}
-SELECT cid, name, live, typical, CASE WHEN live IS NOT NULL THEN 0 WHEN typical IS NOT NULL THEN 1 ELSE 2 END AS band
-FROM venues LEFT JOIN latest USING (area, name) ORDER BY band, coalesce(live, typical, 0) DESC""")
+SELECT cid, name, live, typical,
+  row_number() OVER (ORDER BY CASE WHEN live IS NOT NULL THEN 0 WHEN typical IS NOT NULL THEN 1 ELSE 2 END, coalesce(live, typical, 0) DESC, area, cid) - 1 AS position
+FROM venues LEFT JOIN latest USING (area, name)""")
 def busiest(spark, sf):
     rows = b.venues(spark, sf).join(rd.latest_readings(_readings(spark, sf)), ["area", "name"], "left")
-    band = F.when(F.col("live").isNotNull(), 0).when(F.col("typical").isNotNull(), 1).otherwise(2)
-    return rd.busiest_first(rows).select("cid", "name", "live", "typical", band.alias("band"))
+    return sorted_positions(rd.busiest_first(rows).select("cid", "name", "live", "typical"))
 
 
 @query("f6_best_to_shoot", f"""
 WITH {_VENUE_NOW}
-SELECT cid, name, CASE WHEN busy IS NULL THEN 0 ELSE round(s, 4) END AS shoot_score FROM now
-ORDER BY shoot_score DESC, name""")
+SELECT cid, name, row_number() OVER (ORDER BY CASE WHEN busy IS NULL THEN 0 ELSE round(s, 9) END DESC, name, area, cid) - 1 AS position FROM now""")
 def best_to_shoot(spark, sf):
-    return rd.best_to_shoot(_venue_now(spark, sf)).select("cid", "name", F.round("shoot.score", 4).alias("shoot_score"))
+    return sorted_positions(rd.best_to_shoot(_venue_now(spark, sf)).select("cid", "name"))
+
+
+@query("f9_readings_by_score", f"""
+WITH {_VENUE_NOW} SELECT area, cid, row_number() OVER (ORDER BY score DESC, area, cid) - 1 AS position FROM now""")
+def readings_by_score(spark, sf):
+    return sorted_positions(rd.by_score(_venue_now(spark, sf)).select("area", "cid"))
 
 
 @query("f8_live_now_top10", f"""
@@ -252,7 +258,7 @@ hits AS (
   WHERE sqrt((dr * dr + dc * dc)::DOUBLE) * cell <= kernel
     AND gr + dr BETWEEN 0 AND n_rows - 1 AND gc + dc BETWEEN 0 AND n_cols - 1),
 layers AS (SELECT area, r, c, source, sum(w) AS raw FROM hits GROUP BY ALL),
-cells AS (SELECT area, r, c, sum(raw) AS raw FROM layers GROUP BY ALL HAVING sum(raw) > 0),
+cells AS (SELECT area, r, c, round(sum(raw), 9) AS raw FROM layers GROUP BY ALL HAVING round(sum(raw), 9) > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY raw) - 1 AS i,
   count(*) OVER (PARTITION BY area) AS n FROM cells),
 scales AS (SELECT area, n, raw AS scale FROM ranked
@@ -278,6 +284,14 @@ def normalised(spark, sf):
     return grid.heat_grid(_located(spark, sf)).select("area", "r", "c", "raw", "score", F.round("scale", 4).alias("scale"))
 
 
+@query("f9_cells_by_score", f"""
+WITH {_CELLS}
+SELECT area, r, c, row_number() OVER (ORDER BY round(least(raw / scale, 1), 4) DESC, area, r, c) - 1 AS position
+FROM cells JOIN scales USING (area)""")
+def cells_by_score(spark, sf):
+    return sorted_positions(grid.by_score(grid.heat_grid(_located(spark, sf))).select("area", "r", "c"))
+
+
 @query("e5_cell_labels", f"""
 WITH {_CELLS}
 SELECT area, r, c, arg_min(label, {{'w': -w, 'o': obs_id}}) AS top_name FROM hits WHERE w > 0 AND label <> '' GROUP BY ALL""")

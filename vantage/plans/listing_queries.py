@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from vantage import vocab
 from vantage.functions import address as ad, score, text
 from vantage.operators import actions, calendar, clean, dedupe, merge, merged, place, validate, venues, views
+from vantage.operators.ranking import sorted_positions
 from vantage.plans import bindings as b
 from vantage.plans.bindings import GROUPED_SQL, LISTING_SQL, TITLE_KEY_SQL, haversine_sql
 from vantage.plans.registry import query, time_sql, time_text
+from vantage.session import checkpointed
 
 NOW = f"TIMESTAMP '{b.LISTING_AS_OF}'"
 
@@ -523,6 +525,12 @@ def members(spark, sf):
     return merged.merged_members(b.grouped_listings(spark, sf)).select("group_key", "id", "source", "url")
 
 
+@query("e15_member_positions", f"""
+WITH {GROUPED_SQL} SELECT group_key, id, row_number() OVER (PARTITION BY group_key ORDER BY start_ts, id) - 1 AS position FROM grouped""")
+def member_positions(spark, sf):
+    return merged.member_positions(b.grouped_listings(spark, sf)).select("group_key", "id", "position")
+
+
 @query("d3_group_images", f"""
 WITH {GROUPED_SQL}
 SELECT group_key, image_url, arg_min(id, {{'s': start_ts, 'i': id}}) AS first_id FROM grouped WHERE image_url <> '' GROUP BY ALL""")
@@ -551,7 +559,8 @@ def starred(spark, sf):
 
 _REQUESTS = """requests AS (SELECT DISTINCT doc_id // 4 AS request_id, group_key FROM grouped JOIN labels USING (doc_id)),
 behind AS (SELECT DISTINCT request_id, id FROM grouped JOIN requests USING (group_key)),
-named AS (SELECT request_id, 'm' || substr(sha1(string_agg(id, ',' ORDER BY id)), 1, 15) AS manual_group FROM behind GROUP BY request_id HAVING count(*) >= 2)"""
+slices AS (SELECT request_id, id // 65536 AS slice, count(*) AS n, sha1(string_agg(id, ',' ORDER BY id)) AS part FROM behind GROUP BY ALL),
+named AS (SELECT request_id, 'm' || substr(sha1(string_agg(part, ',' ORDER BY slice)), 1, 15) AS manual_group FROM slices GROUP BY request_id HAVING sum(n) >= 2)"""
 
 
 def _requests(spark, sf, rows):
@@ -667,24 +676,21 @@ def orders_per_day(spark, sf):
     return calendar.per_day(rows, "UTC").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+_DISTANCE = haversine_sql(f"{b.HOME[0]}::DOUBLE", f"{b.HOME[1]}::DOUBLE", "lat", "lng")
+
+
 @query("f1_f2_f3_f4_orderings", f"""
 WITH {_HEADS}, {_PLACE}
-SELECT 'photo' AS sort, group_key, photo_score AS k FROM heads
-UNION ALL SELECT 'distance', group_key, round({haversine_sql(f'{b.HOME[0]}::DOUBLE', f'{b.HOME[1]}::DOUBLE', 'lat', 'lng')}, 4) FROM heads
-UNION ALL SELECT 'place', group_key, length(place)::DOUBLE FROM places
-UNION ALL SELECT 'date', group_key, epoch(start_ts)::DOUBLE FROM heads""")
+SELECT 'photo' AS sort, group_key, row_number() OVER (ORDER BY photo_score DESC, start_ts, group_key) - 1 AS position FROM heads
+UNION ALL SELECT 'distance', group_key, row_number() OVER (ORDER BY round({_DISTANCE}, 6) NULLS LAST, group_key) - 1 FROM heads
+UNION ALL SELECT 'place', group_key, row_number() OVER (ORDER BY place = '', lower(strip_accents(place)), start_ts, group_key) - 1 FROM places
+UNION ALL SELECT 'date', group_key, row_number() OVER (ORDER BY start_ts DESC, group_key) - 1 FROM heads""")
 def orderings(spark, sf):
-    heads = _heads(spark, sf)
-    parts = [
-        views.by_photo_score(heads).select(F.lit("photo").alias("sort"), "group_key", F.col("photo_score").alias("k")),
-        views.by_distance(heads, *b.HOME).select(F.lit("distance").alias("sort"), "group_key", F.round("distance_km", 4).alias("k")),
-        views.by_place(heads).select(F.lit("place").alias("sort"), "group_key", F.length("place").cast("double").alias("k")),
-        views.by_date(heads, newest_first=True).select(F.lit("date").alias("sort"), "group_key", F.unix_seconds("start_ts").cast("double").alias("k")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    heads = checkpointed(_heads(spark, sf).select("group_key", "photo_score", "start_ts", "venue_name", "locality", "lat", "lng"))
+    sorts = {"photo": views.by_photo_score(heads), "distance": views.by_distance(heads, *b.HOME), "place": views.by_place(heads),
+             "date": views.by_date(heads, newest_first=True)}
+    parts = [sorted_positions(x.select("group_key")).select(F.lit(k).alias("sort"), "group_key", "position") for k, x in sorts.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("c5_events_at_venues", f"""

@@ -543,14 +543,17 @@ def _esc(expr: str) -> str:
     return f"regexp_replace(replace(replace(replace({expr}, '\\', '\\\\'), ';', '\\;'), ',', '\\,'), '\\r?\\n', '\\\\n', 'g')"
 
 
-@query("a17_calendar_entries", f"""
-WITH {_HEADS}, e AS (SELECT group_key, array_to_string(list_filter([
+_ENTRY = f"""array_to_string(list_filter([
   'BEGIN:VEVENT', 'UID:' || group_key || '@vantage', 'DTSTAMP:20240212T060000Z', 'DTSTART:' || strftime(start_ts, '%Y%m%dT%H%M%SZ'),
   'DTEND:' || strftime(coalesce(end_ts, start_ts + INTERVAL 2 HOUR), '%Y%m%dT%H%M%SZ'), 'SUMMARY:' || {_esc('title')},
   'DESCRIPTION:' || {_esc("concat_ws(chr(10), nullif(description, ''), nullif(url, ''))")},
   'LOCATION:' || {_esc("concat_ws(', ', nullif(venue_name, ''), nullif(address, ''))")},
   'CATEGORIES:' || {_esc("nullif(category, '')")}, 'GEO:' || lat || ';' || lng, 'URL:' || nullif(url, ''), 'END:VEVENT'
-  ], lambda x: x IS NOT NULL), chr(13) || chr(10)) || chr(13) || chr(10) AS entry FROM heads)
+  ], lambda x: x IS NOT NULL), chr(13) || chr(10)) || chr(13) || chr(10)"""
+
+
+@query("a17_calendar_entries", f"""
+WITH {_HEADS}, e AS (SELECT group_key, {_ENTRY} AS entry FROM heads)
 SELECT group_key, md5(entry) AS entry_md5, true AS short_lines FROM e""")
 def calendar_entries(spark, sf):
     rows = ics.entry(_heads(spark, sf), b.listing_as_of(), description_chars=None)
@@ -559,12 +562,19 @@ def calendar_entries(spark, sf):
 
 
 @query("a17_calendar_files", f"""
-WITH {_HEADS} SELECT category, count(*) AS events, count(*) AS ends FROM heads WHERE NOT hidden GROUP BY category""")
+WITH {_HEADS}, e AS (SELECT *, {_ENTRY} AS entry FROM heads WHERE NOT hidden),
+body AS (
+  SELECT category, strftime(start_ts, '%Y-%m') AS month, string_agg(entry, '' ORDER BY start_ts, group_key) AS entries, count(*) AS n,
+    concat_ws(' - ', 'Events', nullif(category, '')) AS name
+  FROM e GROUP BY ALL)
+SELECT category, month, md5(array_to_string([
+  'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//vantage//EN', 'CALSCALE:GREGORIAN', 'X-WR-CALNAME:' || {_esc('name')}, 'NAME:' || {_esc('name')},
+  'REFRESH-INTERVAL;VALUE=DURATION:PT2H', 'X-PUBLISHED-TTL:PT2H', 'X-WR-CALDESC:' || n || ' events', 'DESCRIPTION:' || n || ' events', ''
+  ], chr(13) || chr(10)) || entries || 'END:VCALENDAR' || chr(13) || chr(10)) AS text_md5 FROM body""")
 def calendar_files(spark, sf):
     rows = ics.entry(views.feed_events(_heads(spark, sf), b.listing_as_of()), b.listing_as_of(), description_chars=None)
-    files = ics.calendars(rows, "category", per_file=100)
-    count = lambda word: F.size(F.split("ics", word)) - 1
-    return files.groupBy("category").agg(F.sum(count("BEGIN:VEVENT")).alias("events"), F.sum(count("END:VEVENT")).alias("ends"))
+    files = ics.calendars(rows, "category")
+    return files.select("category", "month", F.md5(F.replace("ics", F.lit("\r\n "), F.lit(""))).alias("text_md5"))
 
 
 @query("d24_bounds", f"""
