@@ -6,8 +6,9 @@ The steps, each linear in its input but for pairs that may truly link:
    Equal sets meet by digest and go on as one.
 2. ``prefix tokens``: under one global order (common shingles last, by the sketch), two sets of similarity t share a
    shingle among the first n - ceil(t n) + 1 of each. Tokens of one set alone are dropped in a streamed sort.
-3. Tiles (token, size band): first each set is compared with one hub of its tile, then, once sets have class labels,
-   only sets of different classes that share a tile of fitting size. Groups of copies thus need no pairs among them.
+3. Tiles (token, size band): first each set is compared with the hubs it shares most tiles with, then, once sets have
+   class labels, only sets of different classes that share a tile of fitting size, a token early enough and enough
+   shared tokens for the overlap they need. Groups of copies thus need no pairs among them.
 4. Candidate pairs must pass the bitmap bound; the rest are decided on their whole sorted shingle arrays.
 """
 
@@ -30,6 +31,8 @@ WORDS, PERCENT = 5, 75
 #: data makes them fuller, which costs speed, never a link.
 SKETCH, FILTER_BITS = 1 << 20, 1 << 23
 BITMAP = 1024
+#: Hubs that each set is compared with at first; what they leave apart is compared in full afterwards.
+HUBS = 3
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -100,7 +103,7 @@ def rarity(rows: DataFrame) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, order: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(id, n, tokens): the first shingles of every set, common ones last."""
+    """(id, n, tokens, last): the first shingles of every set, common ones last, and the place of the last in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,19 +111,21 @@ def prefix_tokens(docs: DataFrame, order: np.ndarray, words: int, percent: int)
         for b in batches:
             for i, j, data, off in text_slices(b, "text"):
                 sets = shingle_sets(data, off, words)
-                firsts = []
+                firsts, last = [], []
                 for s in sets:
                     cls = rank[_slots(s)]
                     firsts.append(s[np.argsort(cls, kind="stable")[:prefix_length(len(s), percent)]] if len(s) else s)
+                    last.append(int(rank[_slots(firsts[-1][-1:])][0]) << 56 | int(firsts[-1][-1]) >> 8 if len(s) else 0)
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), tokens], ["id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), tokens, pa.array(last, pa.int64())],
+                                                       ["id", "n", "tokens", "last"])
 
-    return docs.mapInArrow(scan, "id long, n long, tokens array<long>")
+    return docs.mapInArrow(scan, "id long, n long, tokens array<long>, last long")
 
 
 def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """The (token, id, n) rows whose token has another row; rows arrive sorted by token and are streamed."""
+    """The rows whose token has another row; rows arrive sorted by token and are streamed."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_used = None, False  # the last row so far, and whether it has been given out
         for b in batches:
@@ -215,7 +220,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         )
         tokens = (
             prefix_tokens(known, order, words, percent).filter("n > 0").join(sets.select("id", "n"), ["id", "n"], "left_semi")
-            .select(F.explode("tokens").alias("token"), "id", "n")
+            .select(F.posexplode("tokens").alias("pos", "token"), "id", "n", "last").select("token", "id", "n", "pos", "last")
         )
         tiles = stored(shared_tokens(tokens).withColumn("band", band(F.col("n"), percent)))
 
@@ -225,21 +230,30 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return pairs.join(a, "a").join(b, "b").filter(may_link(F.col("na"), F.col("nb"), F.col("bits_a"), F.col("bits_b"), percent)).select("a", "b")
 
         hubs = tiles.groupBy("token", "band").agg(F.min("id").alias("hub"), F.max("id").alias("_top")).filter("hub < _top").drop("_top")
-        first = stored(bounded(tiles.join(hubs, ["token", "band"]).filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()))
+        tried = tiles.join(hubs, ["token", "band"]).filter("id > hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).count()
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
+        first = stored(bounded(tried.withColumn("rank", best).filter(F.col("rank") <= HUBS).select("a", "b")))
         links = stored(linked(known, first, words, percent))
 
         labels = connected_components(links)
-        named = tiles.join(labels, tiles["id"] == labels["node"], "left").select("token", "id", "n", "band", F.coalesce("component", "id").alias("label"))
+        named = tiles.join(labels, tiles["id"] == labels["node"], "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
         mixed = named.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("token")
-        open_tiles = stored(named.join(mixed, "token"))
-        left = open_tiles.toDF("token", "ia", "na", "tile", "la")
-        right = open_tiles.select("token", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("band").alias("_band"),
-                                  F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"))
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
-        once = (F.col("_band") > F.col("tile")) | (F.col("ia") < F.col("ib"))
+        # Of a set's prefix only shared tokens can be in another set; the rest of the set may be.
+        reach = tiles.groupBy("id").agg((F.count(F.lit(1)) + F.ceil(percent * F.first("n") / 100) - 1).alias("reach"))
+        open_tiles = stored(named.join(mixed, "token").join(reach, "id"))
+        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "last", "label", "reach", "band")]
+        left = open_tiles.select("token", F.col("band").alias("tile"), *side("a"))
+        right = open_tiles.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), *side("b"))
+        # The overlap that the pair needs; its first common token stands this early in both.
+        need = F.floor((percent * (F.col("n_a") + F.col("n_b")) + 99 + percent) / (100 + percent))
+        early = (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
+        # The prefix that ends first in the order is seen whole in both sets.
+        most = F.when(F.col("last_a") < F.col("last_b"), F.col("reach_a")).when(F.col("last_a") > F.col("last_b"), F.col("reach_b")).otherwise(F.greatest("reach_a", "reach_b"))
+        fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("label_a") != F.col("label_b")) & early & (most >= need)
+        once = (F.col("band_b") > F.col("tile")) | (F.col("id_a") < F.col("id_b"))
         rest = (
             left.join(right, ["token", "tile"]).filter(fits & once)
-            .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+            .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
         )
         more = stored(linked(known, stored(bounded(rest)), words, percent))
         final = connected_components(links.unionByName(more))
