@@ -102,10 +102,8 @@ def spellings_by_loop(names, towns):
     return out
 
 
-@pytest.mark.parametrize("listed", [8, 1])
-def test_venue_spellings(spark, monkeypatch, listed):
-    monkeypatch.setattr(venues, "MAX_LISTED_TOWNS", listed)
-    rnd = random.Random(listed)
+def test_venue_spellings(spark):
+    rnd = random.Random(8)
     towns = {"kelso", "orange", "bathurst", "lithgow"}
     words = ["hall", "arena", "royal", *towns]
     names = {" ".join(rnd.choices(words, k=rnd.randint(1, 4))): rnd.randint(1, 4) for _ in range(150)}
@@ -114,6 +112,21 @@ def test_venue_spellings(spark, monkeypatch, listed):
     assert got == spellings_by_loop(list(names.items()), towns)
 
 
+def test_venue_with_ten_town_words(spark):
+    towns = [f"town{chr(97 + i)}" for i in range(10)]
+    names = [("Royal Hall " + " ".join(towns), 1), ("Royal Hall", 5), ("Royal Hall " + " ".join(towns[3:5]), 2), ("Other Hall " + towns[0], 1)]
+    got = {r.name: r.canonical for r in venues.canonical_names(
+        spark.createDataFrame(names, "name string, uses bigint"), spark.createDataFrame([(t,) for t in towns], "word string")).collect()}
+    assert got == {names[0][0]: "Royal Hall", names[2][0]: "Royal Hall"}
+
+
+def test_many_areas_and_none(spark):
+    spots = spark.createDataFrame([(-10.0, 100.0 + 299 * 0.1), (60.0, 10.0), (None, None)], "lat double, lng double")
+    many = [validate.Area(f"A{i}", -10.0, 100.0 + i * 0.1, 5.0) for i in range(300)]
+    assert [r.place_reason == "" for r in validate.check_location(spots, many).collect()] == [True, False, True]
+    assert [r.place_reason for r in validate.check_location(spots, []).collect()] == ["outside every area"] * 2 + [""]
+
+
 def test_known_venue_spellings(spark):
     names = [("Mount Panorama Circuit", 5), ("Mount Panorama", 4), ("Mount Panorama Bathurst", 2), ("Mount Panorama, Bathurst", 2), ("Panorama Bathurst", 2),
              ("Mount Panorama Motor Racing Circuit", 1), ("Mount Panorama Racing Circuit, Bathurst, NSW, Australia", 1), ("Rydges Mount Panorama", 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,6 @@ PAST_GRACE_HOURS = 36
 HORIZON_DAYS = 400
 MAX_DURATION_DAYS = 21
 RADIUS_SLACK = 1.5
-# Areas are job settings, a handful of places; beyond this many use areas_within().
-MAX_LITERAL_AREAS = 200
 
 
 @dataclass(frozen=True)
@@ -59,28 +58,30 @@ def check_dates(raw: DataFrame, as_of: Column) -> DataFrame:
     }).drop("_end")
 
 
+def area_list(areas: list[Area]) -> Column:
+    """The areas of a job as one constant array; its size is that of the job's settings."""
+    text = json.dumps([{"lat": a.lat, "lng": a.lng, "radius_km": a.radius_km} for a in areas])
+    return F.from_json(F.lit(text), "array<struct<lat:double,lng:double,radius_km:double>>")
+
+
 def nearest_area_km(lat: Column, lng: Column, areas: list[Area]) -> Column:
-    distances = [haversine_km(F.lit(a.lat), F.lit(a.lng), lat, lng) for a in areas]
-    return F.least(*distances) if len(distances) > 1 else distances[0]
+    """Distance to the nearest area's centre, null without areas."""
+    return F.array_min(F.transform(area_list(areas), lambda a: haversine_km(a["lat"], a["lng"], lat, lng)))
 
 
 def inside_any_area(lat: Column, lng: Column, areas: list[Area], slack: float = RADIUS_SLACK) -> Column:
-    if len(areas) > MAX_LITERAL_AREAS:
-        raise ValueError("too many areas for literals; use areas_within() with an area table")
-    tests = [haversine_km(F.lit(a.lat), F.lit(a.lng), lat, lng) <= a.radius_km * slack for a in areas]
-    out = F.lit(False)
-    for test in tests:
-        out = out | test
-    return out
+    return F.coalesce(F.exists(
+        area_list(areas), lambda a: haversine_km(a["lat"], a["lng"], lat, lng) <= a["radius_km"] * slack
+    ), F.lit(False))
 
 
 def check_location(raw: DataFrame, areas: list[Area]) -> DataFrame:
-    """Add place_reason: '' for rows without coordinates or near an area."""
+    """Add place_reason: '' for rows without coordinates or near an area; without areas no place is near."""
     lat, lng = F.col("lat"), F.col("lng")
     km = half_up(nearest_area_km(lat, lng, areas)).cast("string")
     fine = lat.isNull() | lng.isNull() | inside_any_area(lat, lng, areas)
     return raw.withColumn(
-        "place_reason", F.when(fine, "").otherwise(F.concat(km, F.lit(" km outside every area")))
+        "place_reason", F.when(fine, "").otherwise(F.concat_ws(" km ", km, F.lit("outside every area")))
     )
 
 

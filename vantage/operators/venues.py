@@ -10,10 +10,6 @@ from vantage.functions.address import is_country, is_postcode, is_region
 from vantage.functions.text import squeeze, trim_all, venue_words
 from vantage.operators.components import connected_components
 
-# Subsets of a name's town words are listed up to this many words; longer names
-# are compared within their block instead.
-MAX_LISTED_TOWNS = 8
-
 
 def spelling_counts(events: DataFrame) -> DataFrame:
     return (
@@ -73,34 +69,20 @@ def _nodes(keys: DataFrame, towns: DataFrame) -> DataFrame:
 def absorb_edges(nodes: DataFrame) -> DataFrame:
     """(a, b): key a is key b said without some of its town words.
 
-    A shorter key must equal b's words minus a non-empty set of town words, so
-    those sets are listed and looked up - no pairs within a block are formed.
+    The core words agree and a's town words are fewer of b's. A key without
+    town words meets the longer ones on the core; any other meets them on the
+    core and its first town word, which each of them lists once.
     """
-    a = nodes.select(F.col("key").alias("a"), F.col("n_words").alias("_an"), F.col("word_set"))
-    listed = nodes.filter(F.size("towns").between(1, MAX_LISTED_TOWNS))
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("towns")) - 2)
-    chosen = F.filter(
-        "towns", lambda _w, i: F.call_function("shiftright", F.col("_mask"), i).bitwiseAND(F.lit(1)) == 1
-    )
-    shorter = (
-        listed.withColumn("_mask", F.explode(masks))
-        .withColumn("word_set", F.array_join(F.array_sort(F.concat("core", chosen)), " "))
-        .select(F.col("key").alias("b"), F.col("n_words").alias("_bn"), "word_set")
-    )
-    looked_up = shorter.join(a, "word_set").filter(F.col("_an") <= F.col("_bn")).select("a", "b")
-    long_names = nodes.filter(F.size("towns") > MAX_LISTED_TOWNS).select(
-        F.col("key").alias("b"), F.col("n_words").alias("_bn"), F.array_join("core", " ").alias("_core"),
-        F.col("towns").alias("_btowns"),
-    )
-    block = nodes.select(
-        F.col("key").alias("a"), F.col("n_words").alias("_an"), F.array_join("core", " ").alias("_core"),
-        F.col("towns").alias("_atowns"),
-    )
-    compared = long_names.join(block, "_core").filter(
+    core = F.array_join("core", " ")
+    a = nodes.select(F.col("key").alias("a"), F.col("n_words").alias("_an"), core.alias("_core"), F.col("towns").alias("_atowns"),
+                     F.coalesce(F.try_element_at("towns", F.lit(1)), F.lit("")).alias("_town"))
+    meets = F.explode(F.concat(F.array(F.lit("")), F.array_distinct("towns")))
+    b = nodes.filter(F.size("towns") > 0).select(
+        F.col("key").alias("b"), F.col("n_words").alias("_bn"), core.alias("_core"), F.col("towns").alias("_btowns"), meets.alias("_town"))
+    return b.join(a, ["_core", "_town"]).filter(
         (F.size(F.array_except("_atowns", "_btowns")) == 0)
         & (F.size("_atowns") < F.size("_btowns")) & (F.col("_an") <= F.col("_bn"))
     ).select("a", "b")
-    return looked_up.unionByName(compared)
 
 
 def canonical_names(names: DataFrame, towns: DataFrame) -> DataFrame:

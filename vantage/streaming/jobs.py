@@ -6,7 +6,7 @@ trigger drains what has landed and stops, which suits a scheduled pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,20 +49,23 @@ def latest_per_venue(stream: DataFrame) -> DataFrame:
     ).select("area", "name", "ts", "_r.live", "_r.typical", "_r.weight")
 
 
-def hourly_sums(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Live readings summed per venue and hour; complete hours come out once the watermark passes."""
+def quarter_sums(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """Live readings summed per venue and quarter of an hour, which no zone's offset splits.
+
+    Complete quarters come out once the watermark passes.
+    """
     return (
         stream.filter(F.col("live").isNotNull()).withWatermark("ts", delay)
-        .groupBy("area", "name", F.window("ts", "1 hour"))
+        .groupBy("area", "name", F.window("ts", "15 minutes"))
         .agg(F.sum("live").alias("live_sum"), F.count(F.lit(1)).alias("samples"))
-        .select("area", "name", F.col("window.start").alias("hour_start"), "live_sum", "samples")
+        .select("area", "name", F.col("window.start").alias("start"), "live_sum", "samples")
     )
 
 
-def fold_hours(hourly: DataFrame, tz: str) -> DataFrame:
-    """Hourly sums to the weekday and hour pattern. The zone's offset must be whole hours."""
-    start = F.from_utc_timestamp("hour_start", tz)
-    return hourly.groupBy("area", "name", (F.dayofweek(start) - 1).alias("dow"), F.hour(start).alias("hour")).agg(
+def fold_hours(quarters: DataFrame, tz: str) -> DataFrame:
+    """Sums of quarters to the weekday and hour pattern of a zone."""
+    start = F.from_utc_timestamp("start", tz)
+    return quarters.groupBy("area", "name", (F.dayofweek(start) - 1).alias("dow"), F.hour(start).alias("hour")).agg(
         half_up(F.sum("live_sum") / F.sum("samples")).cast("int").alias("avg_live"), F.sum("samples").alias("samples")
     )
 
@@ -70,25 +73,23 @@ def fold_hours(hourly: DataFrame, tz: str) -> DataFrame:
 def _advance_streak(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    streak = state.get[0] if state.exists else 0
-    hit, misses = None, []
+    """The state holds the newest hit and the ids of the misses after it, so late and repeated checks count right."""
+    hit, misses = state.get if state.exists else (None, [])
+    misses = set(misses)
     for batch in batches:
         hits = batch.loc[batch["saw_panel"], "check_id"]
         if len(hits):
-            hit = hits.max() if hit is None else max(hit, hits.max())
-        # Misses before the newest hit no longer matter.
-        misses = [m for m in misses if hit is None or m > hit]
-        missed = batch.loc[~batch["saw_panel"], "check_id"]
-        misses += (missed if hit is None else missed[missed > hit]).tolist()
-    streak = len(misses) if hit is not None else streak + len(misses)
-    state.update((streak,))
-    yield pd.DataFrame({"area": [key[0]], "cid": [key[1]], "barren_streak": [streak]})
+            hit = int(hits.max()) if hit is None else max(hit, int(hits.max()))
+        misses.update(int(m) for m in batch.loc[~batch["saw_panel"], "check_id"])
+        misses = {m for m in misses if hit is None or m > hit}
+    state.update((hit, sorted(misses)))
+    yield pd.DataFrame({"area": [key[0]], "cid": [key[1]], "barren_streak": [len(misses)]})
 
 
 def barren_streaks(stream: DataFrame) -> DataFrame:
-    """Running count of checks without a panel per venue; write with the update mode."""
+    """Running count of checks without a panel since the newest with one, per venue; write with the update mode."""
     return stream.groupBy("area", "cid").applyInPandasWithState(
-        _advance_streak, "area string, cid string, barren_streak int", "streak int", "update",
+        _advance_streak, "area string, cid string, barren_streak int", "hit long, misses array<long>", "update",
         GroupStateTimeout.NoTimeout,
     )
 
@@ -111,16 +112,17 @@ def upsert_stream(stream: DataFrame, table: str, checkpoint: str, order: list[st
 
 
 def validate_stream(
-    stream: DataFrame, accepted: str, rejected: str, checkpoint: str, as_of: Column, areas: list[Area],
-    trigger: dict | None = None,
+    stream: DataFrame, accepted: str, rejected: str, checkpoint: str, as_of: Column | Callable[[], Column],
+    areas: list[Area], trigger: dict | None = None,
 ) -> StreamingQuery:
     """Split landed listings into accepted rows and rejects with their reason.
 
-    Folders are named by batch, so a replayed batch overwrites itself.
+    Folders are named by batch, so a replayed batch overwrites itself. A
+    function for ``as_of`` is asked anew for every batch.
     """
 
     def split(batch: DataFrame, epoch: int) -> None:
-        good, bad = split_valid(batch, as_of, areas)
+        good, bad = split_valid(batch, as_of() if callable(as_of) else as_of, areas)
         good.write.mode("overwrite").parquet(f"{accepted}/batch={epoch}")
         bad.write.mode("overwrite").parquet(f"{rejected}/batch={epoch}")
 
@@ -130,19 +132,20 @@ def validate_stream(
     )
 
 
-def snapshot_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep only the newest pass of each area; a batch with an older pass changes nothing."""
+def snapshot_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, max_age: Column | None = None) -> StreamingQuery:
+    """Keep only the newest pass of each area; a batch with an older pass changes nothing.
+
+    With ``max_age`` (an interval) an area whose newest pass is older than that is left out.
+    """
 
     def refresh(batch: DataFrame, _epoch: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.join(batch.groupBy("area").agg(F.max("ts").alias("ts")), ["area", "ts"]).select(*batch.columns)
-        current = read_current(spark, path)
-        if current is not None:
-            both = current.select(*batch.columns).unionByName(newest)
-            newest = both.join(both.groupBy("area").agg(F.max("ts").alias("ts")), ["area", "ts"]).select(*batch.columns)
-            # A pass split over two batches, or a replayed batch, must not repeat rows.
-            newest = newest.dropDuplicates(["area", "obs_id"])
-        write_next(newest, path)
+        current = read_current(batch.sparkSession, path)
+        both = batch if current is None else current.select(*batch.columns).unionByName(batch)
+        newest = both.join(both.groupBy("area").agg(F.max("ts").alias("ts")), ["area", "ts"]).select(*batch.columns)
+        if max_age is not None:
+            newest = newest.filter(F.col("ts") >= F.current_timestamp() - max_age)
+        # A pass split over two batches, or a replayed batch, must not repeat rows.
+        write_next(newest.dropDuplicates(["area", "obs_id"]), path)
 
     return (
         stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
