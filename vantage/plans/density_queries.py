@@ -368,15 +368,16 @@ def round_robin(spark, sf):
 
 @query("e8_choose_venues", f"""
 WITH {b.VENUE_SQL},
+linked AS (SELECT cid, term, pos FROM venues WHERE term = 'NATION_5' AND pos % 4 = 0),
 pinned AS (SELECT cid, term, pos FROM venues WHERE term IN ('NATION_3', 'NATION_7')
   QUALIFY row_number() OVER (PARTITION BY term ORDER BY pos) <= 2),
 rest AS (SELECT cid, term, pos, row_number() OVER (PARTITION BY term ORDER BY pos) AS turn,
-  min(pos) OVER (PARTITION BY term) AS term_pos FROM venues WHERE cid NOT IN (SELECT cid FROM pinned))
-SELECT cid, term FROM pinned UNION ALL
-(SELECT cid, term FROM rest ORDER BY turn, term_pos LIMIT (SELECT 60 - count(*) FROM pinned))""")
+  min(pos) OVER (PARTITION BY term) AS term_pos FROM venues WHERE cid NOT IN (SELECT cid FROM pinned UNION ALL SELECT cid FROM linked))
+SELECT cid, term FROM linked UNION ALL SELECT cid, term FROM pinned UNION ALL
+(SELECT cid, term FROM rest ORDER BY turn, term_pos LIMIT (SELECT greatest(0, 60 - count(*) - (SELECT count(*) FROM linked)) FROM pinned))""")
 def choose(spark, sf):
     found = b.venues(spark, sf).select("cid", "term", "pos")
-    return venue_life.choose_venues(found, found.limit(0), ["NATION_3", "NATION_7"], 60).select("cid", "term")
+    return venue_life.choose_venues(found, found.filter("term = 'NATION_5' and pos % 4 = 0"), ["NATION_3", "NATION_7"], 60).select("cid", "term")
 
 
 @query("f12_pinned_first", f"""

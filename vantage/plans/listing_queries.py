@@ -29,9 +29,9 @@ def _quoted(words) -> str:
 # --- keys and text --------------------------------------------------------------------------
 
 
-@query("h1_title_keys", f"WITH {LISTING_SQL} SELECT id, {_sub(TITLE_KEY_SQL, 'title')} AS title_key FROM listing")
+@query("h1_title_keys", f"WITH {LISTING_SQL} SELECT id, {_sub(TITLE_KEY_SQL, 'title')} AS title_key, {_sub(TITLE_KEY_SQL, 'description')} AS text_key FROM listing")
 def title_keys(spark, sf):
-    return b.listings(spark, sf).select("id", text.title_key(F.col("title")).alias("title_key"))
+    return b.listings(spark, sf).select("id", text.title_key(F.col("title")).alias("title_key"), text.title_key(F.col("description")).alias("text_key"))
 
 
 _VENUE_KEY = (

@@ -292,10 +292,12 @@ def week_profiles(spark, sf):
 @query("d21_capture_quality", f"""
 WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, hour(ts + INTERVAL {b.TZ_HOURS} HOUR) AS hour FROM events)
 SELECT 'area-' || (user_id % 3) AS area, count(*) AS venues, count(*) FILTER (event_id % 3 = 0) AS with_live,
-  count(*) FILTER (event_id % 3 = 1 AND hour = 15) AS with_typical, count(*) FILTER (event_id % 3 = 0) AS profiles_updated, 0::BIGINT AS quick_checked
+  count(*) FILTER (event_id % 3 = 1 AND hour = 15) AS with_typical, count(*) FILTER (event_id % 3 = 0) AS profiles_updated, count(*) FILTER (user_id % 2 = 0) AS quick_checked
 FROM e GROUP BY ALL""")
 def capture_quality(spark, sf):
-    return panels.capture_quality(_captures(spark, sf), None, b.TZ)
+    seen = _captures(spark, sf)
+    waits = seen.select("area", "cid").distinct().withColumn("wait_ms", F.when(F.col("cid").cast("long") % 2 == 0, 3500).otherwise(13000))
+    return panels.capture_quality(seen, waits, b.TZ)
 
 
 @query("a9_place_links", """
@@ -578,9 +580,13 @@ def calendar_files(spark, sf):
 
 
 @query("d24_bounds", f"""
-WITH {_HEADS} SELECT round(min(lat), 6) AS south, round(min(lng), 6) AS west, round(max(lat), 6) AS north, round(max(lng), 6) AS east FROM heads WHERE NOT hidden""")
+WITH {_HEADS}, {b.VENUE_SQL}, boxes AS (
+  SELECT lat AS south, lng AS west, lat AS north, lng AS east FROM heads WHERE NOT hidden AND lat IS NOT NULL AND lng IS NOT NULL
+  UNION ALL SELECT lat - 0.01, lon - 0.02, lat + 0.01, lon + 0.02 FROM venues)
+SELECT round(min(south), 6) AS south, round(min(west), 6) AS west, round(max(north), 6) AS north, round(max(east), 6) AS east FROM boxes""")
 def event_bounds(spark, sf):
-    cells = _heads(spark, sf).limit(0).select(*[F.lit(0.0).alias(c) for c in ("south", "north", "west", "east")])
+    lat, lon = F.col("lat"), F.col("lon")
+    cells = b.venues(spark, sf).select((lat - 0.01).alias("south"), (lat + 0.01).alias("north"), (lon - 0.02).alias("west"), (lon + 0.02).alias("east"))
     return views.bounds(cells, _heads(spark, sf)).select(*[F.round(c, 6).alias(c) for c in ("south", "west", "north", "east")])
 
 
