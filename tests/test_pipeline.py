@@ -159,6 +159,17 @@ def test_discovered_venues(spark):
     assert (row.name, row.cid, row.term, row.kgmid) == ("Mount Panorama", "0xa1:0xb2", "pub", "/m/0abc")
 
 
+def test_calendar_feed_durations_repeats_and_horizon(spark):
+    event = lambda uid, start, rest: f"BEGIN:VEVENT\r\nUID:{uid}\r\nDTSTART:{start}\r\n{rest}\r\nEND:VEVENT\r\n"
+    text = "BEGIN:VCALENDAR\r\n" + event("a", "20260901T100000Z", "SUMMARY:first") + event("b", "20260901T100000Z", "DURATION:P1DT2H30M") + event(
+        "a", "20260902T100000Z", "SUMMARY:last\r\nDURATION:PT90S") + event("c", "20270302T110000Z", "DTEND:20270302T120000Z") + event("d", "20270304T000000Z", "X:1")
+    feeds = spark.createDataFrame([("u", "F", text)], "feed_url string, feed_name string, text string")
+    rows = {r.source_id[9:]: r for r in calendar_feed.calendar_events(feeds, F.lit("2026-08-31 12:00:00").cast("timestamp")).collect()}
+    assert {k: r.end_time for k, r in rows.items()} == {
+        "a": "2026-09-02T10:01:30.000Z", "b": "2026-09-02T12:30:00.000Z", "c": "2027-03-02T12:00:00.000Z"}
+    assert rows["a"].title == "last"
+
+
 def test_calendar_text(spark, tmp_path):
     t = datetime(2026, 8, 22)
     rows = [("g1", "é" * 90, "A cruise; with punctuation, and\na newline." + "x" * 600, t, None, "Mount Panorama", "Bathurst, NSW", "", -33.4, 149.5, "https://e.org/1"),

@@ -43,23 +43,42 @@ def _instant(block: Column, name: str, tz: str) -> Column:
     )
 
 
+def _length(block: Column) -> Column:
+    """The DURATION of an event, null when it has none."""
+    raw = _value(block, "DURATION")
+    part = lambda unit: F.coalesce(F.regexp_extract(raw, rf"([0-9]+){unit}", 1).try_cast("int"), F.lit(0))
+    seconds = part("W") * 604_800 + part("D") * 86_400 + part("H") * 3_600 + part("(?=M)") * 60 + part("S")
+    return F.when(raw.rlike(r"^\+?P(?=[0-9T])"), F.make_dt_interval(secs=seconds))
+
+
+def horizon(as_of: Column, months: int = 6) -> Column:
+    """The same day and time some months on; a day that month lacks runs over into the next."""
+    first = F.add_months(F.trunc(as_of, "month"), months)
+    return F.date_add(first, F.dayofmonth(as_of) - 1).cast("timestamp") + (as_of - F.date_trunc("day", as_of))
+
+
 def calendar_events(feeds: DataFrame, as_of: Column, tz: str = "UTC") -> DataFrame:
-    """Listings of (feed_url, feed_name, text) starting in (as_of - 24 h, as_of + 6 months]."""
+    """Listings of (feed_url, feed_name, text) starting in (as_of - 24 h, as_of + 6 months].
+
+    Of events that share a UID within a feed the last one counts.
+    """
     unfolded = F.regexp_replace("text", "\r?\n[ \t]", "")
     blocks = F.filter(F.split(unfolded, "BEGIN:VEVENT"), lambda _b, i: i > 0)
     block = F.substring_index(F.col("_block"), "END:VEVENT", 1)
-    rows = feeds.select("feed_url", "feed_name", F.explode(blocks).alias("_block")).withColumn("b", block)
+    rows = feeds.select("feed_url", "feed_name", F.posexplode(blocks).alias("_pos", "_block")).withColumn("b", block).drop("_block")
     # Alarms inside an event carry their own properties.
     rows = rows.withColumn("b", F.regexp_replace("b", r"(?s)BEGIN:VALARM.*?END:VALARM", ""))
     b = F.col("b")
-    rows = rows.withColumns({
-        "_start": _instant(b, "DTSTART", tz), "_end": _instant(b, "DTEND", tz),
+    own = F.coalesce(_value(b, "UID"), F.concat(F.lit("\u0001"), F.col("_pos").cast("string")))
+    rows = rows.groupBy("feed_url", own.alias("_own")).agg(
+        F.max_by(F.struct("feed_name", "b"), "_pos").alias("_last")).select("feed_url", "_last.feed_name", "_last.b")
+    rows = rows.withColumn("_start", _instant(b, "DTSTART", tz)).withColumns({
+        "_end": F.coalesce(_instant(b, "DTEND", tz), F.col("_start") + _length(b)),
         "_summary": _unescape(_value(b, "SUMMARY")), "_geo": _value(b, "GEO"), "_uid": _value(b, "UID"),
     })
     start = F.col("_start")
     rows = rows.filter(
-        (start <= F.add_months(as_of.cast("date"), 6).cast("timestamp") + (as_of - F.date_trunc("day", as_of)))
-        & (start >= as_of - F.make_dt_interval(hours=F.lit(24)))
+        (start <= horizon(as_of)) & (start >= as_of - F.make_dt_interval(hours=F.lit(24)))
     )
     summary = F.coalesce("_summary", F.lit("undefined"))
     uid = F.coalesce("_uid", F.sha1(F.concat_ws("|", "feed_url", summary, iso(start))))
