@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from vantage import vocab
 from vantage.functions import geo, shoot, text
 from vantage.functions.astro import moon, with_sun
-from vantage.operators import conditions as cond
+from vantage.operators import areas, conditions as cond
 from vantage.operators import grid, merged, views
+from vantage.operators.validate import Area
 from vantage.plans import bindings as b
 from vantage.plans.bindings import haversine_sql
 from vantage.plans.light_sql import label_sql, score_sql, sun_sql, why_sql
@@ -226,7 +227,8 @@ catalogue AS (SELECT DISTINCT source, upper(source) AS label FROM documents UNIO
 SELECT c.source, c.label, coalesce(state, 'never_run') AS state, CASE WHEN state = 'ok' THEN total WHEN state IS NULL THEN 0 ELSE 7 END AS count,
   CASE WHEN state IS NULL THEN 'Not fetched yet' WHEN state = 'missing_config' THEN 'no key' WHEN state = 'error' THEN 'timeout'
     ELSE 'Fetched ' || total || ' events' || CASE WHEN areas > 1 THEN ' across ' || areas || ' areas' ELSE '' END
-      || CASE WHEN failed > 0 THEN ' (' || failed || ' area failed)' ELSE '' END END AS message
+      || CASE WHEN failed > 0 THEN ' (' || failed || ' area failed)' ELSE '' END END AS message,
+  CASE WHEN state IS NOT NULL THEN '2024-02-12 06:00:00' WHEN source <> 'other' THEN '2024-01-01 00:00:00' END AS last_fetch
 FROM catalogue c LEFT JOIN state USING (source)""")
 def source_status(spark, sf):
     docs = b.table(spark, sf, "documents")
@@ -235,10 +237,28 @@ def source_status(spark, sf):
     log = docs.groupBy("source", F.col("lang").alias("area")).agg(F.count(F.lit(1)).alias("fetched")).withColumn("outcome", outcome).withColumn(
         "reason", F.when(F.col("outcome") == "missing", "no key").otherwise("timeout"))
     known = docs.select("source").distinct()
-    previous = known.select("source", F.lit("ok").alias("state"), F.lit("old").alias("message"), F.lit(7).cast("bigint").alias("count"))
+    previous = known.select("source", F.lit("ok").alias("state"), F.lit("old").alias("message"), F.lit(7).cast("bigint").alias("count"),
+                            F.lit("2024-01-01").cast("timestamp").alias("last_fetch"))
     catalogue = known.select("source", F.upper("source").alias("label"), F.lit(False).alias("unofficial")).unionByName(
         spark.range(1).select(F.lit("other").alias("source"), F.lit("OTHER").alias("label"), F.lit(False).alias("unofficial")))
-    return registry.source_catalogue(catalogue, registry.status_rollup(log, previous)).drop("unofficial")
+    return registry.source_catalogue(catalogue, registry.status_rollup(log, previous, F.lit("2024-02-12 06:00:00").cast("timestamp")))\
+        .withColumn("last_fetch", time_text(F.col("last_fetch"))).drop("unofficial")
+
+
+@query("g6_event_areas", """
+WITH n AS (SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN -33.0 - n_nationkey::DOUBLE / 10 END AS lat,
+  CASE WHEN n_nationkey % 2 = 0 THEN 149.0::DOUBLE END AS lng, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey::DOUBLE + 1 END AS radius FROM nation)
+SELECT 'Home' AS name, -33.4::DOUBLE AS lat, 149.5::DOUBLE AS lng, 25.0::DOUBLE AS radius_km
+UNION ALL SELECT name, coalesce(lat, -30.0::DOUBLE), coalesce(lng, k::DOUBLE), coalesce(radius, 25.0) FROM n WHERE k % 7 <> 5 AND (lat IS NOT NULL OR k % 5 <> 1)""")
+def event_areas(spark, sf):
+    k = F.col("n_nationkey")
+    nation = b.table(spark, sf, "nation")
+    extra = nation.select(k.alias("position"), F.when(k % 7 == 5, "  ").otherwise(F.concat(F.lit(" "), "n_name")).alias("name"),
+                          F.when(k % 2 == 0, -33.0 - k.cast("double") / 10).alias("lat"), F.when(k % 2 == 0, F.lit(149.0)).alias("lng"),
+                          F.when(k % 3 == 0, k.cast("double") + 1).alias("radius_km"))
+    hit = F.struct(F.lit("x").alias("display_name"), F.lit(-30.0).alias("lat"), k.cast("double").alias("lng"))
+    gazetteer = nation.select(F.lower("n_name").alias("query"), F.when(k % 5 != 1, F.array(hit)).alias("hits"))
+    return areas.event_areas(extra, gazetteer, 25.0, Area("Home", -33.4, 149.5, 25.0)).drop("position")
 
 
 # --- panels and places -----------------------------------------------------------------------------

@@ -30,11 +30,12 @@ def gather(landings: dict[str, DataFrame], sources: list[Source], ingest_ts: Col
     return out.withColumn("ingest_ts", ingest_ts)
 
 
-def status_rollup(log: DataFrame, previous: DataFrame) -> DataFrame:
+def status_rollup(log: DataFrame, previous: DataFrame, as_of: Column) -> DataFrame:
     """Source status from an ingest log (source, area, outcome, reason, fetched) and the last status.
 
     outcome is ok, failed, disabled or missing. A source is in error only when
-    every area failed; counts survive runs that produced none.
+    every area failed; counts survive runs that produced none. ``as_of`` becomes
+    the last fetch of every source in the log.
     """
     seen = log.groupBy("source").agg(
         F.bool_or(F.col("outcome") == "disabled").alias("_disabled"),
@@ -61,11 +62,11 @@ def status_rollup(log: DataFrame, previous: DataFrame) -> DataFrame:
         F.col("_state") == "missing_config", F.col("_needs")).otherwise("Disabled in Settings")
     now = seen.withColumn("_state", state).select(
         "source", F.col("_state").alias("new_state"), message.alias("new_message"),
-        F.when(F.col("_state") == "ok", F.col("_total")).alias("new_count"),
+        F.when(F.col("_state") == "ok", F.col("_total")).alias("new_count"), as_of.alias("new_fetch"),
     )
     return previous.join(now, "source", "full_outer").select(
         "source", F.coalesce("new_state", "state").alias("state"), F.coalesce("new_message", "message").alias("message"),
-        F.coalesce("new_count", "count", F.lit(0)).alias("count"),
+        F.coalesce("new_count", "count", F.lit(0)).alias("count"), F.coalesce("new_fetch", "last_fetch").alias("last_fetch"),
     )
 
 
@@ -73,5 +74,5 @@ def source_catalogue(catalogue: DataFrame, status: DataFrame) -> DataFrame:
     """Every known source with its status, 'never_run' when there is none."""
     return catalogue.join(status, "source", "left").select(
         "source", "label", "unofficial", F.coalesce("state", F.lit("never_run")).alias("state"),
-        F.coalesce("message", F.lit("Not fetched yet")).alias("message"), F.coalesce("count", F.lit(0)).alias("count"),
+        F.coalesce("message", F.lit("Not fetched yet")).alias("message"), F.coalesce("count", F.lit(0)).alias("count"), "last_fetch",
     )
