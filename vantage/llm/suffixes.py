@@ -16,7 +16,6 @@ their anchor at the same offset, so it is enough to sort the suffixes at anchors
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ LENGTH, ANCHOR = 100, 40
 #: Bits of the filter of repeated anchors (fixed: a fuller one costs speed only), and rows of a partition.
 FILTER_BITS, PART_ROWS = 1 << 26, 150_000
 #: A task sorts a run when it holds so many anchors.
-RUN_ROWS = 400_000
+RUN_ROWS = 150_000
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,31 +309,63 @@ def cold_spans(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, parts: int, l
     return rows.mapInArrow(scan, "part long, run binary").groupBy("part").applyInArrow(reduce, SPANS)
 
 
-def hot_spans(rows: DataFrame, hot: np.ndarray, length: int, k: int) -> DataFrame:
-    """Spans to remove at hot anchors: whole windows by digest.
+def joined_spans(row: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """(row, from, to) of the unions of windows that start at ``start``; rows come sorted by (row, start)."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(row)) - 1
+    return np.stack((row[at], start[at], start[last] + length), axis=1)
+
 
-    The first start of a digest is a minimum, so a hot one shrinks to a row per task; the join back is by digest, and
-    Spark splits its large partitions.
+def hot_windows(data: np.ndarray, off: np.ndarray, ids: np.ndarray, hot: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first windows as (key, key, id, start), spans) of the windows at hot anchors of a slice.
+
+    A window's key is the hashes of its two halves. Windows that have an earlier equal one in the slice are spans at once.
     """
+    at, h = anchors(data, off, length, k)
+    at = at[np.isin(h, hot)]
+    row = np.searchsorted(off, at, "right") - 1
+    lo, hi = np.maximum(off[row], at - (length - k)), np.minimum(at, off[row + 1] - length) + 1
+    size = np.maximum(hi - lo, 0)
+    s = np.unique(np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())) if len(at) else at
+    if not len(s):
+        return np.zeros((0, 4), np.int64), np.zeros((0, 3), np.int64)
+    sums, inverse, mid = prefix_sums(data), powers(len(data) + 1)[1], s + length // 2
+    a, b = mix((sums[mid] - sums[s]) * inverse[s]).view(np.int64), mix((sums[s + length] - sums[mid]) * inverse[mid]).view(np.int64)
+    row = np.searchsorted(off, s, "right") - 1
+    doc, start = ids[row], s - off[row]
+    order = np.lexsort((start, doc, b, a))
+    first = np.ones(len(s), bool)
+    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    source = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    later = np.sort(order[(doc[order] != doc[source]) | (start[order] != start[source])])
+    spans = joined_spans(row[later], start[later], length)
+    spans[:, 0] = ids[spans[:, 0]]
+    kept = order[first]
+    return np.stack((a[kept], b[kept], doc[kept], start[kept]), axis=1), spans
+
+
+def hot_spans(rows: DataFrame, hot: np.ndarray, length: int, k: int) -> DataFrame:
+    """Spans to remove at hot anchors: windows by key, the first of each slice standing for the slice's."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["digest", "id", "start"], [pa.binary(), pa.int64(), pa.int64()]
         for b in batches:
             ids = b.column(0).to_numpy()
-            out = []
             for i, j, data, off in text_slices(b, "text"):
-                at, h = anchors(data, off, length, k)
-                at, raw = at[np.isin(h, shared.value)], data.tobytes()
-                row = np.searchsorted(off, at, "right") - 1
-                for p, r in zip(at.tolist(), row.tolist(), strict=True):
-                    for s in range(max(int(off[r]), p - (length - k)), min(p, int(off[r + 1]) - length) + 1):
-                        out.append((hashlib.blake2b(raw[s:s + length], digest_size=16).digest(), int(ids[i + r]), s - int(off[r])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[f] for x in out], t) for f, t in enumerate(kinds)], names)
-
-    windows = rows.mapInArrow(scan, "digest binary, id long, start long")
-    firsts = windows.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return windows.join(firsts, "digest").filter(F.struct("id", "start") != F.col("first")).select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
+                firsts, spans = hot_windows(data, off, ids[i:j], shared.value, length, k)
+                none = [None] * len(spans)
+                cols = [pa.array(list(firsts[:, c]) + none, pa.int64()) for c in range(2)]
+                cols += [pa.array(np.concatenate((firsts[:, 2], spans[:, 0]))), pa.array(np.concatenate((firsts[:, 3], spans[:, 1]))),
+                         pa.array(np.concatenate((firsts[:, 3] + length, spans[:, 2])))]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "id", "lo", "hi"])
+
+    found = stored(rows.mapInArrow(scan, "a long, b long, id long, lo long, hi long"))
+    windows = found.filter("a is not null")
+    firsts = windows.groupBy("a", "b").agg(F.min(F.struct("id", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = windows.join(firsts, ["a", "b"]).filter(F.struct("id", "lo") != F.col("first"))
+    return found.filter("a is null").select("id", "lo", "hi").unionByName(later.select("id", "lo", "hi"))
 
 
 def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
