@@ -11,6 +11,7 @@ from vantage.plans import bindings as b
 from vantage.plans.light_sql import label_sql, light_sql, score_sql, sun_sql, surge_sql, why_sql
 from vantage.plans.registry import query, time_sql, time_text
 from vantage.sources import observations as ob
+from vantage.streaming import jobs
 
 AS_OF = f"TIMESTAMP '{b.AS_OF}'"
 DOW = "dayofweek(local_ts)"
@@ -82,6 +83,13 @@ def latest(spark, sf):
         "area", "name", "obs_id", time_text(F.col("ts")).alias("ts"), "live", "typical")
 
 
+@query("i3_latest", f"""
+WITH {b.OBS_SQL}, {_LATEST}
+SELECT area, name, {time_sql('ts')} AS ts, live, typical FROM latest""")
+def latest_streamed(spark, sf):
+    return jobs.latest_per_venue(_readings(spark, sf)).select("area", "name", time_text(F.col("ts")).alias("ts"), "live", "typical")
+
+
 _VENUE_NOW = f"""{b.OBS_SQL}, {b.VENUE_SQL}, {_LATEST},
 joined AS (
   SELECT v.area, v.cid, v.name, v.lat, v.lon, l.live, l.typical, coalesce(l.weight, 0) AS score, l.ts,
@@ -154,17 +162,25 @@ def name_search(spark, sf):
 # --- histories ---------------------------------------------------------------------------------
 
 
-@query("d7_hourly_pattern", f"""
+_HOURLY = f"""
 WITH {b.OBS_SQL}
 SELECT area, name, dayofweek(local_ts)::INTEGER AS dow, hour(local_ts)::INTEGER AS hour,
   floor(avg(live) + 0.5)::INTEGER AS avg_live, count(*) AS samples
-FROM readings WHERE live IS NOT NULL GROUP BY ALL""")
+FROM readings WHERE live IS NOT NULL GROUP BY ALL"""
+
+
+@query("d7_hourly_pattern", _HOURLY)
 def hourly(spark, sf):
     return rd.hourly_pattern(_readings(spark, sf), b.TZ)
 
 
+@query("i7_folded_hours", _HOURLY)
+def folded_hours(spark, sf):
+    return jobs.fold_hours(jobs.quarter_sums(_readings(spark, sf)), b.TZ)
+
+
 @query("d8_daily_coverage", f"""
-WITH {b.OBS_SQL}, {b.VENUE_SQL}, week AS (SELECT DISTINCT area, name, d AS dow FROM venues, range(7) t(d)),
+WITH {b.OBS_SQL}, {b.VENUE_SQL}, week AS (SELECT DISTINCT area, cid, name, d AS dow FROM venues, range(7) t(d)),
 counted AS (SELECT area, name, {DOW} AS dow, count(*) AS readings, count(live) AS live FROM readings GROUP BY ALL)
 SELECT area, cid, name, dow::INTEGER AS dow, coalesce(readings, 0) AS readings, coalesce(live, 0) AS live
 FROM week LEFT JOIN counted USING (area, name, dow)""")
