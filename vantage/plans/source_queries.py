@@ -186,7 +186,7 @@ def structured_rows(spark, sf):
 
 @query("a6_c13_candidate_pages", """
 WITH links AS (SELECT page_id // 10 AS query_pos, page_id % 10 AS link_pos, CASE WHEN page_id % 7 = 0 THEN 'https://m.facebook.com/p' || page_id ELSE url END AS url FROM pages),
-h AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS host FROM links WHERE link_pos < 8),
+h AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS host FROM links),
 k AS (SELECT *, split_part(url, '#', 1) AS page_url FROM h WHERE host <> '' AND NOT regexp_matches(host,
   '(^|\\.)(facebook|instagram|twitter|x|tiktok|youtube|songkick|bandsintown|ticketmaster|seatgeek)\\.com$'))
 SELECT page_url, any_value(host) AS host, min(query_pos * 10 + link_pos) // 10 AS query_pos, min(query_pos * 10 + link_pos) % 10 AS link_pos FROM k GROUP BY page_url""")
