@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,7 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Arrow batches of fewer rows while the jobs inside run: long rows then take less memory at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -84,6 +85,11 @@ def tree_join(rows: DataFrame, dtype: type, join: Callable[[np.ndarray, np.ndarr
     return np.zeros(size, dtype) if total is None else unpack(total, dtype)
 
 
+def beside(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``most`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_slices(batch: pa.RecordBatch, column: str | int, most: int = 1 << 19, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about ``most`` bytes; a longer text is a run of its own.
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantage.llm.common import beside
+
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 UNKNOWN = "und"
@@ -72,7 +74,7 @@ class Model:
         words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.memo) > 300_000:  # a cache of pure results: emptying it changes nothing but speed
+        if len(self.memo) > 60_000:  # a cache of pure results: emptying it changes nothing but speed
             self.memo.clear()
         counts, memo, rows = Counter(words), self.memo, []
         for w in counts:
@@ -96,7 +98,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     chance = (F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 12), 16, 10).cast("double")) / F.lit(float(2**48))
-    sample = known.join(sizes, "lang").filter(chance < F.lit(float(sample_docs)) / F.col("n")).select("lang", "text")
+    sample = known.join(beside(sizes), "lang").filter(chance < F.lit(float(sample_docs)) / F.col("n")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)

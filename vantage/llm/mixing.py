@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantage.llm.common import beside
+
 SEED = "mix-1"
 
 
@@ -68,7 +70,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     rates = target_rates(docs, weights, total, source).select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))
     rows = docs.select(F.struct("*").alias("_row"))
     drawn = (
-        rows.join(rates, F.col(f"_row.`{source}`").eqNullSafe(F.col("_s")))
+        rows.join(beside(rates), F.col(f"_row.`{source}`").eqNullSafe(F.col("_s")))
         .withColumn("_times", poisson(F.col("_rate"), uniform(seed, F.col(f"_row.`{doc_id}`"))))
         .filter(F.col("_times") > 0)
         .withColumn("_replica", F.explode(F.sequence(F.lit(1), F.col("_times"))))
