@@ -22,10 +22,10 @@ from vantage.llm.common import mix, pack, text_slices, tree_join, word_hashes, w
 #: Fixed sizes of the latent space: hashed terms, rows of the two sketches, entries per passage in each, and the rank kept.
 TERMS, BASIS_ROWS, SCALE_ROWS, ENTRIES, RANK = 1 << 14, 72, 160, 4, 64
 #: Words of a passage, words of a step of the window, benchmark items in a block.
-PASSAGE, STEP, BLOCK = 24, 8, 5_000
+PASSAGE, STEP, BLOCK = 24, 8, 1_000
 #: Cosine from which a pair is looked at; share of the passage's words in common order that is a leak, and the share that
 #: is one if the item's answer is there as well.
-COSINE, STRONG, WEAK, ANSWER = 0.5, 0.75, 0.6, 0.9
+COSINE, STRONG, WEAK, ANSWER = 0.55, 0.75, 0.6, 0.9
 
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
@@ -55,7 +55,7 @@ def sketches(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     rows = BASIS_ROWS + SCALE_ROWS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, df, n = np.zeros(rows * TERMS), np.zeros(TERMS, np.int64), 0
+        sums, df, n = np.zeros(rows * TERMS, np.int64), np.zeros(TERMS, np.int64), 0
         for b in batches:
             for _, _, data, off in text_slices(b, "text", lower=True):
                 h, first = hashed_words(data, off)
@@ -64,7 +64,8 @@ def sketches(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 starts = np.flatnonzero((np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))) % PASSAGE == 0)
                 passage = np.zeros(len(h), np.int64)
                 passage[starts] = 1
-                seen = np.unique((np.cumsum(passage) - 1) * TERMS + terms(h))
+                seen = np.sort((np.cumsum(passage) - 1) * TERMS + terms(h))
+                seen = seen[np.concatenate(([True], seen[1:] != seen[:-1]))]
                 own, term = seen // TERMS, seen % TERMS
                 df += np.bincount(term, minlength=TERMS)
                 n += len(starts)
@@ -73,9 +74,9 @@ def sketches(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                     r = mix(key + np.uint64(k + 1))
                     at = (r >> np.uint64(8)).astype(np.int64)
                     at = at % BASIS_ROWS if k < ENTRIES else BASIS_ROWS + at % SCALE_ROWS
-                    sums += np.bincount(at[own] * TERMS + term, weights=((r & np.uint64(1)).astype(float) * 2 - 1)[own], minlength=len(sums))
+                    np.add.at(sums, at[own] * TERMS + term, ((r & np.uint64(1)).astype(np.int64) * 2 - 1)[own])
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(np.concatenate((sums.astype(np.int64), df, [n])))], pa.binary())], ["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack(np.concatenate((sums, df, [n])))], pa.binary())], ["part"])
 
     total = tree_join(texts.mapInArrow(scan, "part binary"), np.int64, np.add, (rows + 1) * TERMS + 1)
     return total[:rows * TERMS].reshape(rows, TERMS), total[rows * TERMS:-1], int(total[-1])
@@ -143,45 +144,71 @@ def window_steps(size: int) -> int:
     return -(-(size + STEP - 1) // STEP)
 
 
-def search(h: np.ndarray, first: np.ndarray, table: np.ndarray, found: dict[int, tuple[np.ndarray, list[Passage]]],
-           cosine: float = COSINE) -> list[dict[int, float]]:
-    """For each text the items that it leaks, with the best share of a passage's words in common order.
+@dataclass
+class Shelf:
+    """Benchmark passages of one window width: their unit vectors, their terms (padded, and as a table of which term is in
+    which passage) and the fewest shared words to look further."""
 
-    ``found``: by width in steps, the unit vectors of the benchmark passages and the passages.
-    """
+    width: int
+    units: np.ndarray
+    own: list[Passage]
+    terms: np.ndarray
+    holds: np.ndarray
+    fewest: np.ndarray
+
+
+def search(h: np.ndarray, first: np.ndarray, table: np.ndarray, shelves: list[Shelf], cosine: float = COSINE) -> list[dict[int, float]]:
+    """For each text the items that it leaks, with the best share of a passage's words in common order."""
     out: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
     if not len(h):
         return out
     place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
     starts = np.flatnonzero(place % STEP == 0)
-    sums = np.add.reduceat(table[terms(h)], starts, axis=0)
+    own_terms = terms(h)
+    # Some steps at a time, so that the words' vectors stay in the processor's cache.
+    cuts = [*range(0, len(starts), 1024), len(starts)]
+    ends = np.append(starts, len(h))
+    sums = np.concatenate([np.add.reduceat(table[own_terms[ends[a]:ends[z]]], starts[a:z] - ends[a], axis=0) for a, z in zip(cuts, cuts[1:], strict=False)])
+    own_terms = own_terms.astype(np.int16)
     row = np.searchsorted(first, starts, "right") - 1
     end = np.searchsorted(row, row, "right")  # the end of the text's steps
     upto = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)))
-    for width, (units, own) in found.items():
+    for shelf in shelves:
         # One window from each step; near the end of a text it is shorter, and a short text is one window.
-        whole = (np.arange(len(starts)) + width <= end) | (place[starts] == 0)
+        whole = (np.arange(len(starts)) + shelf.width <= end) | (place[starts] == 0)
         at = np.flatnonzero(whole)
-        vec = (upto[np.minimum(at + width, end[at])] - upto[at]).astype(np.float32)
+        vec = (upto[np.minimum(at + shelf.width, end[at])] - upto[at]).astype(np.float32)
         vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
-        for lo in range(0, len(at), 8192):
-            near = vec[lo:lo + 8192] @ units.T
-            for i, q in np.argwhere(near >= cosine):
-                text, p = int(row[at[lo + i]]), own[q]
-                begin = int(starts[at[lo + i]])
-                left, right = int(first[text]), int(first[text + 1])
-                region = h[max(left, begin - STEP):min(right, begin + (width + 1) * STEP)].tolist()
-                share = common_subsequence(p.masks, len(p.words), region) / len(p.words)
-                need = STRONG if len(p.words) >= 8 else 1.0
-                if share < need and share >= WEAK and len(p.words) >= 8:
-                    around = h[max(left, begin - 2 * PASSAGE):min(right, begin + 4 * PASSAGE)].tolist()
-                    if common_subsequence(p.answer_masks, len(p.answer), around) >= ANSWER * len(p.answer):
-                        need = WEAK
-                if share >= need:
-                    out[text][p.item] = max(share, out[text].get(p.item, 0.0))
+        for lo in range(0, len(at), 1024):
+            i, q = np.divmod(np.flatnonzero(vec[lo:lo + 1024] @ shelf.units.T >= cosine), len(shelf.own))
+            for some in np.array_split(np.arange(len(i)), -(-len(i) // 4096)) if len(i) else []:
+                decide(h, first, own_terms, starts[at[lo + i[some]]], row[at[lo + i[some]]], q[some], shelf, out)
     return out
 
 
+def decide(h: np.ndarray, first: np.ndarray, own_terms: np.ndarray, begin: np.ndarray, row: np.ndarray, q: np.ndarray, shelf: Shelf,
+           out: list[dict[int, float]]) -> None:
+    """Hold windows against passages word by word; those with too few of the passage's words are left out first."""
+    lo, hi = np.maximum(first[row], begin - STEP), np.minimum(first[row + 1], begin + (shelf.width + 1) * STEP)
+    at = lo[:, None] + np.arange((shelf.width + 2) * STEP)
+    inside = at < hi[:, None]
+    region = own_terms[np.minimum(at, len(h) - 1)]
+    # Two bounds of the common subsequence: the window's words that are in the passage, then the passage's in the window.
+    some = np.flatnonzero((shelf.holds[q[:, None], region] & inside).sum(axis=1) >= shelf.fewest[q])
+    region = np.where(inside[some], region[some], np.int16(-1))
+    present = (region[:, None, :] == shelf.terms[q[some]][:, :, None]).any(axis=2).sum(axis=1)
+    for c in some[present >= shelf.fewest[q[some]]].tolist():
+        p, text = shelf.own[q[c]], int(row[c])
+        share = common_subsequence(p.masks, len(p.words), h[lo[c]:hi[c]].tolist()) / len(p.words)
+        need = STRONG if len(p.words) >= 8 else 1.0
+        if WEAK <= share < need and len(p.words) >= 8:
+            around = h[max(int(first[text]), int(begin[c]) - 2 * PASSAGE):min(int(first[text + 1]), int(begin[c]) + 4 * PASSAGE)].tolist()
+            if common_subsequence(p.answer_masks, len(p.answer), around) >= ANSWER * len(p.answer):
+                need = WEAK
+        if share >= need:
+            out[text][p.item] = max(share, out[text].get(p.item, 0.0))
+
+
 def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[Passage]]:
     """The benchmark's passages, ``BLOCK`` items or so at a time: only a block is on the driver at once."""
     rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).filter("item is not null and text is not null")
@@ -191,12 +218,21 @@ def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[Passage]
         yield [p for r in sorted(part.collect()) for p in passages(r["item"], r["text"])]
 
 
-def prepared(table: np.ndarray, own: list[Passage]) -> dict[int, tuple[np.ndarray, list[Passage]]]:
-    out = {}
+def prepared(table: np.ndarray, own: list[Passage]) -> list[Shelf]:
+    out = []
     for width in sorted({window_steps(len(p.words)) for p in own}):
         some = [p for p in own if window_steps(len(p.words)) == width]
-        vec = np.array([table[terms(np.array(p.words, np.uint64))].sum(axis=0) for p in some])
-        out[width] = (vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)).astype(np.float32), some
+        ids = [terms(np.array(p.words, np.uint64)) for p in some]
+        vec = np.array([table[x].sum(axis=0) for x in ids])
+        padded = np.full((len(some), PASSAGE), -2, np.int16)
+        for i, x in enumerate(ids):
+            padded[i, :len(x)] = x
+        holds = np.zeros((len(some), TERMS), bool)
+        for i, x in enumerate(ids):
+            holds[i, x] = True
+        units = (vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        fewest = np.array([np.ceil(WEAK * len(x) - 1e-9) if len(x) >= 8 else len(x) for x in ids])
+        out.append(Shelf(width, units, some, padded, holds, fewest))
     return out
 
 
