@@ -160,25 +160,29 @@ def may_link(na: Column, nb: Column, bits_a: Column, bits_b: Column, percent: in
 def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle arrays intersect enough.
 
-    The arrays are made again from the texts of documents that pass a filter of the ids in ``pairs``.
+    The arrays are made again from the texts of documents that pass a filter of the ids on that side of ``pairs``.
     """
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(FILTER_BITS, bool)
+        out = np.zeros((2, FILTER_BITS), bool)
         for b in batches:
-            for c in b.columns:
-                out[_filter_slots(c.to_numpy())] = True
+            for c in range(2):
+                out[c, _filter_slots(b.column(c).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([pack(np.packbits(out))], pa.binary())], ["bits"])
 
-    wanted = tree_join(pairs.select("a", "b").mapInArrow(bits, "bits binary"), np.uint8, np.bitwise_or, FILTER_BITS // 8)
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    wanted = tree_join(pairs.select("a", "b").mapInArrow(bits, "bits binary"), np.uint8, np.bitwise_or, FILTER_BITS // 4).reshape(2, -1)
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
-            b = b.filter(pa.array(mask[_filter_slots(b.column(0).to_numpy())]))
-            for i, j, data, off in text_slices(b, "text"):
-                sets = [s.tobytes() for s in shingle_sets(data, off, words)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["id", "own"])
+    def arrays(side: int) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(wanted[side])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mask = np.unpackbits(shared.value).astype(bool)
+            for b in batches:
+                b = b.filter(pa.array(mask[_filter_slots(b.column(0).to_numpy())]))
+                for i, j, data, off in text_slices(b, "text"):
+                    sets = [s.tobytes() for s in shingle_sets(data, off, words)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["id", "own"])
+
+        return docs.mapInArrow(scan, "id long, own binary")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,10 +193,8 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    sets = docs.mapInArrow(arrays, "id long, own binary")
     return (
-        pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
+        pairs.select("a", "b").join(arrays(0).toDF("a", "own_a"), "a").join(arrays(1).toDF("b", "own_b"), "b")
         .select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long")
     )
 
