@@ -50,3 +50,24 @@ def test_poisson_mean(spark):
         u = (F.col("id") + 0.5) / 4000
         got = spark.range(4000).agg(F.avg(poisson(F.lit(mean), u))).first()[0]
         assert abs(got - mean) < 0.02 + mean * 0.002
+
+
+def test_large_means(spark):
+    for mean in (499.0, 501.0, 700.0, 800.0, 1000.0, 5000.0):
+        got = [r[0] for r in spark.range(4000).select(poisson(F.lit(mean), (F.col("id") + 0.5) / 4000)).collect()]
+        # The distribution function, summed apart with the logarithms of the terms.
+        upto, want, k = 0.0, [], -1
+        for i in range(4000):
+            while upto < (i + 0.5) / 4000 - 1e-9:
+                k += 1
+                upto += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+            want.append(k)
+        assert got == want
+        assert abs(sum(got) / 4000 - mean) < 0.02 * math.sqrt(mean)
+        assert abs(sum((x - mean) ** 2 for x in got) / 4000 / mean - 1) < 0.02
+
+
+def test_large_rate_of_a_rare_source(spark):
+    frame = spark.createDataFrame([(i, "rare" if i < 3 else "rest") for i in range(6000)], "doc_id long, source string")
+    copies = {r["doc_id"]: r["count"] for r in mixed(frame, {"rare": 1.0, "rest": 1.0}).filter("source = 'rare'").groupBy("doc_id").count().collect()}
+    assert len(set(copies.values())) > 1 and all(abs(n - 1000) < 160 for n in copies.values())

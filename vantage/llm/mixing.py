@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,27 @@ def uniform(seed: str, key: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
+#: Mean from which the walk starts below the mean instead of at 0: the term at 0 is too small for a double from about 708 on.
+LARGE = 500
+
+
 def poisson(mean: Column, u: Column) -> Column:
     """The smallest k with P(X <= k) >= u for a Poisson X: the inverse distribution function, term by term.
 
-    The terms run to 20 + 12 deviations above the mean, beyond which they are below the precision of a double.
+    The terms run to 20 + 12 deviations above the mean, beyond which they are below the precision of a double. Above a
+    mean of ``LARGE`` they start as far below it, with the term there from Stirling's series for the factorial.
     """
-    last = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
-    start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("upto"), F.lit(0).alias("k"))
+    reach = 12 * F.sqrt(mean) + 20
+    last = F.ceil(mean + reach).cast("int")
+    low = F.floor(mean - reach)
+    # log(low!) = low log(low) - low + log(2 pi low) / 2 + ...; the two large parts are small together.
+    log_term = (low * F.log1p((mean - low) / low) - (mean - low) - 0.5 * F.log(2 * math.pi * low)
+                - 1 / (12 * low) + 1 / (360 * low * low * low))
+    large = mean > LARGE
+    first = F.when(large, low).otherwise(0).cast("int")
+    term = F.when(large, F.exp(log_term)).otherwise(F.exp(-mean))
     walked = F.aggregate(
-        F.sequence(F.lit(1), last), start,
+        F.sequence(first + 1, last), F.struct(term.alias("term"), term.alias("upto"), first.alias("k")),
         lambda s, k: F.when(s["upto"] >= u, s).otherwise(F.struct(
             (s["term"] * mean / k).alias("term"), (s["upto"] + s["term"] * mean / k).alias("upto"), k.alias("k"),
         )),
