@@ -38,6 +38,17 @@ def test_invalid_values_stay():
         assert p.replacements(text, KEY) == [], text
 
 
+def test_values_with_something_behind_or_before():
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = [("card", v, text) for v in (card, card.replace(" ", ""), card.replace(" ", "-")) for text in (
+        "{} 12/25", "{} 12/25 123", "{} 123.", "{}-123", "pay {} 737, x", "12/25 {} 123", "{}  12", "17 {}", "1234 {}")]
+    cases += [("iban", v, text) for v in (iban, iban.replace(" ", "")) for text in ("{} EUR", "{} EUR 12.50", "{} BIC GEBABEBB", "{} PAID", "AB13 {} OK", "{} 4111")]
+    for kind, value, text in cases:
+        assert [(k, text.format(value)[lo:hi]) for k, lo, hi, _ in p.replacements(text.format(value), KEY)] == [(kind, value)], text.format(value)
+    both = p.replacements(f"{iban} {card} 12/25 {card} 123", KEY)
+    assert [(k, hi - lo) for k, lo, hi, _ in both] == [("iban", 19), ("card", 19), ("card", 19)]
+
+
 def test_rows(spark):
     rows = [(1, "ip 97.51.17.173 end", "a"), (2, "see 97.51.17.173!", "b"), (2, "see 97.51.17.173!", "b"), (3, None, "c"), (None, "", None)]
     got = p.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string, spans string"), KEY).collect()

@@ -163,6 +163,31 @@ PERMUTE: dict[str, Callable[[str, bytes], str | None]] = {
 
 MAYBE = re.compile(r"[0-9@]")
 
+#: Kinds whose pattern may run on into what follows or precedes a value: an expiry date, a code, a currency.
+RUNNING = ("iban", "card")
+
+
+def pieces(kind: str, m: re.Match) -> Iterator[tuple[int, int]]:
+    """A match, then its shorter parts between separators that have the kind's form: longest first, of equal ones leftmost."""
+    yield m.span()
+    starts = [m.start(), *(i + 1 for i in range(*m.span()) if m.string[i] == " ")]
+    ends = [*(i for i in range(*m.span()) if m.string[i] in " -"), m.end()]
+    for lo, hi in sorted(((lo, hi) for lo in starts for hi in ends if hi > lo), key=lambda x: (x[0] - x[1], x[0])):
+        if (lo, hi) != m.span() and PATTERNS[kind].fullmatch(m.string[lo:hi]):
+            yield lo, hi
+
+
+def found(kind: str, text: str, taken: list[tuple[str, int, int, str]], key: bytes) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of a running kind's values outside ``taken``; after a match without one the search goes on behind its start."""
+    at = 0
+    while m := PATTERNS[kind].search(text, at):
+        at = m.start() + 1
+        for lo, hi in pieces(kind, m):
+            if all(hi <= a or lo >= z for _, a, z, _ in taken) and (new := PERMUTE[kind](text[lo:hi], key)) is not None:
+                yield lo, hi, new
+                at = hi
+                break
+
 
 def replacements(text: str | None, key: bytes) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of validated values, leftmost first; of overlapping ones the first kind listed wins."""
@@ -170,6 +195,9 @@ def replacements(text: str | None, key: bytes) -> list[tuple[str, int, int, str]
         return []
     out: list[tuple[str, int, int, str]] = []
     for kind in KINDS:
+        if kind in RUNNING:
+            out += [(kind, *x) for x in found(kind, text, out, key)]
+            continue
         for m in PATTERNS[kind].finditer(text):
             if all(m.end() <= lo or m.start() >= hi for _, lo, hi, _ in out) and (new := PERMUTE[kind](m[0], key)) is not None:
                 out.append((kind, m.start(), m.end(), new))
