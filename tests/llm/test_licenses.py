@@ -65,3 +65,73 @@ def test_prefilter_lets_every_known_sentence_by():
 
 def test_empty(spark):
     assert m.licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at {}://mozilla.org/MPL/2.0/."""
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+HEADERS = [
+    (MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (BSD2, ["BSD-2-Clause"]), (BSD3, ["BSD-3-Clause", "BSD-2-Clause"]), (ISC, ["ISC"]),
+    (MPL.format("http"), ["MPL-2.0"]), (MPL.format("https"), ["MPL-2.0"]),
+    *[(GPL.format(a, b, v), [f"GPL-{v}.0-or-later"]) for v in (2, 3) for a in ":;" for b in ",;"]]
+
+
+def test_standard_headers_plain_and_commented(spark):
+    rows = []
+    for header, want in HEADERS:
+        text = f"Copyright (c) 2020 A. Person\n\n{header}"
+        rows.append((text, want))
+        for mark in ("#", "//", ";;", "--", "%", "REM", "dnl"):
+            rows.append(("\n".join(f"{mark} {line}".rstrip() for line in text.split("\n")) + "\n\nx = 1\n", want))
+        rows.append(("/*\n" + "\n".join(f" * {line}".rstrip() for line in text.split("\n")) + "\n */\nint x;\n", want))
+        rows.append((rows[1][0].replace("\n", "\r\n") if header is MIT else text.replace("\n", "\r\n"), want))
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    for r in m.licenses(frame).collect():
+        assert r["licenses"] == rows[r["doc_id"]][1], rows[r["doc_id"]][0]

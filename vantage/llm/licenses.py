@@ -40,6 +40,14 @@ SENTENCES = {
     "version 2 june 1991": "gpl2-date",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
+    # The standard headers have marks inside these sentences, at which the splitter ends them.
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "either version 3 of the license or at your option any later version": "gpl3-later",
+    "either version 2 of the license or at your option any later version": "gpl2-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty-a",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty-b",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
     "see the gnu general public license for more details": "gpl-details",
     "licensed under cc by nc 4 0": "cc-by-nc-4-notice",
@@ -53,6 +61,10 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-grant",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-grant-v",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http www mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https www mozilla org mpl 2 0": "mpl2-copy",
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
@@ -70,9 +82,15 @@ RULES = [
     ("Apache-2.0", ["apache-title"]),
     ("Apache-2.0", ["apache-notice"]),
     ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty"]),
+    ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty-a", "gpl-warranty-b"]),
+    ("GPL-3.0-or-later", ["gpl-terms", "gpl3-later", "gpl-warranty"]),
+    ("GPL-3.0-or-later", ["gpl-terms", "gpl3-later", "gpl-warranty-a", "gpl-warranty-b"]),
     ("GPL-3.0", ["gpl-title", "gpl3-date"]),
     ("GPL-3.0", ["gpl3-notice"]),
     ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty"]),
+    ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty-a", "gpl-warranty-b"]),
+    ("GPL-2.0-or-later", ["gpl-terms", "gpl2-later", "gpl-warranty"]),
+    ("GPL-2.0-or-later", ["gpl-terms", "gpl2-later", "gpl-warranty-a", "gpl-warranty-b"]),
     ("GPL-2.0", ["gpl-title", "gpl2-date"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
@@ -80,6 +98,7 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4-notice"]),
     ("CC-BY-4.0", ["cc-by-4-notice"]),
     ("MPL-2.0", ["mpl2-grant", "mpl2-copy"]),
+    ("MPL-2.0", ["mpl2-grant-v", "mpl2-copy"]),
     ("ISC", ["isc-grant"]),
     ("Unlicense", ["unlicense-grant"]),
 ]
@@ -89,6 +108,9 @@ RULES = [
 LINE_END = r"[.!?;:]+(?=\s|$)|\n"
 BLOCK_END = r"[.!?;:]+(?=\s|$)|\n[ \t\r]*\n"
 
+#: Comment marks at the start of a line. Without them a line of a mark alone is a blank line, and ';' ends no sentence.
+MARKS = r"(?m)^[ \t]*(?:[#%*/;!'\"|<>-]+|(?i:rem|dnl)(?=[ \t\r]|$))[ \t]*"
+
 #: A text without any of these words holds no known sentence; most texts go by.
 MAY = r"licen[sc]e|permission|redistribut|warrant|liable|copyright|public domain|rights|version|mpl"
 
@@ -120,11 +142,11 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """(doc_id, sentence_ids, licenses): one row per row of ``docs``, from the whole text.
 
     Sentences are read by lines, and by blocks for those that run over line ends; a rule may match in either reading.
-    Null and empty texts have neither sentences nor licences. Equal rows give equal rows.
+    Comment marks at line starts are no part of them. Null and empty texts have neither sentences nor licences. Equal rows give equal rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     may = F.lower("text").rlike(MAY)
-    read = rows.select("doc_id", F.when(may, F.col("text")).alias("text")).select(
+    read = rows.select("doc_id", F.when(may, F.regexp_replace("text", MARKS, "")).alias("text")).select(
         "doc_id", identifiers(F.col("text"), LINE_END).alias("lines"), identifiers(F.col("text"), BLOCK_END).alias("blocks"))
     return read.select("doc_id", F.when(F.size("blocks") > F.size("lines"), F.col("blocks")).otherwise(F.col("lines")).alias("sentence_ids"),
                        F.array_distinct(F.concat(matched(F.col("lines")), matched(F.col("blocks")))).alias("licenses"))
