@@ -69,3 +69,20 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert d.common_subsequence(d.masks(a), len(a), b) == table[-1][-1]
+
+
+def test_fragments_at_every_offset(spark):
+    rng = random.Random(5)
+    docs, items, _ = planted(3)
+    docs = docs[1::3]  # those without a planted item
+    long = [" ".join(sentence(rng, 12) for _ in range(5)) for _ in range(2)]
+    items += [(100 + k, t) for k, t in enumerate(long)]
+    truth, words = set(), [t.split(" ") for t in long]
+    for k in range(2):
+        for size in (24, 34):
+            for i in range(60 - size + 1):
+                docs.append((1000 * (k + 1) + 100 * (size == 34) + i, f"{sentence(rng, 17)} {' '.join(words[k][i:i + size])} {sentence(rng, 17)}"))
+                truth.add((docs[-1][0], 100 + k))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert pairs(d.leaks(docs, items, cosine=-2.0)) == truth
+    assert pairs(d.leaks(docs, items)) == truth

@@ -21,8 +21,8 @@ from vantage.llm.common import mix, pack, text_slices, tree_join, word_hashes, w
 
 #: Fixed sizes of the latent space: hashed terms, rows of the two sketches, entries per passage in each, and the rank kept.
 TERMS, BASIS_ROWS, SCALE_ROWS, ENTRIES, RANK = 1 << 14, 72, 160, 4, 64
-#: Words of a passage, words of a step of the window, benchmark items in a block.
-PASSAGE, STEP, BLOCK = 24, 8, 1_000
+#: Words of a passage, words from one passage of an item to the next, words of a step of the window, benchmark items in a block.
+PASSAGE, GRID, STEP, BLOCK = 24, 4, 8, 1_000
 #: Cosine from which a pair is looked at; share of the passage's words in common order that is a leak, and the share that
 #: is one if the item's answer is there as well.
 COSINE, STRONG, WEAK, ANSWER = 0.55, 0.75, 0.6, 0.9
@@ -126,8 +126,9 @@ def common_subsequence(own: dict[int, int], size: int, words: list[int]) -> int:
 
 
 def passages(item: int, text: str | None) -> list[Passage]:
-    """Runs of ``PASSAGE`` words that cover an item (the last one ends with it), each with the item's answer.
+    """Runs of ``PASSAGE`` words from every ``GRID``th word of an item (the last one ends with it), each with the item's answer.
 
+    Any ``PASSAGE`` words in a row of the item are one of them but for ``GRID / 2`` words at most.
     The answer is the item's last sentence, or its last five words if that is shorter.
     """
     words = text_words(text or "")
@@ -135,7 +136,7 @@ def passages(item: int, text: str | None) -> list[Passage]:
         return []
     sentences = [s for s in re.split(r"[.!?\n]+", text or "") if text_words(s)]
     answer = words[-max(5, len(text_words(sentences[-1]))):]
-    starts = [*range(0, max(1, len(words) - PASSAGE), PASSAGE), max(0, len(words) - PASSAGE)]
+    starts = [*range(0, max(1, len(words) - PASSAGE), GRID), max(0, len(words) - PASSAGE)]
     return [Passage(item, w := words[i:i + PASSAGE], answer, masks(w), masks(answer)) for i in dict.fromkeys(starts)]
 
 
