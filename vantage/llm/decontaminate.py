@@ -25,7 +25,7 @@ TERMS, BASIS_ROWS, SCALE_ROWS, ENTRIES, RANK = 1 << 14, 72, 160, 4, 64
 PASSAGE, GRID, STEP, BLOCK = 24, 4, 8, 1_000
 #: Cosine from which a pair is looked at; share of the passage's words in common order that is a leak, and the share that
 #: is one if the item's answer is there as well.
-COSINE, STRONG, WEAK, ANSWER = 0.55, 0.75, 0.6, 0.9
+COSINE, STRONG, WEAK, ANSWER = 0.4, 0.75, 0.6, 0.9
 
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
