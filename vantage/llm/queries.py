@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import decontaminate, jaccard, langid, licenses, mixing, pseudonyms, quality, resampling, secrets, suffixes
+from vantage.llm import decontaminate, jaccard, langid, licenses, mixing, prefix_trie, pseudonyms, quality, resampling, secrets, suffixes
 from vantage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,3 +193,36 @@ from pieces p join bytes b on b.doc_id = p.doc_id group by b.doc_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+TRIE_SQL = """
+with turns as (
+  select conv_id, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) as id,
+    octet_length(encode(coalesce(text, ''))) as bytes, turn from conversations where conv_id is not null),
+own as (
+  select conv_id, list(id order by turn nulls first, id) as ids, list(bytes order by turn nulls first, id) as sizes,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda a, s: list_reduce(list_prepend(xor(a, s), range(8)), lambda c, k: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295) % 9 as h
+  from turns group by conv_id),
+whole as (
+  select o.conv_id, list_concat(coalesce(f.ids, [])[:o.h], o.ids[o.h + 1:]) as ids, list_concat(coalesce(f.sizes, [])[:o.h], o.sizes[o.h + 1:]) as sizes
+  from own o left join own f on f.conv_id = o.conv_id - o.conv_id % 5),
+starts as (select conv_id, len(ids) as n, ids, sizes, unnest(range(0, len(ids) + 1)) as depth from whole),
+named as (select *, array_to_string(ids[:depth], '') as key, array_to_string(ids[:depth - 1], '') as up from starts),
+nodes as (
+  select key, depth, any_value(case when depth > 0 then up end) as up, any_value(case when depth > 0 then sizes[depth] else 0 end) as size, min(conv_id) as conv_id,
+    count(*) as n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' order by conv_id) filter (n = depth), '')) as ends_sha256
+  from named group by key, depth),
+kids as (select up, count(*) as n_children from nodes where up is not null group by up),
+priced as (select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * size as own from nodes n left join kids k on k.up = n.key),
+sums as (
+  select a.key, sum(p.own) as saved, sum((p.n_children = 0)::INT) as leaves
+  from priced p join named a on a.conv_id = p.conv_id and a.depth <= p.depth group by a.key)
+select p.conv_id, p.depth, f.conv_id as parent_conv_id, p.n_convs, p.n_children, s.leaves::BIGINT as n_leaves, s.saved::BIGINT as saved_tokens, p.ends_sha256
+from priced p join sums s on s.key = p.key left join nodes f on f.key = p.up
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
