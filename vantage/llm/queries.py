@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import decontaminate, jaccard, langid, licenses, mixing, prefix_trie, pseudonyms, quality, resampling, secrets, suffixes
+from vantage.llm import decontaminate, divergence, jaccard, langid, licenses, mixing, prefix_trie, pseudonyms, quality, resampling, secrets, suffixes
 from vantage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,3 +226,39 @@ from priced p join sums s on s.key = p.key left join nodes f on f.key = p.up
 @query("op11_prefix_trie", TRIE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+AUDIT_SQL = """
+with docs as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{80}-\\x{10FFFF}]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as words
+  from documents),
+words as (select row, lang, source, unnest(words) as term from docs),
+kept as (select lang, term from words group by lang, term having count(distinct row) >= 30),
+sizes as (select lang, count(*) as v from kept group by lang),
+counts as (select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by lang, source, term),
+groups as (
+  select g.lang, g.source, coalesce(sum(n), 0)::HUGEINT as total, coalesce(any_value(v), 0)::HUGEINT as v
+  from (select distinct lang, source from docs) g left join counts c using (lang, source) left join sizes s on s.lang = g.lang group by g.lang, g.source),
+shares as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (total + 5 * v) as p
+  from groups g join kept k on k.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+overall as (
+  select lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 5) // (any_value(t) + 5 * any_value(v)) as q
+  from shares join (select lang, sum(total) as t, any_value(v) as v from groups group by lang) using (lang) group by lang, term),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join shares x on x.lang = a.lang and x.source = a.source left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by a.lang, a.source, b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q)::BIGINT as value from shares join overall using (lang, term) where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank
+  from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank::INT as rank from ranked where part = 'pair' or rank <= 50
+"""
+
+
+@query("op12_source_divergence", AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
