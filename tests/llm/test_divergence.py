@@ -58,6 +58,6 @@ def test_empty(spark):
 
 def test_equal_subtrees_are_one_node():
     levels = divergence.segment_trees(np.array([[0, 0, 0, 0, 1, 2, 0, 0], [1, 2, 0, 0, 0, 0, 0, 0]]))
-    assert [len(kinds) for kinds, _ in levels] == [3, 2, 3, 2]
+    assert [len(kinds) for kinds, _ in levels] == [3, 2, 2, 2]
     big = np.array([10**14])
     assert divergence._shares(np.array([10**13]), big, 7)[0] == 1 + 10**9 * (10**13 + 5) // (10**14 + 35)
