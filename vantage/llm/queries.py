@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import decontaminate, divergence, jaccard, langid, licenses, mixing, prefix_trie, pseudonyms, quality, resampling, secrets, suffixes
+from vantage.llm import decontaminate, divergence, jaccard, langid, licenses, mixing, packing, prefix_trie, pseudonyms, quality, resampling, secrets, suffixes
 from vantage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,3 +262,8 @@ select lang, source, part, item, value, rank::INT as rank from ranked where part
 @query("op12_source_divergence", AUDIT_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_retrieval_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
