@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.operators import merge, readings as rd, validate, venue_life
+from vantage.operators import event_store, merge, readings as rd, validate, venue_life
 from vantage.plans import bindings as b
 from vantage.plans.curate import refresh
 from vantage.sinks import geojson, ics
@@ -76,42 +76,128 @@ def test_unique_sightings(spark, tmp_path):
     assert out.count() == 16
 
 
-def test_barren_streaks(spark, tmp_path):
-    checks = b.table(spark, SF, "events").select(
-        F.concat(F.lit("area-"), F.col("user_id") % 3).alias("area"), F.col("user_id").cast("string").alias("cid"),
-        F.col("event_id").alias("check_id"), (F.col("event_type") == "purchase").alias("saw_panel"))
-    for part in (2, 0, 3, 1, 2):  # out of order, and one part twice
-        checks.filter(F.floor(F.col("check_id") / 250) == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = jobs.read_landing(spark, f"{tmp_path}/in", "area string, cid string, check_id bigint, saw_panel boolean", files_per_batch=1)
+def streaks(spark, path, lateness):
+    schema = "area string, cid string, ts timestamp, check_id bigint, saw_panel boolean"
+    stream = jobs.read_landing(spark, f"{path}/in", schema, files_per_batch=1)
     seen = {}
 
     def keep(batch, _epoch):
         seen.update({(r.area, r.cid): r.barren_streak for r in batch.collect()})
 
-    drain(jobs.barren_streaks(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
-    assert seen == {(r.area, r.cid): r.barren_streak for r in venue_life.barren_streaks(checks).collect()}
+    drain(jobs.barren_streaks(stream, lateness).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start())
+    return seen
 
 
-def test_stream_upsert_and_validation(spark, tmp_path):
+def test_barren_streaks(spark, tmp_path):
+    checks = b.table(spark, SF, "events").select(
+        F.concat(F.lit("area-"), F.col("user_id") % 3).alias("area"), F.col("user_id").cast("string").alias("cid"),
+        F.timestamp_seconds(F.col("event_id") * 60).alias("ts"), F.col("event_id").alias("check_id"), (F.col("event_type") == "purchase").alias("saw_panel"))
+    for part in (2, 0, 3, 1, 2):  # out of order, and one part twice
+        checks.filter(F.floor(F.col("check_id") / 250) == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert streaks(spark, tmp_path, "2 days") == {(r.area, r.cid): r.barren_streak for r in venue_life.barren_streaks(checks).collect()}
+
+
+def test_barren_streak_state_is_bounded_by_lateness(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [("a", "v", t + timedelta(hours=i), i, False) for i in range(300)] + [("a", "w", t + timedelta(hours=i), i, i == 120) for i in range(300)]
+    schema = "area string, cid string, ts timestamp, check_id bigint, saw_panel boolean"
+    for lo in range(0, 300, 50):
+        # Each part has the last rows of the one before again, in falling order.
+        part = sorted((r for r in rows if lo - 5 <= r[3] < lo + 50), key=lambda r: -r[3])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("a", "v", t, 0, True)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")  # too late to count
+    assert streaks(spark, tmp_path, "12 hours") == {("a", "v"): 300, ("a", "w"): 179}
+    kept = spark.read.format("statestore").option("stateVarName", "open").load(f"{tmp_path}/c").groupBy("key").count().collect()
+    assert len(kept) == 2 and max(r["count"] for r in kept) <= 50 + 13
+
+
+def event_rows(spark, keys, seq, title):
+    row = {c: None for c in merge.CONTENT}
+    rows = [tuple({**row, "title": f"{title} {k}", "last_seen_at": datetime(2024, 1, seq)}[c] for c in merge.CONTENT) for k in keys]
+    types = {"start_ts": "timestamp", "end_ts": "timestamp", "last_seen_at": "timestamp", "lat": "double", "lng": "double", "is_online": "boolean", "photo_score": "int"}
+    return spark.createDataFrame([("s", str(k), *r, seq) for k, r in zip(keys, rows)], "source string, source_id string, " + ", ".join(f"{c} {types.get(c, 'string')}" for c in merge.CONTENT) + ", seq int")
+
+
+def data_files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.glob("bucket=*/*.parquet")}
+
+
+def test_bucketed_upsert_touches_few_buckets(spark, tmp_path):
+    table = tmp_path / "events"
+    first = event_rows(spark, range(2000), 1, "old")
+    assert len(event_store.upsert_batch(first, 0, str(table), ["seq"], 64)) == 64
+    read = lambda: {(r.source_id, r.id, r.title) for r in event_store.read_events(spark, str(table), event_store.stored_schema(first)).collect()}
+    before, files = read(), data_files(table)
+    stored = event_store._folder(spark, str(table), event_store.stored_schema(first), "bucket")
+    old = spark.createDataFrame(stored.collect(), stored.schema)
+    assert sorted(i for _, i, _ in before) == list(range(1, 2001))
+    batch = event_rows(spark, [*range(5), *range(5000, 5005)], 2, "new")
+    touched = event_store.upsert_batch(batch, 1, str(table), ["seq"], 64)
+    after, written = read(), data_files(table)
+    changed = {name.split("/")[0] for name, _ in set(files.items()) ^ set(written.items())}
+    assert len(touched) <= 10 and changed == {f"bucket={x}" for x in touched}
+    ids = {s: i for s, i, _ in before}
+    assert after == {(s, i, f"new {s}" if int(s) < 5 else t) for s, i, t in before} | {(str(k), 2001 + n, f"new {k}") for n, k in enumerate(range(5000, 5005))}
+    # The same batch again; then as if it had been cut short after the journal, with three buckets still to do.
+    event_store.upsert_batch(batch, 1, str(table), ["seq"], 64)
+    assert read() == after
+    event_store._replace(old.filter(F.col("bucket").isin(touched[:3])), str(table), "bucket")
+    assert read() != after
+    event_store.upsert_batch(batch, 1, str(table), ["seq"], 64)
+    assert read() == after
+    more = event_rows(spark, [7000, 3], 3, "third")
+    event_store.upsert_batch(more, 2, str(table), ["seq"], 64)
+    now = {s: (i, t) for s, i, t in read()}
+    assert now["7000"] == (2006, "third 7000") and now["3"] == (ids["3"], "third 3") and len(now) == 2006
+    assert event_store.upsert_batch(more.limit(0), 3, str(table), ["seq"], 64) == [] and len(read()) == 2006
+
+
+def test_stream_upsert(spark, tmp_path):
     rows = b.listings(spark, SF).select(*merge.EVENT_KEY, *merge.CONTENT).withColumn("seq", F.lit(1))
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     schema = rows.schema.simpleString()[7:-1].replace(":", " ")
     for _ in range(2):
         rows.withColumns({"title": F.concat(F.lit("new "), "title"), "seq": F.lit(2)}).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = jobs.read_landing(spark, f"{tmp_path}/in", schema, files_per_batch=1)
-    drain(jobs.upsert_stream(stream, f"{tmp_path}/events", f"{tmp_path}/c", ["seq"]))
-    table = merge.read_current(spark, f"{tmp_path}/events")
+    drain(jobs.upsert_stream(stream, f"{tmp_path}/events", f"{tmp_path}/c", ["seq"], buckets=8))
+    table = event_store.read_events(spark, f"{tmp_path}/events", event_store.stored_schema(rows))
     n = rows.count()
     assert table.count() == n and table.filter(F.startswith("title", F.lit("new "))).count() == n
     assert table.agg(F.count_distinct("id"), F.min("id"), F.max("id")).first()[:] == (n, 1, n)
+
+
+def test_stream_validation(spark, tmp_path):
+    rows = b.listings(spark, SF)
     raw = rows.select("source", "source_id", "title", "lat", "lng", F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start_time"), F.lit("x").alias("end_time"))
     raw.write.parquet(f"{tmp_path}/raw")
     stream = jobs.read_landing(spark, f"{tmp_path}/raw", raw.schema.simpleString()[7:-1].replace(":", " "))
-    drain(jobs.validate_stream(stream, f"{tmp_path}/ok", f"{tmp_path}/bad", f"{tmp_path}/c2", b.listing_as_of(), b.AREAS))
+    drain(jobs.validate_stream(stream, f"{tmp_path}/ok", f"{tmp_path}/bad", f"{tmp_path}/c2", b.AREAS, as_of=b.listing_as_of()))
     good, bad = validate.split_valid(raw, b.listing_as_of(), b.AREAS)
     assert spark.read.parquet(f"{tmp_path}/ok").count() == good.count() and spark.read.parquet(f"{tmp_path}/bad").count() == bad.count()
 
 
+def test_late_listings_reach_the_rejects_through_the_watermark(spark, tmp_path):
+    """Listings start a little before or after they are fetched; files land out of order. A loop keeps the same clock."""
+    t, area = datetime(2024, 3, 1), b.AREAS[0]
+    parts = [[(f"s{i % 3}", f"{n}-{i}", t + timedelta(hours=seen), t + timedelta(hours=seen + 7 * i - 90)) for i in range(30)] for n, seen in enumerate((0, 60, 20, 200, 190))]
+    schema = "source string, source_id string, title string, lat double, lng double, start_time string, end_time string, fetched_at timestamp"
+    want, clock = {}, datetime.min
+    for part in parts:
+        rows = [(s, i, "t", area.lat, area.lng, start.strftime("%Y-%m-%dT%H:%M:%SZ"), "", seen) for s, i, seen, start in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        clock = max([clock, *(seen for _, _, seen, _ in part)])
+        for s, i, _, start in part:
+            want[i] = start < clock - timedelta(hours=36)
+    stream = jobs.read_landing(spark, f"{tmp_path}/in", schema, files_per_batch=1)
+    for _ in range(2):  # a second run finds nothing new
+        drain(jobs.validate_stream(stream, f"{tmp_path}/ok", f"{tmp_path}/bad", f"{tmp_path}/c", b.AREAS, event_time="fetched_at"))
+    good, bad = spark.read.parquet(f"{tmp_path}/ok"), spark.read.parquet(f"{tmp_path}/bad")
+    assert {r.source_id for r in bad.collect()} == {i for i, late in want.items() if late}
+    assert good.count() + bad.count() == len(want)
+    counts = {r.source: r.dropped for r in validate.dropped_by_reason(bad).filter("reason_kind = 'past'").collect()}
+    assert counts == {s: sum(want[i] for part in parts for x, i, *_ in part if x == s) for s in ("s0", "s1", "s2")}
+
+
 def test_snapshot_keeps_newest_pass(spark, tmp_path):
     t = datetime(2024, 1, 1)
     for hour, areas in ((1, "ab"), (3, "a"), (2, "ab")):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.operators.ranking import ordered_positions
+from vantage.session import checkpointed
 
 EVENT_KEY = ["source", "source_id"]
 CONTENT = [
@@ -38,35 +39,26 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def upsert_events(
     current: DataFrame, incoming: DataFrame, order: list[str], strict: bool = False,
-    title_chars: int | None = None, description_chars: int | None = None,
+    title_chars: int | None = None, description_chars: int | None = None, top: int | None = None,
 ) -> DataFrame:
     """Merge incoming rows into the current table on (source, source_id).
 
     Content columns are overwritten; flags, groups, archive state and id stay.
     A position the new row lacks is kept from the old row unless ``strict``.
-    New rows get ids after the largest existing one, in (first order column,
-    source, source_id) order.
+    New rows get ids after the largest existing one (or after ``top``, where
+    ``current`` is a part of a table), in (first order column, source,
+    source_id) order. Either side is read once: one outer join, checkpointed,
+    holds the old ids and the rows that still need one.
     """
     cut = lambda c, n: F.substring(c, 1, n) if n else c
     fresh = last_per_key(incoming.select(*EVENT_KEY, *CONTENT, *[c for c in order if c not in CONTENT]),
                          EVENT_KEY, order)
     fresh = fresh.withColumns({
+        "_order": F.col(order[0]), "_new": F.lit(True),
         "title": cut(F.col("title"), title_chars),
         "description": cut(F.col("description"), description_chars),
     })
-    # Ids for unseen keys only; both sides contribute just their key and order columns.
-    arrived = incoming.groupBy(*EVENT_KEY).agg(F.max(F.struct(*order)).alias("_last")).select(
-        *EVENT_KEY, F.col(f"_last.{order[0]}").alias(order[0])
-    )
-    unseen = arrived.join(current.select(*EVENT_KEY), EVENT_KEY, "left_anti")
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    new_ids = ordered_positions(unseen, [order[0], *EVENT_KEY], "_position").select(
-        *EVENT_KEY, "_position"
-    ).withColumn("_new_id", F.col("_position") + 1 + top).drop("_position")
-    fresh = fresh.join(new_ids, EVENT_KEY, "left")
-    joined = current.alias("old").join(
-        fresh.withColumn("_new", F.lit(True)).alias("new"), EVENT_KEY, "full_outer"
-    )
+    joined = current.alias("old").join(fresh.alias("new"), EVENT_KEY, "full_outer")
     is_new = F.coalesce(F.col("new._new"), F.lit(False))
 
     def content(c: str) -> Column:
@@ -75,10 +67,15 @@ def upsert_events(
             return F.when(is_new, F.coalesce(new, old)).otherwise(old).alias(c)
         return F.when(is_new, new).otherwise(old).alias(c)
 
-    return joined.select(
-        F.coalesce("old.id", "new._new_id").alias("id"), *EVENT_KEY, *[content(c) for c in CONTENT],
-        *[F.coalesce(F.col(f"old.{c}"), F.expr(default)).alias(c) for c, default in KEPT_DEFAULTS.items()],
-    )
+    joined = checkpointed(joined.select(
+        F.col("old.id").alias("id"), *EVENT_KEY, *[content(c) for c in CONTENT],
+        *[F.coalesce(F.col(f"old.{c}"), F.expr(default)).alias(c) for c, default in KEPT_DEFAULTS.items()], "_order",
+    ))
+    if top is None:
+        top = joined.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    unseen = ordered_positions(joined.filter("id is null"), ["_order", *EVENT_KEY], "_position")
+    numbered = unseen.withColumn("id", F.col("_position") + 1 + F.lit(top)).drop("_position")
+    return joined.filter("id is not null").unionByName(numbered).drop("_order")
 
 
 def upsert_venues(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -98,8 +98,9 @@ def with_place(events: DataFrame) -> DataFrame:
 
 
 def by_place(events: DataFrame) -> DataFrame:
-    """Place headings together, blank ones last, case and accents ignored, then by start."""
-    return with_place(events).orderBy(F.col("place") == "", F.collate("place", "UNICODE_CI_AI"), "start_ts", "group_key")
+    """Place headings together, blank ones last, case and accents ignored, then by start, then by group where there are groups."""
+    last = [c for c in ("group_key",) if c in events.columns]
+    return with_place(events).orderBy(F.col("place") == "", F.collate("place", "UNICODE_CI_AI"), "start_ts", *last)
 
 
 def per_place(events: DataFrame) -> DataFrame:

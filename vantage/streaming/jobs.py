@@ -12,11 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from vantage.functions.times import half_up
-from vantage.operators.merge import CONTENT, EVENT_KEY, KEPT_DEFAULTS, read_current, upsert_events, write_next
+from vantage.operators.event_store import BUCKETS, upsert_batch
+from vantage.operators.merge import read_current, write_next
 from vantage.operators.validate import Area, split_valid
+from vantage.session import checkpointed
 
 DRAIN = {"availableNow": True}
 
@@ -70,59 +72,97 @@ def fold_hours(quarters: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def _advance_streak(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """The state holds the newest hit and the ids of the misses after it, so late and repeated checks count right."""
-    hit, misses = state.get if state.exists else (None, [])
-    misses = set(misses)
-    for batch in batches:
-        hits = batch.loc[batch["saw_panel"], "check_id"]
-        if len(hits):
-            hit = int(hits.max()) if hit is None else max(hit, int(hits.max()))
-        misses.update(int(m) for m in batch.loc[~batch["saw_panel"], "check_id"])
-        misses = {m for m in misses if hit is None or m > hit}
-    state.update((hit, sorted(misses)))
-    yield pd.DataFrame({"area": [key[0]], "cid": [key[1]], "barren_streak": [len(misses)]})
-
-
-def barren_streaks(stream: DataFrame) -> DataFrame:
-    """Running count of checks without a panel since the newest with one, per venue; write with the update mode."""
-    return stream.groupBy("area", "cid").applyInPandasWithState(
-        _advance_streak, "area string, cid string, barren_streak int", "hit long, misses array<long>", "update",
-        GroupStateTimeout.NoTimeout,
-    )
+class Streaks(StatefulProcessor):
+    """Checks without a panel since the newest check with one, per venue, for checks that come in any order and more than once.
 
+    A check behind the watermark can't come any more, and every hit still to come ends the streak of all misses behind it. So
+    misses behind the watermark are kept as one number, and only those ahead of it by their time and id: the state of a venue
+    is as large as the lateness allowed, however long its streak.
+    """
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, order: list[str], trigger: dict | None = None) -> StreamingQuery:
-    """Merge every micro-batch into the event table."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hit = handle.getValueState("hit", "at long, check_id long")
+        self.settled = handle.getValueState("settled", "misses long")
+        self.open = handle.getMapState("open", "at long, check_id long", "miss boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:
+        mark = timer_values.getCurrentWatermarkInMs() * 1000
+        hit = tuple(self.hit.get()) if self.hit.exists() else None
+        settled = self.settled.get()[0] if self.settled.exists() else 0
+        for batch in rows:
+            at = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            for t, check, saw in zip(at.tolist(), batch["check_id"].tolist(), batch["saw_panel"].tolist()):
+                if t < mark:
+                    continue
+                if not saw:
+                    self.open.updateValue((t, check), (True,))
+                elif hit is None or (t, check) > hit:
+                    hit, settled = (t, check), 0
+                    self.hit.update(hit)
+        recent = 0
+        for place in [tuple(p) for p in self.open.keys()]:
+            if hit is not None and place <= hit:
+                self.open.removeKey(place)
+            elif place[0] < mark:
+                self.open.removeKey(place)
+                settled += 1
+            else:
+                recent += 1
+        self.settled.update((settled,))
+        yield pd.DataFrame({"area": [key[0]], "cid": [key[1]], "barren_streak": [settled + recent]})
+
+    def close(self) -> None:
+        pass
+
+
+def barren_streaks(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """Running count of checks (area, cid, ts, check_id, saw_panel) without a panel since the newest with one; write with the update mode.
+
+    Checks that are more than ``lateness`` behind the newest one seen are left out.
+    """
+    return stream.withWatermark("ts", lateness).groupBy("area", "cid").transformWithStateInPandas(
+        Streaks(), "area string, cid string, barren_streak long", "Update", "EventTime")
 
-    def merge(batch: DataFrame, _epoch: int) -> None:
-        spark = batch.sparkSession
-        current = read_current(spark, table)
-        if current is None:
-            kept = [F.expr(default).alias(c) for c, default in KEPT_DEFAULTS.items()]
-            current = batch.limit(0).select(F.lit(0).cast("bigint").alias("id"), *EVENT_KEY, *CONTENT, *kept)
-        write_next(upsert_events(current, batch, order), table)
 
+def upsert_stream(
+    stream: DataFrame, table: str, checkpoint: str, order: list[str], trigger: dict | None = None, buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Merge every micro-batch into the bucketed event table."""
     return (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or DRAIN)).start()
+        stream.writeStream.foreachBatch(lambda batch, epoch: upsert_batch(batch, epoch, table, order, buckets) and None)
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or DRAIN)).start()
     )
 
 
 def validate_stream(
-    stream: DataFrame, accepted: str, rejected: str, checkpoint: str, as_of: Column | Callable[[], Column],
-    areas: list[Area], trigger: dict | None = None,
+    stream: DataFrame, accepted: str, rejected: str, checkpoint: str, areas: list[Area],
+    event_time: str | None = None, as_of: Column | Callable[[], Column] | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Split landed listings into accepted rows and rejects with their reason.
 
-    Folders are named by batch, so a replayed batch overwrites itself. A
-    function for ``as_of`` is asked anew for every batch.
+    With ``event_time`` the clock of a batch is a watermark: the newest such
+    time in this and all earlier batches, kept beside the rejects. Listings
+    that start more than the grace of the date check behind it go to the
+    rejects. Else ``as_of`` is the clock; a function is asked anew for every
+    batch. Folders are named by batch, so a replayed batch overwrites itself
+    and finds the same watermark.
     """
+    marks = f"{rejected}-watermark"
+
+    def clock(batch: DataFrame, epoch: int) -> Column:
+        if event_time is None:
+            return as_of() if callable(as_of) else as_of
+        spark = batch.sparkSession
+        seen = batch.agg(F.max(event_time).alias("mark"))
+        if epoch:
+            seen = spark.read.schema("mark timestamp").parquet(f"{marks}/batch={epoch - 1}").unionByName(seen).agg(F.max("mark").alias("mark"))
+        mark = checkpointed(seen)
+        mark.write.mode("overwrite").parquet(f"{marks}/batch={epoch}")
+        # A batch whose times are all missing before any was seen has no watermark: nothing is late.
+        return F.lit(mark.first()[0]).cast("timestamp")
 
     def split(batch: DataFrame, epoch: int) -> None:
-        good, bad = split_valid(batch, as_of() if callable(as_of) else as_of, areas)
+        good, bad = split_valid(batch, clock(batch, epoch), areas)
         good.write.mode("overwrite").parquet(f"{accepted}/batch={epoch}")
         bad.write.mode("overwrite").parquet(f"{rejected}/batch={epoch}")
 
