@@ -261,19 +261,39 @@ def test_calendar_text(spark, tmp_path):
     rows = [("g1", "é" * 90, "A cruise; with punctuation, and\na newline." + "x" * 600, t, None, "Mount Panorama", "Bathurst, NSW", "", -33.4, 149.5, "https://e.org/1"),
             ("g2", "B", "", t, t + timedelta(hours=1), "", "", "", None, None, "")]
     df = spark.createDataFrame(rows, "group_key string, title string, description string, start_ts timestamp, end_ts timestamp, venue_name string, address string, category string, lat double, lng double, url string")
-    (file,) = ics.calendars(ics.entry(df, F.lit(t)), "category", title="Cal — é").collect()
-    text = file.ics
+    def texts(entries):
+        files = {}
+        for r in sorted(ics.calendar_lines(ics.calendar_rows(entries, "category", title="Cal — é"), "category").collect(), key=lambda r: (r.month, r.position)):
+            assert r.position == files.setdefault(r.month, []).__len__() and r.part == (0 if not r.position else 2 if r.text.startswith("END:VCAL") else 1)
+            files[r.month].append(r.text)
+        return {month: "".join(x) for month, x in files.items()}
+
+    (text,) = texts(ics.entry(df, F.lit(t))).values()
     assert text.endswith("END:VCALENDAR\r\n") and "\n" not in text.replace("\r\n", "") and "METHOD" not in text
     assert all(len(line.encode()) <= 75 for line in text.split("\r\n")) and "�" not in text
     flat = text.replace("\r\n ", "")
     assert "SUMMARY:" + "é" * 90 in flat and "A cruise\\; with punctuation\\, and\\na newline." in flat and "DTEND:20260822T020000Z" in flat
     assert "X-WR-CALNAME:Cal — é\r\n" in flat and "\r\nNAME:Cal — é\r\n" in flat
     later = ics.entry(df.unionByName(df.withColumns({"start_ts": F.lit(datetime(2026, 9, 1)), "group_key": F.concat("group_key", F.lit("x"))})), F.lit(t))
-    split = {f.month: f.ics for f in ics.calendars(later, "category", title="Cal — é").collect()}
+    split = texts(later)
     assert sorted(split) == ["2026-08", "2026-09"] and split["2026-08"] == text
-    ics.write_calendars(ics.calendars(later, "category", title="Cal — é"), "category", f"{tmp_path}/cal")
-    written = {p.parent.name: p.read_bytes() for p in (tmp_path / "cal").glob("*/*/*.txt")}
+    ics.write_calendars(ics.calendar_rows(later, "category", title="Cal — é"), "category", f"{tmp_path}/cal")
+    written = {p.name: b"".join(x.read_bytes() for x in sorted(p.glob("*.txt"))) for p in (tmp_path / "cal").glob("*/*")}
     assert written == {f"month={m}": x.encode() for m, x in split.items()}
+    # A month with many events is written by several tasks, evenly, and reads as before.
+    many = spark.range(4000).select(F.col("id").cast("string").alias("group_key"), F.concat(F.lit("event "), F.col("id") * 7 % 4000).alias("title"), F.timestamp_seconds(F.lit(1_787_000_000) + F.col("id") * 31 % 4000).alias("start_ts"))
+    busy = ics.entry(many.withColumns({c: F.lit("x") for c in ("description", "venue_name", "address", "category", "url")}).withColumns({"end_ts": F.lit(None).cast("timestamp"), "lat": F.lit(1.5), "lng": F.lit(2.5)}), F.lit(t))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # this little text would be one partition
+    try:
+        ics.write_calendars(ics.calendar_rows(busy, "category"), "category", f"{tmp_path}/busy")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted((tmp_path / "busy/category=x/month=2026-08").glob("*.txt"))
+    sizes = [p.stat().st_size for p in parts]
+    assert len(parts) > 1 and max(sizes) < 0.6 * sum(sizes)
+    whole = b"".join(p.read_bytes() for p in parts).decode()
+    starts = [line for line in whole.split("\r\n") if line.startswith("DTSTART")]
+    assert starts == sorted(starts) and len(starts) == 4000 and whole.startswith("BEGIN:VCALENDAR") and whole.endswith("END:VCALENDAR\r\n")
     geojson.write_features(spark.createDataFrame([("a", 0.5, "{}")], "area string, score double, feature string"),
                            spark.createDataFrame([("a", "x")], "area string, label string"), f"{tmp_path}/geo")
     assert spark.read.text(f"{tmp_path}/geo/features").first().value == "{}"

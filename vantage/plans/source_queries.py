@@ -246,18 +246,23 @@ def source_status(spark, sf):
 
 
 @query("g6_event_areas", """
-WITH n AS (SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN -33.0 - n_nationkey::DOUBLE / 10 END AS lat,
-  CASE WHEN n_nationkey % 2 = 0 THEN 149.0::DOUBLE END AS lng, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey::DOUBLE + 1 END AS radius FROM nation)
+WITH n AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN -33.0 - (s_suppkey % 50)::DOUBLE / 10 END AS lat,
+  CASE WHEN s_suppkey % 4 = 0 THEN 149.0::DOUBLE END AS lng, CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 40)::DOUBLE + 1 END AS radius FROM supplier),
+hits AS (SELECT 'customer#' || lpad(c_custkey::VARCHAR, 9, '0') AS query, -30.0 - (c_custkey % 9)::DOUBLE AS lat, c_nationkey::DOUBLE + 100 AS lng FROM customer WHERE c_custkey % 5 <> 1),
+asked AS (SELECT k, CASE WHEN k % 2 = 0 THEN name ELSE replace(name, 'Supplier', 'Customer') END AS name, lat, lng, radius FROM n WHERE k % 7 <> 5)
 SELECT 'Home' AS name, -33.4::DOUBLE AS lat, 149.5::DOUBLE AS lng, 25.0::DOUBLE AS radius_km
-UNION ALL SELECT name, coalesce(lat, -30.0::DOUBLE), coalesce(lng, k::DOUBLE), coalesce(radius, 25.0) FROM n WHERE k % 7 <> 5 AND (lat IS NOT NULL OR k % 5 <> 1)""")
+UNION ALL SELECT a.name, CASE WHEN a.lat IS NULL OR a.lng IS NULL THEN h.lat ELSE a.lat END, CASE WHEN a.lat IS NULL OR a.lng IS NULL THEN h.lng ELSE a.lng END, coalesce(radius, 25.0)
+FROM asked a LEFT JOIN hits h ON (a.lat IS NULL OR a.lng IS NULL) AND h.query = lower(a.name) WHERE h.query IS NOT NULL OR (a.lat IS NOT NULL AND a.lng IS NOT NULL)""")
 def event_areas(spark, sf):
-    k = F.col("n_nationkey")
-    nation = b.table(spark, sf, "nation")
-    extra = nation.select(k.alias("position"), F.when(k % 7 == 5, "  ").otherwise(F.concat(F.lit(" "), "n_name")).alias("name"),
-                          F.when(k % 2 == 0, -33.0 - k.cast("double") / 10).alias("lat"), F.when(k % 2 == 0, F.lit(149.0)).alias("lng"),
-                          F.when(k % 3 == 0, k.cast("double") + 1).alias("radius_km"))
-    hit = F.struct(F.lit("x").alias("display_name"), F.lit(-30.0).alias("lat"), k.cast("double").alias("lng"))
-    gazetteer = nation.select(F.lower("n_name").alias("query"), F.when(k % 5 != 1, F.array(hit)).alias("hits"))
+    k = F.col("s_suppkey")
+    named = F.when(k % 2 == 0, F.col("s_name")).otherwise(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")))
+    extra = b.table(spark, sf, "supplier").select(
+        k.alias("position"), F.when(k % 7 == 5, "  ").otherwise(F.concat(F.lit(" "), named)).alias("name"),
+        F.when(k % 2 == 0, -33.0 - (k % 50).cast("double") / 10).alias("lat"), F.when(k % 4 == 0, F.lit(149.0)).alias("lng"),
+        F.when(k % 3 == 0, (k % 40).cast("double") + 1).alias("radius_km"))
+    c = F.col("c_custkey")
+    hit = F.struct(F.lit("x").alias("display_name"), (-30.0 - (c % 9).cast("double")).alias("lat"), (F.col("c_nationkey").cast("double") + 100).alias("lng"))
+    gazetteer = b.table(spark, sf, "customer").select(F.lower("c_name").alias("query"), F.when(c % 5 != 1, F.array(hit)).alias("hits"))
     return areas.event_areas(extra, gazetteer, 25.0, Area("Home", -33.4, 149.5, 25.0)).drop("position")
 
 
@@ -584,19 +589,20 @@ def calendar_entries(spark, sf):
 
 
 @query("a17_calendar_files", f"""
-WITH {_HEADS}, e AS (SELECT *, {_ENTRY} AS entry FROM heads WHERE NOT hidden),
-body AS (
-  SELECT category, strftime(start_ts, '%Y-%m') AS month, string_agg(entry, '' ORDER BY start_ts, group_key) AS entries, count(*) AS n,
-    concat_ws(' - ', 'Events', nullif(category, '')) AS name
-  FROM e GROUP BY ALL)
-SELECT category, month, md5(array_to_string([
+WITH {_HEADS}, e AS (SELECT *, strftime(start_ts, '%Y-%m') AS month, {_ENTRY} AS entry FROM heads WHERE NOT hidden),
+files AS (SELECT category, month, count(*) AS n, concat_ws(' - ', 'Events', nullif(category, '')) AS name FROM e GROUP BY ALL),
+rows_ AS (
+  SELECT category, month, 1 AS part, row_number() OVER (PARTITION BY category, month ORDER BY start_ts, group_key) AS position, entry AS text FROM e
+  UNION ALL SELECT category, month, 2, n + 1, 'END:VCALENDAR' || chr(13) || chr(10) FROM files
+  UNION ALL SELECT category, month, 0, 0, array_to_string([
   'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//vantage//EN', 'CALSCALE:GREGORIAN', 'X-WR-CALNAME:' || {_esc('name')}, 'NAME:' || {_esc('name')},
   'REFRESH-INTERVAL;VALUE=DURATION:PT2H', 'X-PUBLISHED-TTL:PT2H', 'X-WR-CALDESC:' || n || ' events', 'DESCRIPTION:' || n || ' events', ''
-  ], chr(13) || chr(10)) || entries || 'END:VCALENDAR' || chr(13) || chr(10)) AS text_md5 FROM body""")
+  ], chr(13) || chr(10)) FROM files)
+SELECT category, month, part, position, md5(text) AS text_md5 FROM rows_""")
 def calendar_files(spark, sf):
     rows = ics.entry(views.feed_events(_heads(spark, sf), b.listing_as_of()), b.listing_as_of(), description_chars=None)
-    files = ics.calendars(rows, "category")
-    return files.select("category", "month", F.md5(F.replace("ics", F.lit("\r\n "), F.lit(""))).alias("text_md5"))
+    lines = ics.calendar_lines(ics.calendar_rows(rows, "category"), "category")
+    return lines.select("category", "month", "part", "position", F.md5(F.replace("text", F.lit("\r\n "), F.lit(""))).alias("text_md5"))
 
 
 @query("d24_bounds", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions.text import plain_number
+from vantage.operators.ranking import sorted_positions
 
 CRLF = "\r\n"
 
@@ -65,25 +66,39 @@ def header(name: Column, description: Column, product: str = "-//vantage//EN") -
     return F.concat(F.array_join(F.transform(present, fold), CRLF), F.lit(CRLF))
 
 
-def calendars(entries: DataFrame, feed: str, title: str = "Events") -> DataFrame:
-    """(feed, month, ics): complete calendar texts, one for each month of a feed.
+def calendar_rows(entries: DataFrame, feed: str, title: str = "Events") -> DataFrame:
+    """(feed, month, part, start_ts, group_key, text): the rows of complete calendars, one calendar for each month of a feed.
 
-    An event's file depends on its own start alone, so it never moves when others come or go.
+    Part 0 is the head, 1 the entries, 2 the end; in the order of all columns but the text they make the file. A calendar of any
+    size is rows of a table, never one value. An event's file depends on its own start alone, so it never moves when others
+    come or go.
     """
-    month = F.date_format("start_ts", "yyyy-MM")
-    bodies = entries.groupBy(feed, month.alias("month")).agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("start_ts", "group_key", "entry"))), lambda e: e["entry"]
-        ), "").alias("_body"), F.count(F.lit(1)).alias("_events"),
-    )
+    dated = entries.withColumn("month", F.date_format("start_ts", "yyyy-MM"))
     name = F.concat_ws(" - ", F.lit(title), F.when(F.col(feed) != "", F.col(feed)))
     about = F.concat(F.col("_events").cast("string"), F.lit(" events"))
-    text = F.concat(header(name, about), F.col("_body"), F.lit("END:VCALENDAR" + CRLF))
-    return bodies.select(feed, "month", text.alias("ics"))
+    ends = F.array(F.struct(F.lit(0).alias("part"), header(name, about).alias("text")), F.struct(F.lit(2).alias("part"), F.lit("END:VCALENDAR" + CRLF).alias("text")))
+    edges = dated.groupBy(feed, "month").agg(F.count(F.lit(1)).alias("_events")).select(feed, "month", F.inline(ends))
+    body = dated.select(feed, "month", F.lit(1).alias("part"), "start_ts", "group_key", F.col("entry").alias("text"))
+    return body.unionByName(edges, allowMissingColumns=True)
+
+
+def _order(feed: str) -> list[str]:
+    return [feed, "month", "part", "start_ts", "group_key"]
+
 
+def calendar_lines(rows: DataFrame, feed: str) -> DataFrame:
+    """Add ``position``, the place of a row in its own file from 0 on."""
+    placed = sorted_positions(rows.orderBy(*_order(feed)), "_place")
+    first = placed.filter("part = 0").select(feed, "month", F.col("_place").alias("_first"))
+    return placed.join(first, [feed, "month"]).withColumn("position", F.col("_place") - F.col("_first")).drop("_place", "_first")
 
-def write_calendars(files: DataFrame, feed: str, path: str) -> None:
-    """One text file per calendar, under feed=.../month=...; every line, the last one too, ends in CRLF."""
-    body = F.regexp_replace("ics", "\r\n$", "")
-    files.select(feed, "month", body.alias("ics")).repartition(feed, "month").write.mode("overwrite").option(
+
+def write_calendars(rows: DataFrame, feed: str, path: str) -> None:
+    """Text files under feed=.../month=...; every line, the last one too, ends in CRLF.
+
+    The sorted rows are cut into even ranges, so a crowded month is written by several tasks: its calendar is its files in the
+    order of their names.
+    """
+    even = rows.repartitionByRange(*_order(feed)).sortWithinPartitions(*_order(feed))
+    even.select(feed, "month", F.regexp_replace("text", "\r\n$", "").alias("text")).write.mode("overwrite").option(
         "lineSep", CRLF).partitionBy(feed, "month").text(path)
