@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.common import beside
+from vantage.llm.common import BASE, beside, mix, text_slices, word_spans
 
-LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 UNKNOWN = "und"
 
@@ -33,58 +33,151 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
 
 
+_KINDS: list[np.ndarray] = []
+
+
+def letter_kinds() -> np.ndarray:
+    """For every code point 1 if it is a letter, 2 if it is a mark (such as a vowel sign), else 0."""
+    if not _KINDS:
+        _KINDS.append(np.fromiter(({"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000))
+    return _KINDS[0]
+
+
+def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the words of some texts in bytes: longest runs of letters and marks with at least one letter."""
+    table = letter_kinds()
+    kinds = np.where(data < 0x80, table[data], 0).astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        more = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+        b = [more[lead + k] for k in range(4)]
+        size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+        tail = [x & 0x3F for x in b]
+        code = np.where(size == 2, (b[0] & 0x1F) << 6 | tail[1], np.where(size == 3, (b[0] & 0x0F) << 12 | tail[1] << 6 | tail[2], (b[0] & 0x07) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]))
+        kind = table[code]
+        for k in range(4):
+            kinds[lead[size > k] + k] = kind[size > k]
+    start, end, row = word_spans(kinds, off, np.arange(256) == 0)
+    letters = np.concatenate(([0], np.cumsum(kinds == 1)))
+    real = letters[end] > letters[start]
+    return start[real], end[real], row[real]
+
+
+def different_words(batch: pa.RecordBatch, column: int | str) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """(first row, end row, different words, code of each word, row of each word) of runs of rows; case is folded."""
+    for lo, hi, data, off in text_slices(batch, column, 2 << 20, lower=True):
+        start, end, row = words_of(data, off)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[start] += 1
+        np.subtract.at(inside, end, 1)
+        letters = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        ends = np.concatenate(([0], np.cumsum(end - start)))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        yield lo, hi, coded.dictionary, coded.indices.to_numpy().astype(np.int64), row
+
+
+def gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the ``n`` code points from each place on."""
+    key = np.full(max(len(codes) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        key = mix(key * np.uint64(BASE) + codes[k:k + len(key)])
+    return key
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
 @dataclass
 class Model:
-    """Log frequencies of words and n-grams in each language; level 0 has the words."""
+    """Log frequencies of words and n-grams in each language. ``index`` has the words, then the n-grams of each length; the rows
+    of ``logs`` are theirs, in this order."""
 
     langs: list[str]
-    index: list[dict[str, int]]
+    index: list[list[str]]
     logs: np.ndarray
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
+    words: pa.Array = field(init=False)
+    keys: list[np.ndarray] = field(init=False)
+    places: list[np.ndarray] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.words = pa.array([w.encode() for w in self.index[0]], pa.large_binary())
+        first = np.cumsum([0, *map(len, self.index)])
+        self.keys, self.places = [], []
+        for n in range(1, LONGEST + 1):
+            own = np.array([gram_keys(code_points(g), n)[0] for g in self.index[n]], np.uint64)
+            order = np.argsort(own)
+            self.keys.append(own[order])
+            self.places.append(order + first[n])
 
     @classmethod
     def fitted(cls, rows: list[tuple[int, str, str, int]], add: float = 0.5) -> Model:
-        """From (level, lang, gram, count) rows; frequencies are smoothed with ``add``."""
+        """From (level, lang, gram, count) rows, where level 0 has the words; frequencies are smoothed with ``add``."""
         langs = sorted({r[1] for r in rows})
         at = {x: i for i, x in enumerate(langs)}
-        index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        index: list[list[str]] = []
         table: list[np.ndarray] = []
         for level in range(LONGEST + 1):
-            own = sorted(r for r in rows if r[0] == level)
-            for gram in sorted({r[2] for r in own}):
-                index[level][gram] = len(index[level])
-            counts = np.zeros((len(index[level]), len(langs)))
+            own = [r for r in rows if r[0] == level]
+            index.append(sorted({r[2] for r in own}))
+            place = {g: i for i, g in enumerate(index[-1])}
+            counts = np.zeros((len(place), len(langs)))
             for _, lang, gram, n in own:
-                counts[index[level][gram], at[lang]] = n
+                counts[place[gram], at[lang]] = n
             counts += add
             table.append(np.log(counts / counts.sum(axis=0)) if len(counts) else counts)
-        first = np.cumsum([0, *map(len, index)])
-        return cls(langs, [{g: i + int(first[k]) for g, i in x.items()} for k, x in enumerate(index)], np.concatenate(table))
-
-    def word(self, w: str) -> np.ndarray:
-        """A known word's own row; else the mean of its known n-grams of the longest length that has any; else zeros."""
-        if (i := self.index[0].get(w)) is not None:
-            return self.logs[i]
+        return cls(langs, index, np.concatenate(table))
+
+    def word_rows(self, words: pa.Array) -> np.ndarray:
+        """For each word its row if it is known; else the mean of its known n-grams of the longest length that has any; else zeros."""
+        known = pc.index_in(words, self.words)
+        out = np.zeros((len(words), len(self.langs)))
+        place = known.fill_null(-1).to_numpy().astype(np.int64)
+        out[place >= 0] = self.logs[place[place >= 0]]
+        rest = np.flatnonzero(place < 0)
+        if not len(rest):
+            return out
+        # The unseen words in a row, with one space as the end of one and the start of the next.
+        codes = code_points(" " + " ".join(w.decode() for w in words.take(pa.array(rest)).to_pylist()) + " ")
+        space = codes == 32
+        spaces = np.concatenate(([0], np.cumsum(space)))
+        word = spaces[1:] - 1
+        open_ = np.ones(len(rest) + 1, bool)
+        open_[-1] = False
         for n in range(LONGEST, 0, -1):
-            if rows := [i for g in grams(w, n) if (i := self.index[n].get(g)) is not None]:
-                return self.logs[rows].mean(axis=0)
-        return np.zeros(len(self.langs))
+            at = np.arange(len(codes) - n + 1)
+            # Inside an n-gram there is no end of a word; single characters are taken without the ends.
+            whole = (spaces[at + n - 1] == spaces[at + 1]) if n > 1 else ~space[at]
+            at = at[whole & open_[word[at]]]
+            key = gram_keys(codes, n)[at]
+            keys = self.keys[n - 1]
+            if not len(keys) or not len(at):
+                continue
+            spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[spot] == key
+            owner, rows = word[at[hit]], self.places[n - 1][spot[hit]]
+            found = np.bincount(owner, minlength=len(rest))[:len(rest)]
+            for k in range(len(self.langs)):
+                out[rest, k] += np.bincount(owner, self.logs[rows, k], len(rest))[:len(rest)] / np.maximum(found, 1)
+            open_[:-1] &= found == 0
+        return out
+
+    def predictions(self, batch: pa.RecordBatch, column: int | str) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each row of the batch."""
+        best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
+        for lo, _, words, code, row in different_words(batch, column) if self.langs else ():
+            if not len(row):
+                continue
+            rows, first = np.unique(row, return_index=True)
+            total = np.add.reduceat(self.word_rows(words)[code], first, axis=0)
+            share = np.exp(total - total.max(axis=1, keepdims=True))
+            top = np.argmax(share, axis=1)  # ties: the first in order of name
+            best[lo + rows], score[lo + rows] = top, share[np.arange(len(rows)), top] / share.sum(axis=1)
+        return [UNKNOWN if i < 0 else self.langs[i] for i in best.tolist()], score
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        if len(self.memo) > 60_000:  # a cache of pure results: emptying it changes nothing but speed
-            self.memo.clear()
-        counts, memo, rows = Counter(words), self.memo, []
-        for w in counts:
-            if (r := memo.get(w)) is None:
-                r = memo[w] = self.word(w)
-            rows.append(r)
-        total = np.fromiter(counts.values(), float, len(counts)) @ np.array(rows)
-        share = np.exp(total - total.max())
-        best = int(np.argmax(share))  # ties: the first in order of name
-        return self.langs[best], float(share[best] / share.sum())
+        langs, score = self.predictions(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"]), 0)
+        return langs[0], float(score[0])
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -103,8 +196,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
-            for la, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[la].update(LETTERS.findall(t.lower()))
+            langs = np.array(b.column(0).to_pylist(), object)
+            for lo, hi, words, code, row in different_words(b, 1):
+                names, own = [w.decode() for w in words.to_pylist()], langs[lo:hi]
+                for la in dict.fromkeys(own):
+                    times = np.bincount(code[(own == la)[row]], minlength=len(names))
+                    seen[la].update({names[k]: int(times[k]) for k in np.flatnonzero(times)})
         for la, words in seen.items():
             levels = [words, *[Counter() for _ in range(LONGEST)]]
             for w, n in words.items():
@@ -134,10 +231,8 @@ def languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            found = [own.predict(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                ["doc_id", "lang_pred", "score"])
+            langs, score = own.predictions(b, 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
@@ -150,7 +245,7 @@ def recognised(docs: DataFrame, model: Model, text: str = "text", least: float =
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            found = [own.predict(t.as_py()) for t in b.column(place)]
-            yield b.filter(pa.array([la != UNKNOWN and p >= least for la, p in found], pa.bool_()))
+            langs, score = own.predictions(b, place)
+            yield b.filter(pa.array([la != UNKNOWN and p >= least for la, p in zip(langs, score)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
