@@ -3,6 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 from vantage.llm import decontaminate as d
 
@@ -109,3 +112,55 @@ def test_recall_of_paraphrases():
             got += k in d.search(h, first, table, shelves)[0]
             every += k in d.search(h, first, table, shelves, -2.0)[0]
         assert every == 60 and got >= 0.9 * every, (kept, got)
+
+
+def plain_leaks(docs, items):
+    """Every run of 24 words of every item against every stretch of every text, with plain lists."""
+    fold = lambda t: pc.utf8_lower(pa.scalar(t)).as_py().replace("ς", "σ")
+    split = lambda t: regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}\p{N}])+", fold(t))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    found = set()
+    for k, item in items:
+        words = split(item)
+        for i, text in docs:
+            own = split(text)
+            if len(words) < 8:
+                if own == words if len(words) < 4 else any(own[j:j + len(words)] == words for j in range(len(own))):
+                    found.add((i, k))
+                continue
+            for p in {tuple(words[j:j + 24]) for j in range(max(1, len(words) - 23))}:
+                if set(p) & set(own) and any(common(p, own[j:j + 30]) >= 0.75 * len(p) for j in range(0, max(1, len(own) - 23), 2)):
+                    found.add((i, k))
+                    break
+    return found
+
+
+def test_against_plain_lists(spark):
+    """Verbatim fragments, scripts, quotes and short items; no answer decides here, so only the strong rule counts."""
+    rng = random.Random(9)
+    docs, items, _ = planted(9)
+    docs, items = docs[1::9], items[:6]
+    greek = " ".join(rng.choice(["ΛΟΓΟΣ", "ΑΝΘΡΩΠΟΣ", "ΘΕΟΣ", "ΚΑΙ", "ΤΟΥ"]) + str(k % 7) for k in range(30))
+    chinese = "".join(chr(0x4E00 + 37 * k % 900) for k in range(60))
+    items += [(200, greek), (201, chinese), (202, "“" + "” “".join(f"quoted{k}" for k in range(12)) + "”"), (203, "yes"), (204, "the answer is no"), (205, "six words that must stand together")]
+    docs += [(5000, f"x y {greek.lower()} z"), (5001, f"前文{chinese}后文"), (5002, "say " + " ".join(f"quoted{k}" for k in range(12))), (5003, "yes it is"), (5004, "Yes!"),
+             (5005, "the one answer that is not a no is yes"), (5006, "and the answer is no."), (5007, "six odd words that must not stand so together"), (5008, "… six words that must stand together")]
+    got = pairs(d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == plain_leaks(docs, items)
+    assert {(5000, 200), (5001, 201), (5002, 202), (5004, 203), (5006, 204), (5008, 205)} <= got
+
+
+def test_long_text_and_item(spark):
+    rng = random.Random(10)
+    long = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(reversed(long)))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(long[30_000:30_040])), (2, " ".join(f"w{rng.randrange(5000)}" for _ in range(8_000)))], "item_id long, text string")
+    assert pairs(d.leaks(docs, items)) == {(1, 1)}

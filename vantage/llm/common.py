@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -159,3 +160,29 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of the byte ranges; equal bytes give equal hashes wherever they stand."""
     sums = prefix_sums(data)
     return mix((sums[ends] - sums[starts]) * powers(len(data) + 1)[1][starts])
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def category_table(name: str, kinds: dict[str, int]) -> np.ndarray:
+    """For every code point the number of its general category's first letter, 0 if it has none; kept under ``name``."""
+    if name not in _TABLES:
+        _TABLES[name] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+    return _TABLES[name]
+
+
+def byte_kinds(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For every byte of some UTF-8 the table's number of the character it belongs to."""
+    kinds = np.where(data < 0x80, table[data], 0).astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        more = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+        b = [more[lead + k] for k in range(4)]
+        size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+        tail = [x & 0x3F for x in b]
+        two, three = (b[0] & 0x1F) << 6 | tail[1], (b[0] & 0x0F) << 12 | tail[1] << 6 | tail[2]
+        kind = table[np.where(size == 2, two, np.where(size == 3, three, (b[0] & 0x07) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]))]
+        for k in range(4):
+            kinds[lead[size > k] + k] = kind[size > k]
+    return kinds

@@ -2,8 +2,9 @@
 
 Passages of the corpus and of the benchmark are TF-IDF vectors over hashed words. A randomised SVD (a sparse random sketch
 of the passage matrix, summed over all tasks, then decomposed on the driver at a fixed size) gives a latent space; windows
-of every whole text are compared in it with every benchmark passage, a block of passages at a time. Pairs above the
-cosine bound are decided word by word.
+of every whole text are compared in it with benchmark passages, a block of passages at a time. A window that could share
+enough words with a passage holds some of the passage's rarest ones: only those pairs are compared, which loses none. Pairs
+above the cosine bound are decided word by word.
 """
 
 from __future__ import annotations
@@ -14,31 +15,58 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import mix, pack, text_slices, tree_join, word_hashes, word_spans
+from vantage.llm.common import byte_kinds, category_table, mix, pack, text_slices, tree_join, word_hashes, word_spans
 
 #: Fixed sizes of the latent space: hashed terms, rows of the two sketches, entries per passage in each, and the rank kept.
 TERMS, BASIS_ROWS, SCALE_ROWS, ENTRIES, RANK = 1 << 14, 72, 160, 4, 64
-#: Words of a passage, words from one passage of an item to the next, words of a step of the window, benchmark items in a block.
-PASSAGE, GRID, STEP, BLOCK = 24, 4, 8, 1_000
+#: Words of a passage, words from one passage of an item to the next, words of a step of the window, benchmark passages in a block.
+PASSAGE, GRID, STEP, BLOCK = 24, 4, 8, 20_000
 #: Cosine from which a pair is looked at; share of the passage's words in common order that is a leak, and the share that
 #: is one if the item's answer is there as well.
 COSINE, STRONG, WEAK, ANSWER = 0.4, 0.75, 0.6, 0.9
 
-SEPARATORS = np.ones(256, bool)
-SEPARATORS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
+#: Under CONTIGUOUS words an item must stand as it is, under ALONE words it must be the whole text.
+CONTIGUOUS, ALONE = 8, 4
+#: Scripts without spaces between words: each character is a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+WORD, SINGLE = 1, 2
+
+
+def word_kinds() -> np.ndarray:
+    """For every code point WORD if it is a letter, mark or digit, SINGLE if it is one of a script without spaces, else 0."""
+    table = category_table("words", {"L": WORD, "M": WORD, "N": WORD})
+    for lo, hi in UNSPACED:
+        table[lo:hi + 1][table[lo:hi + 1] > 0] = SINGLE
+    return table
 
 
 def hashed_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and the first word of each text (with an end mark)."""
-    starts, ends, row = word_spans(data, off, SEPARATORS)
+    """Hashes of the words of texts in lower case, and the first word of each text (with an end mark)."""
+    sigma = np.flatnonzero(data[:-1] == 0xCF)
+    if len(sigma := sigma[data[sigma + 1] == 0x82]):  # a final sigma is a sigma
+        data = data.copy()
+        data[sigma + 1] = 0x83
+    kinds = byte_kinds(data, word_kinds())
+    starts, ends, row = word_spans(kinds, off, np.arange(256) == 0)
+    lead = (data & 0xC0) != 0x80
+    single = kinds == SINGLE
+    if single.any():
+        # Cut before every character of an unspaced script, and before what follows one.
+        before = np.concatenate(([False], single[:-1]))
+        cuts = np.flatnonzero((kinds > 0) & lead & (single | before))
+        starts = np.union1d(starts, cuts)
+        row = np.searchsorted(off, starts, "right") - 1
+        ends = np.minimum(np.append(starts[1:], len(data)), ends[np.searchsorted(ends, starts, "right")])
     return word_hashes(data, starts, ends), np.searchsorted(row, np.arange(len(off)))
 
 
 def text_words(text: str) -> list[int]:
-    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    """Hashes of a text's words, folded by the same function as the columns of ``text_slices``."""
+    raw = np.frombuffer(pc.utf8_lower(pa.scalar(text)).as_py().encode(), np.uint8)
     return hashed_words(raw, np.array([0, len(raw)]))[0].tolist()
 
 
@@ -145,17 +173,51 @@ def window_steps(size: int) -> int:
     return -(-(size + STEP - 1) // STEP)
 
 
+#: How many of a passage's rarest words more than the fewest possible are looked up; so many more of them must be found.
+EXTRA = 2
+
+
 @dataclass
 class Shelf:
-    """Benchmark passages of one window width: their unit vectors, their terms (padded, and as a table of which term is in
-    which passage) and the fewest shared words to look further."""
+    """Benchmark passages of one window width: their unit vectors, their terms (padded), the fewest shared words to look
+    further, and an inverted list: the rare words in order, and for each its passages.
+
+    A passage of n words that shares ``fewest`` of them with a window shares 1 + EXTRA at least of any n - fewest + 1 + EXTRA.
+    """
 
     width: int
     units: np.ndarray
     own: list[Passage]
     terms: np.ndarray
-    holds: np.ndarray
     fewest: np.ndarray
+    rare: np.ndarray
+    lists: np.ndarray
+    first: np.ndarray
+    needed: np.ndarray
+
+
+def candidates(h: np.ndarray, first: np.ndarray, shelf: Shelf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, step in the text, passage) of windows around which enough of a passage's rare words stand."""
+    if not len(shelf.rare):
+        return (np.zeros(0, np.int64),) * 3
+    spot = np.minimum(np.searchsorted(shelf.rare, h), len(shelf.rare) - 1)
+    at = np.flatnonzero(shelf.rare[spot] == h)
+    spot = spot[at]
+    # An occurrence stands for each passage with the word, and for each window whose surroundings hold the occurrence.
+    size = shelf.first[spot + 1] - shelf.first[spot]
+    q = shelf.lists[np.repeat(shelf.first[spot] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    at = np.repeat(at, size)
+    row = np.searchsorted(first, at, "right") - 1
+    steps = -(-(first[row + 1] - first[row]) // STEP)
+    step = ((at - first[row]) // STEP)[:, None] + np.arange(-shelf.width, 2)
+    whole = (step >= 0) & ((step + shelf.width <= steps[:, None]) | (step == 0))
+    pair = np.broadcast_to((row * len(shelf.own) + q)[:, None], step.shape)[whole]
+    # Sorted by pair and step; how many occurrences each has.
+    longest = int(steps.max(initial=0)) + 1
+    key, found = np.unique(pair * longest + step[whole], return_counts=True)
+    pair, step = key // longest, key % longest
+    enough = found >= shelf.needed[pair % len(shelf.own)]
+    return pair[enough] // len(shelf.own), step[enough], pair[enough] % len(shelf.own)
 
 
 def search(h: np.ndarray, first: np.ndarray, table: np.ndarray, shelves: list[Shelf], cosine: float = COSINE) -> list[dict[int, float]]:
@@ -163,27 +225,21 @@ def search(h: np.ndarray, first: np.ndarray, table: np.ndarray, shelves: list[Sh
     out: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
     if not len(h):
         return out
-    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-    starts = np.flatnonzero(place % STEP == 0)
-    own_terms = terms(h)
-    # Some steps at a time, so that the words' vectors stay in the processor's cache.
-    cuts = [*range(0, len(starts), 1024), len(starts)]
-    ends = np.append(starts, len(h))
-    sums = np.concatenate([np.add.reduceat(table[own_terms[ends[a]:ends[z]]], starts[a:z] - ends[a], axis=0) for a, z in zip(cuts, cuts[1:], strict=False)])
-    own_terms = own_terms.astype(np.int16)
-    row = np.searchsorted(first, starts, "right") - 1
-    end = np.searchsorted(row, row, "right")  # the end of the text's steps
-    upto = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)))
+    own_terms = terms(h).astype(np.int16)
     for shelf in shelves:
         # One window from each step; near the end of a text it is shorter, and a short text is one window.
-        whole = (np.arange(len(starts)) + shelf.width <= end) | (place[starts] == 0)
-        at = np.flatnonzero(whole)
-        vec = (upto[np.minimum(at + shelf.width, end[at])] - upto[at]).astype(np.float32)
-        vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
-        for lo in range(0, len(at), 1024):
-            i, q = np.divmod(np.flatnonzero(vec[lo:lo + 1024] @ shelf.units.T >= cosine), len(shelf.own))
-            for some in np.array_split(np.arange(len(i)), -(-len(i) // 4096)) if len(i) else []:
-                decide(h, first, own_terms, starts[at[lo + i[some]]], row[at[lo + i[some]]], q[some], shelf, out)
+        row, step, q = candidates(h, first, shelf)
+        begin = first[row] + step * STEP
+        for lo in range(0, len(q), 4096):
+            b, r, p = begin[lo:lo + 4096], row[lo:lo + 4096], q[lo:lo + 4096]
+            windows, of = np.unique(b, return_inverse=True)
+            at = windows[:, None] + np.arange(shelf.width * STEP)
+            inside = at < first[np.searchsorted(first, windows, "right")][:, None]
+            vec = np.einsum("wkr,wk->wr", table[own_terms[np.minimum(at, len(h) - 1)]], inside.astype(table.dtype))
+            vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
+            near = np.flatnonzero(np.einsum("wr,wr->w", vec[of], shelf.units[p]) >= cosine)
+            if len(near):
+                decide(h, first, own_terms, b[near], r[near], p[near], shelf, out)
     return out
 
 
@@ -192,17 +248,18 @@ def decide(h: np.ndarray, first: np.ndarray, own_terms: np.ndarray, begin: np.nd
     """Hold windows against passages word by word; those with too few of the passage's words are left out first."""
     lo, hi = np.maximum(first[row], begin - STEP), np.minimum(first[row + 1], begin + (shelf.width + 1) * STEP)
     at = lo[:, None] + np.arange((shelf.width + 2) * STEP)
-    inside = at < hi[:, None]
-    region = own_terms[np.minimum(at, len(h) - 1)]
-    # Two bounds of the common subsequence: the window's words that are in the passage, then the passage's in the window.
-    some = np.flatnonzero((shelf.holds[q[:, None], region] & inside).sum(axis=1) >= shelf.fewest[q])
-    region = np.where(inside[some], region[some], np.int16(-1))
-    present = (region[:, None, :] == shelf.terms[q[some]][:, :, None]).any(axis=2).sum(axis=1)
-    for c in some[present >= shelf.fewest[q[some]]].tolist():
+    # A bound of the common subsequence: the passage's words that stand in the window.
+    region = np.where(at < hi[:, None], own_terms[np.minimum(at, len(h) - 1)], np.int16(-1))
+    present = (region[:, None, :] == shelf.terms[q][:, :, None]).any(axis=2).sum(axis=1)
+    for c in np.flatnonzero(present >= shelf.fewest[q]).tolist():
         p, text = shelf.own[q[c]], int(row[c])
+        if len(p.words) < CONTIGUOUS:
+            if stands(p.words, h[first[text]:first[text + 1]] if len(p.words) < ALONE else h[lo[c]:hi[c]]):
+                out[text][p.item] = 1.0
+            continue
         share = common_subsequence(p.masks, len(p.words), h[lo[c]:hi[c]].tolist()) / len(p.words)
-        need = STRONG if len(p.words) >= 8 else 1.0
-        if WEAK <= share < need and len(p.words) >= 8:
+        need = STRONG
+        if WEAK <= share < need:
             around = h[max(int(first[text]), int(begin[c]) - 2 * PASSAGE):min(int(first[text + 1]), int(begin[c]) + 4 * PASSAGE)].tolist()
             if common_subsequence(p.answer_masks, len(p.answer), around) >= ANSWER * len(p.answer):
                 need = WEAK
@@ -210,16 +267,34 @@ def decide(h: np.ndarray, first: np.ndarray, own_terms: np.ndarray, begin: np.nd
             out[text][p.item] = max(share, out[text].get(p.item, 0.0))
 
 
+def stands(words: list[int], text: np.ndarray) -> bool:
+    """Whether the words stand in the text in a row; fewer than ALONE of them, whether they are the text."""
+    text = text.tolist()
+    if len(words) < ALONE:
+        return text == words
+    return any(text[i:i + len(words)] == words for i in range(len(text) - len(words) + 1))
+
+
 def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[Passage]]:
-    """The benchmark's passages, ``BLOCK`` items or so at a time: only a block is on the driver at once."""
+    """The benchmark's passages, ``BLOCK`` or so at a time: only a block is on the driver at once. A longer item is cut."""
     rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).filter("item is not null and text is not null")
-    n = -(-rows.count() // BLOCK)
+    # An item of so many characters has no more passages than half of them over the grid.
+    size = rows.agg(F.coalesce(F.sum(F.ceil(F.length("text") / (2 * GRID)) + 1), F.lit(0))).first()[0]
+    n = -(-size // BLOCK)
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else rows
-        yield [p for r in sorted(part.collect()) for p in passages(r["item"], r["text"])]
-
-
-def prepared(table: np.ndarray, own: list[Passage]) -> list[Shelf]:
+        held: list[Passage] = []
+        for r in sorted(part.collect()):
+            held += passages(r["item"], r["text"])
+            while len(held) >= 2 * BLOCK:
+                yield held[:BLOCK]
+                held = held[BLOCK:]
+        if held:
+            yield held
+
+
+def prepared(table: np.ndarray, own: list[Passage], df: np.ndarray | None = None) -> list[Shelf]:
+    """The passages by window width; ``df`` tells how common a term is."""
     out = []
     for width in sorted({window_steps(len(p.words)) for p in own}):
         some = [p for p in own if window_steps(len(p.words)) == width]
@@ -228,18 +303,28 @@ def prepared(table: np.ndarray, own: list[Passage]) -> list[Shelf]:
         padded = np.full((len(some), PASSAGE), -2, np.int16)
         for i, x in enumerate(ids):
             padded[i, :len(x)] = x
-        holds = np.zeros((len(some), TERMS), bool)
-        for i, x in enumerate(ids):
-            holds[i, x] = True
         units = (vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-        fewest = np.array([np.ceil(WEAK * len(x) - 1e-9) if len(x) >= 8 else len(x) for x in ids])
-        out.append(Shelf(width, units, some, padded, holds, fewest))
+        size = np.array([len(x) for x in ids])
+        fewest = np.where(size >= CONTIGUOUS, np.ceil(WEAK * size - 1e-9), size).astype(np.int64)
+        extra = np.minimum(EXTRA, fewest - 1)
+        posts, needed = [], 1 + extra
+        for i, (p, x) in enumerate(zip(some, ids)):
+            order = np.argsort(df[x] if df is not None else np.zeros(len(x)), kind="stable")[:size[i] - fewest[i] + 1 + extra[i]]
+            words = {p.words[k] for k in order}
+            # A word that stands twice in the passage may stand once in the window.
+            needed[i] = max(1, needed[i] - (len(order) - len(words)))
+            posts += [(w, i) for w in words]
+        word, place = np.array([w for w, _ in posts], np.uint64), np.array([i for _, i in posts], np.int64)
+        order = np.argsort(word, kind="stable")
+        rare, first = np.unique(word[order], return_index=True)
+        out.append(Shelf(width, units, some, padded, fewest, rare, place[order], np.append(first, len(word)), needed))
     return out
 
 
-def latent_terms(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> np.ndarray:
-    """The latent vectors of all terms, learned from every passage of both tables."""
-    return embedding(*sketches(docs.select(F.col(text).alias("text")).unionByName(benchmark.select(F.col(item_text).alias("text")))))
+def latent_terms(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The latent vectors of all terms, and their passages, learned from every passage of both tables."""
+    sums, df, n = sketches(docs.select(F.col(text).alias("text")).unionByName(benchmark.select(F.col(item_text).alias("text"))))
+    return embedding(sums, df, n), df
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -249,12 +334,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     Each row of ``docs`` is searched whole. Null texts and items, and an empty table on either side, give no rows; ids
     that repeat give a row each. ``share`` is the part of the passage's words found in common order.
     """
-    table = latent_terms(docs, benchmark, text, item_text)
+    table, df = latent_terms(docs, benchmark, text, item_text)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, share double")
     for own in blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast((table, prepared(table, own)))
+        shared = docs.sparkSession.sparkContext.broadcast((table, prepared(table, own, df)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -271,10 +356,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                    cosine: float = COSINE) -> DataFrame:
     """The rows of ``docs`` that leak nothing, with all their columns; each block of the benchmark filters in place."""
-    table = latent_terms(docs, benchmark, text, item_text)
+    table, df = latent_terms(docs, benchmark, text, item_text)
     place = docs.columns.index(text)
     for own in blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast((table, prepared(table, own)))
+        shared = docs.sparkSession.sparkContext.broadcast((table, prepared(table, own, df)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:

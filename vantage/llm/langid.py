@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.common import BASE, beside, mix, text_slices, word_spans
+from vantage.llm.common import BASE, beside, byte_kinds, category_table, mix, text_slices, word_spans
 
 LONGEST = 5
 UNKNOWN = "und"
@@ -33,30 +32,14 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
 
 
-_KINDS: list[np.ndarray] = []
-
-
 def letter_kinds() -> np.ndarray:
     """For every code point 1 if it is a letter, 2 if it is a mark (such as a vowel sign), else 0."""
-    if not _KINDS:
-        _KINDS.append(np.fromiter(({"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000))
-    return _KINDS[0]
+    return category_table("letters", {"L": 1, "M": 2})
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the words of some texts in bytes: longest runs of letters and marks with at least one letter."""
-    table = letter_kinds()
-    kinds = np.where(data < 0x80, table[data], 0).astype(np.uint8)
-    lead = np.flatnonzero(data >= 0xC0)
-    if len(lead):
-        more = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
-        b = [more[lead + k] for k in range(4)]
-        size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
-        tail = [x & 0x3F for x in b]
-        code = np.where(size == 2, (b[0] & 0x1F) << 6 | tail[1], np.where(size == 3, (b[0] & 0x0F) << 12 | tail[1] << 6 | tail[2], (b[0] & 0x07) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]))
-        kind = table[code]
-        for k in range(4):
-            kinds[lead[size > k] + k] = kind[size > k]
+    kinds = byte_kinds(data, letter_kinds())
     start, end, row = word_spans(kinds, off, np.arange(256) == 0)
     letters = np.concatenate(([0], np.cumsum(kinds == 1)))
     real = letters[end] > letters[start]
