@@ -26,7 +26,7 @@ from vantage.llm.common import LOWER, WHITE, pack, small_batches, stored, text_s
 
 WINDOW, END = 2048, 1
 #: Tokens of a shard; tokens of a seed that ask the index; words whose ids a task remembers.
-SHARD, ASKED, REMEMBERED = 4_000_000, 16, 400_000
+SHARD, ASKED, REMEMBERED = 4_000_000, 16, 700_000
 K1, B = 1.2, 0.75
 
 
@@ -208,7 +208,8 @@ class Shard:
         spans = [slice(self.first[t], self.first[t + 1]) for t in self.asks[seed]]
         score = np.bincount(np.concatenate([self.of[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.pieces))
         unused = np.flatnonzero(self.left)
-        return unused[np.argsort(-score[unused], kind="stable")]
+        near = unused[score[unused] > 0]
+        return np.concatenate([near[np.argsort(-score[near], kind="stable")], unused[score[unused] <= 0]])
 
     def windows(self) -> Iterator[list[tuple[int, int]]]:
         """Full windows as (piece, length); pieces that can't fill one stay."""
