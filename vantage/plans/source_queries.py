@@ -392,16 +392,24 @@ _ALERT_KINDS = [*vocab.ALERT_WEIGHTS, "OTHER"]
 
 
 @query("a8_traffic_observations", f"""
-WITH {_FEED}, {_samples_sql('pts', 'pass_id, u', 100.0)}
+WITH {_FEED}, {_samples_sql('pts', 'pass_id, u', 100.0)}, long AS (SELECT pass_id, u, max(upto) AS metres FROM runs GROUP BY ALL)
 SELECT pass_id, 'waze-jam' AS source, 'level-' || (j.k % 6) AS kind, round(s.lat, 5) AS lat, round(s.lon, 5) AS lon,
-  round(CASE WHEN j.k * 5 - 1 = -1 THEN 1 ELSE greatest(least(5, j.k % 6)::DOUBLE / 5, least(greatest(j.k * 5 - 1, 0)::DOUBLE / 600, 1)) END, 4) AS weight
-FROM samples s JOIN jams j USING (pass_id, u) WHERE s.lat BETWEEN -33.45 AND -33.38 AND s.lon BETWEEN 149.53 AND 149.63
+  round(CASE WHEN j.k * 5 - 1 = -1 THEN 1 ELSE greatest(least(5, j.k % 6)::DOUBLE / 5, least(greatest(j.k * 5 - 1, 0)::DOUBLE / 600, 1)) END, 4) AS weight,
+  'Road/Kelso' AS place, 12 AS speed, (j.k * 5 - 1)::INTEGER AS delay, floor(metres + 0.5)::BIGINT AS metres, NULL AS type, NULL::DOUBLE AS reliability, NULL::INTEGER AS thumbs
+FROM samples s JOIN jams j USING (pass_id, u) JOIN long USING (pass_id, u) WHERE s.lat BETWEEN -33.45 AND -33.38 AND s.lon BETWEEN 149.53 AND 149.63
 UNION ALL SELECT pass_id, 'waze-alert', CASE WHEN k % 2 = 0 THEN 'SUB' ELSE [{', '.join(repr(x) for x in _ALERT_KINDS)}][k % 9 + 1] END, round(lat, 5), round(lon, 5),
-  round([{', '.join(str(w) for w in [*vocab.ALERT_WEIGHTS.values(), 0.3])}][k % 9 + 1]::DOUBLE * (0.5 + 0.5 * least(CASE WHEN k % 3 = 0 THEN k % 14 ELSE 5 END / 10::DOUBLE, 1)), 4) FROM alerts
-UNION ALL SELECT pass_id, 'waze-users', CASE WHEN speed < 5 THEN 'stationary' ELSE 'moving' END, round(lat, 5), round(lon, 5), CASE WHEN speed < 5 THEN 1.5 ELSE 1 END FROM users""")
+  round([{', '.join(str(w) for w in [*vocab.ALERT_WEIGHTS.values(), 0.3])}][k % 9 + 1]::DOUBLE * (0.5 + 0.5 * least(CASE WHEN k % 3 = 0 THEN k % 14 ELSE 5 END / 10::DOUBLE, 1)), 4),
+  'Road/Kelso', NULL, NULL, NULL, [{', '.join(repr(x) for x in _ALERT_KINDS)}][k % 9 + 1], CASE WHEN k % 3 = 0 THEN (k % 14)::DOUBLE END, 0 FROM alerts
+UNION ALL SELECT pass_id, 'waze-users', CASE WHEN speed < 5 THEN 'stationary' ELSE 'moving' END, round(lat, 5), round(lon, 5), CASE WHEN speed < 5 THEN 1.5 ELSE 1 END,
+  '', floor(speed + 0.5)::INTEGER, NULL, NULL, NULL, NULL, NULL FROM users""")
 def traffic_rows(spark, sf):
     rows = traffic.feed_observations(_feed(spark, sf), _box())
-    return rows.select("pass_id", "source", "kind", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), F.round("weight", 4).alias("weight"))
+    field = lambda name, kind: F.get_json_object("meta", f"$.{name}").cast(kind)
+    return rows.select(
+        "pass_id", "source", "kind", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), F.round("weight", 4).alias("weight"),
+        F.concat_ws("/", field("street", "string"), field("city", "string")).alias("place"), field("speedKmh", "double").cast("int").alias("speed"),
+        field("delaySec", "int").alias("delay"), field("lengthM", "bigint").alias("metres"), field("type", "string").alias("type"),
+        field("reliability", "double").alias("reliability"), field("thumbsUp", "int").alias("thumbs"))
 
 
 @query("d22_pass_counters", f"""

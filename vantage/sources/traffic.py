@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions.geo import haversine_m, in_box
@@ -11,6 +11,7 @@ from vantage.functions.times import half_up
 from vantage.operators.merge import first_per_key
 
 POINT = "struct<x:double,y:double>"
+SAMPLES = "array<struct<k:bigint,lat:double,lon:double>>"
 FEED_SCHEMA = f"""
 pass_id string, response_no int,
 jams array<struct<uuid:string,id:bigint,level:int,delay:int,length:double,speedKMH:double,
@@ -22,43 +23,51 @@ users array<struct<uuid:string,id:string,speed:double,speedKMH:double,x:double,y
 """
 
 
-def sample_lines(points: DataFrame, key: list[str], spacing: float) -> DataFrame:
-    """Points every ``spacing`` metres along each line, starting with its first point.
+def _segments(line: Column) -> Column:
+    """The stretches between neighbouring points of an array<struct<lat,lon>>, each with its metres."""
+    n = F.greatest(F.size(line) - 1, F.lit(0))
+    return F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda p, q: F.struct(
+        p["lat"].alias("lat0"), p["lon"].alias("lon0"), q["lat"].alias("lat"), q["lon"].alias("lon"),
+        haversine_m(p["lat"], p["lon"], q["lat"], q["lon"]).alias("metres")))
+
+
+def line_samples(line: Column, spacing: float) -> Column:
+    """Points every ``spacing`` metres along a line, its first point included: array<struct<k,lat,lon>>.
 
-    ``points`` has the key, pos, lat, lon. A sample is a whole multiple of the
-    spacing along the cumulative distance, so each segment yields its own
-    samples independently. The window key is one line, whose length is that of
-    a single record.
+    One pass over the array carries the distance so far; a stretch gives the whole multiples of the spacing that lie in it.
     """
-    line = Window.partitionBy(*key).orderBy("pos")
-    seg = F.when(
-        F.col("_lat0").isNotNull(), haversine_m(F.col("_lat0"), F.col("_lon0"), F.col("lat"), F.col("lon"))
-    ).otherwise(0.0)
-    run = (
-        points.withColumns({"_lat0": F.lag("lat").over(line), "_lon0": F.lag("lon").over(line)})
-        .withColumn("_seg", seg)
-        .withColumn("_to", F.sum("_seg").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_from", F.col("_to") - F.col("_seg"))
-    )
-    first_k = (F.floor(F.col("_from") / spacing) + 1).cast("bigint")
-    last_k = F.floor(F.col("_to") / spacing).cast("bigint")
-    ks = F.when(F.col("_lat0").isNull(), F.array(F.lit(0).cast("bigint"))).when(
-        (F.col("_seg") > 0) & (last_k >= first_k), F.sequence(first_k, last_k)
-    )
-    t = F.when(F.col("_seg") > 0, (F.col("k") * spacing - F.col("_from")) / F.col("_seg")).otherwise(0.0)
-    return run.withColumn("k", F.explode(ks)).withColumn("_t", t).select(
-        *key, "k",
-        (F.coalesce("_lat0", "lat") + (F.col("lat") - F.coalesce("_lat0", "lat")) * F.col("_t")).alias("lat"),
-        (F.coalesce("_lon0", "lon") + (F.col("lon") - F.coalesce("_lon0", "lon")) * F.col("_t")).alias("lon"),
-    )
+    def on(upto: Column, s: Column) -> Column:
+        first, last = (F.floor(upto / spacing) + 1).cast("bigint"), F.floor((upto + s["metres"]) / spacing).cast("bigint")
+        share = lambda k: (k * spacing - upto) / s["metres"]
+        return F.when((s["metres"] > 0) & (last >= first), F.transform(F.sequence(first, last), lambda k: F.struct(
+            k.alias("k"), (s["lat0"] + (s["lat"] - s["lat0"]) * share(k)).alias("lat"), (s["lon0"] + (s["lon"] - s["lon0"]) * share(k)).alias("lon"))))
+
+    start = F.array(F.struct(F.lit(0).cast("bigint").alias("k"), F.get(line, F.lit(0))["lat"].alias("lat"), F.get(line, F.lit(0))["lon"].alias("lon")))
+    none = F.array().cast(SAMPLES)
+    walked = F.aggregate(
+        _segments(line), F.struct(F.lit(0.0).alias("upto"), start.cast(SAMPLES).alias("found")),
+        lambda acc, s: F.struct((acc["upto"] + s["metres"]).alias("upto"), F.concat(acc["found"], F.coalesce(on(acc["upto"], s).cast(SAMPLES), none)).alias("found")),
+        lambda acc: acc["found"])
+    return F.when(F.size(line) > 0, walked).otherwise(none)
+
+
+def line_metres(line: Column) -> Column:
+    return F.aggregate(_segments(line), F.lit(0.0), lambda acc, s: acc + s["metres"])
+
+
+def _lines(points: DataFrame, key: list[str]) -> DataFrame:
+    """One row a line, its points with positions in order; a line is one record of a feed."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    return points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy(*key).agg(own.alias("line"))
+
+
+def sample_lines(points: DataFrame, key: list[str], spacing: float) -> DataFrame:
+    """(key, k, lat, lon): ``line_samples`` of lines given as points (key, pos, lat, lon)."""
+    return _lines(points, key).select(*key, F.inline(line_samples(F.col("line"), spacing)))
 
 
 def line_lengths(points: DataFrame, key: list[str]) -> DataFrame:
-    line = Window.partitionBy(*key).orderBy("pos")
-    seg = haversine_m(F.lag("lat").over(line), F.lag("lon").over(line), F.col("lat"), F.col("lon"))
-    return points.withColumn("_seg", seg).groupBy(*key).agg(
-        F.coalesce(F.sum("_seg"), F.lit(0.0)).alias("length_m")
-    )
+    return _lines(points, key).select(*key, line_metres(F.col("line")).alias("length_m"))
 
 
 def _exploded(feed: DataFrame, kind: str) -> DataFrame:
@@ -109,20 +118,15 @@ def _meta(**fields: Column) -> Column:
 def feed_observations(feed: DataFrame, box: Column, spacing: float = 100.0, stationary_boost: float = 1.5) -> DataFrame:
     """Weighted observations (pass_id, source, kind, lat, lon, weight, meta) of every pass."""
     jams = unique_jams(feed)
-    points = jams.select("pass_id", "item_key", F.posexplode("line").alias("pos", "p")).select(
-        "pass_id", "item_key", "pos", F.col("p.y").alias("lat"), F.col("p.x").alias("lon")
-    )
-    key = ["pass_id", "item_key"]
-    samples = sample_lines(points, key, spacing).filter(in_box(box, F.col("lat"), F.col("lon")))
-    facts = jams.join(line_lengths(points, key), key).select(
-        *key, F.concat(F.lit("level-"), F.coalesce("level", F.lit(0)).cast("string")).alias("kind"),
+    known = F.filter("line", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    lines = jams.withColumn("line", F.transform(known, lambda p: F.struct(p["y"].alias("lat"), p["x"].alias("lon"))))
+    jam_rows = lines.select(
+        "pass_id", F.lit("waze-jam").alias("source"), F.concat(F.lit("level-"), F.coalesce("level", F.lit(0)).cast("string")).alias("kind"),
         jam_severity(F.col("level"), F.col("delay")).alias("weight"),
         _meta(street=F.col("street"), city=F.col("city"), speedKmh=F.col("speedKMH"), delaySec=F.col("delay"),
-              lengthM=half_up(F.coalesce("length", "length_m"))).alias("meta"),
-    )
-    jam_rows = samples.join(facts, key).select(
-        "pass_id", F.lit("waze-jam").alias("source"), "kind", "lat", "lon", "weight", "meta"
-    )
+              lengthM=half_up(F.coalesce(F.col("length"), line_metres(F.col("line"))))).alias("meta"),
+        F.inline(line_samples(F.col("line"), spacing)),
+    ).filter(in_box(box, F.col("lat"), F.col("lon"))).select("pass_id", "source", "kind", "lat", "lon", "weight", "meta")
     subtype = F.when(F.col("subtype") != "", F.col("subtype"))
     kind_of = F.when(F.col("type") != "", F.col("type"))
     reported = F.when(
