@@ -67,6 +67,20 @@ def test_append_and_scan(spark, landed, tmp_path):
     assert part.count() == rows.filter((F.col("area") == "area-1") & (F.col("ts") >= since)).count()
 
 
+def test_appended_passes_read_back(spark, tmp_path):
+    """Two passes of one table, appended apart, are the table again, whatever their areas are called."""
+    rows = b.observations(spark, SF).withColumn("area", F.when(F.col("obs_id") % 5 == 0, "007").otherwise(F.col("area")))
+    for k in range(2):
+        half = rows.filter(F.col("obs_id") % 2 == k)
+        run = half.groupBy("area").agg(F.lit(k).alias("run_id"), F.max("ts").alias("ts"), F.lit("s").alias("summary"))
+        ob.append_pass(half, run, f"{tmp_path}/history")
+    back = ob.read_observations(spark, f"{tmp_path}/history")
+    assert sorted(map(str, back.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    assert dict(back.dtypes)["area"] == "string" and {r.obs_date == r.ts.date() for r in back.collect()} == {True}
+    runs = spark.read.parquet(f"{tmp_path}/history/density_run")
+    assert {r.run_id for r in ob.last_run(runs).collect()} <= {0, 1} and runs.count() == 2 * rows.select("area").distinct().count()
+
+
 def test_unique_sightings(spark, tmp_path):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(f"p{i // 10}", "jam", f"k{i % 4}", t + timedelta(minutes=i)) for i in range(40)], "pass_id string, kind string, key string, ts timestamp")

@@ -669,6 +669,19 @@ def month_grid(spark, sf):
     return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "events", "more", F.array_join("titles", "|").alias("titles"))
 
 
+@query("d19_week_grid", f"""
+WITH {_HEADS}, week_days AS (SELECT DATE '2024-02-11' + i::INTEGER AS day FROM range(7) t(i)),
+dated AS (SELECT *, CAST(start_ts + INTERVAL {b.TZ_HOURS} HOUR AS DATE) AS day FROM heads WHERE NOT hidden),
+per_day AS (SELECT day, count(*) AS events FROM dated GROUP BY day),
+firsts AS (SELECT day, string_agg(title, '|' ORDER BY start_ts, group_key) AS titles FROM
+  (SELECT * FROM dated QUALIFY row_number() OVER (PARTITION BY day ORDER BY start_ts, group_key) <= 5) GROUP BY day)
+SELECT strftime(w.day, '%Y-%m-%d') AS day, coalesce(events, 0) AS events, greatest(0, coalesce(events, 0) - 5) AS more, titles
+FROM week_days w LEFT JOIN per_day USING (day) LEFT JOIN firsts USING (day)""")
+def week_grid(spark, sf):
+    rows = calendar.week_grid(calendar.visible(_heads(spark, sf)), date(2024, 2, 14), b.TZ, shown=5)
+    return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "events", "more", F.array_join("titles", "|").alias("titles"))
+
+
 @query("d19_orders_per_day", """
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS events FROM orders GROUP BY ALL""")
 def orders_per_day(spark, sf):

@@ -198,6 +198,23 @@ def candidates(spark, sf):
     return weblinks.candidate_pages(links)
 
 
+@query("c13_skipped_by_table", """
+WITH h AS (SELECT page_id // 10 AS query_pos, page_id % 10 AS link_pos, split_part(url, '#', 1) AS page_url,
+  regexp_replace(lower(regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages),
+skipped AS (SELECT substr(host, instr(host, '.') + 1) AS host FROM h WHERE query_pos % 3 = 0 AND len(string_split(host, '.')) > 3
+  UNION SELECT host FROM h WHERE link_pos = 4 AND query_pos % 5 = 0),
+k AS (SELECT h.* FROM h WHERE host <> '' AND link_pos < 8 AND NOT EXISTS (SELECT 1 FROM skipped s WHERE h.host = s.host OR ends_with(h.host, '.' || s.host)))
+SELECT page_url, any_value(host) AS host, min(query_pos * 10 + link_pos) // 10 AS query_pos, min(query_pos * 10 + link_pos) % 10 AS link_pos FROM k GROUP BY page_url""")
+def skipped_by_table(spark, sf):
+    p = F.col("page_id")
+    links = b.table(spark, sf, "pages").select(F.floor(p / 10).alias("query_pos"), (p % 10).alias("link_pos"), "url")
+    hosts = links.withColumn("host", text.host_of(F.col("url")))
+    parent = F.substring("host", F.instr("host", ".") + 1, F.length("host"))
+    skipped = hosts.filter((F.col("query_pos") % 3 == 0) & (F.size(F.split("host", r"\.")) > 3)).select(parent.alias("host")).union(
+        hosts.filter("link_pos = 4 AND query_pos % 5 = 0").select("host")).distinct()
+    return weblinks.candidate_pages(links, 8, skipped)
+
+
 @query("h35_social_profiles", """
 WITH l AS (SELECT page_id % 40 AS group_key, page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.facebook.com/Club' || (page_id % 12) || '/posts'
   WHEN 1 THEN 'https://x.com/@team' || (page_id % 9) WHEN 2 THEN 'https://facebook.com/events/' || page_id ELSE url END AS url FROM pages),
@@ -442,6 +459,15 @@ def reports(spark, sf):
     return traffic.snapshot_reports(rows).select("area", "obs_id", "kind", "street", F.col("lengthM").cast("int").alias("lengthM"))
 
 
+@query("e3_snapshot_drivers", f"""
+WITH {b.OBS_SQL} SELECT area, {time_sql('ts')} AS ts, obs_id, round(lat, 6) AS lat, round(lon, 6) AS lon, obs_id % 8 = 0 AS stationary FROM obs WHERE obs_id % 4 = 0""")
+def drivers(spark, sf):
+    seen = b.observations(spark, sf).withColumns({
+        "kind": F.when(F.col("obs_id") % 8 == 0, "stationary").otherwise("moving"), "source": F.when(F.col("obs_id") % 4 == 0, "waze-users").otherwise("waze-jam")})
+    return traffic.snapshot_drivers(seen).select(
+        "area", time_text(F.col("ts")).alias("ts"), "obs_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "stationary")
+
+
 _LINES = """pts AS (SELECT l_orderkey, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS pos,
   -33.46::DOUBLE + (l_partkey * 37 % 900)::DOUBLE / 10000 AS lat, 149.52::DOUBLE + (l_suppkey * 53 % 1200)::DOUBLE / 10000 AS lon FROM lineitem)"""
 
