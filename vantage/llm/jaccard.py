@@ -238,14 +238,15 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = stored(linked(known, first, words, percent))
 
         labels = connected_components(links)
-        named = tiles.join(labels, tiles["id"] == labels["node"], "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
-        mixed = named.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("token")
         # Of a set's prefix only shared tokens can be in another set; the rest of the set may be.
         reach = tiles.groupBy("id").agg((F.count(F.lit(1)) + F.ceil(percent * F.first("n") / 100) - 1).alias("reach"))
-        open_tiles = stored(named.join(mixed, "token").join(reach, "id"))
-        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "last", "label", "reach", "band")]
+        known_of = reach.join(labels, reach["id"] == labels["node"], "left").select("id", "reach", F.coalesce("component", "id").alias("label"))
+        named = tiles.join(known_of, "id")
+        mixed = named.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("token")
+        open_tiles = stored(named.join(mixed, "token"))
+        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "last", "label", "reach")]
         left = open_tiles.select("token", F.col("band").alias("tile"), *side("a"))
-        right = open_tiles.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), *side("b"))
+        right = open_tiles.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), *side("b"), F.col("band").alias("band_b"))
         # The overlap that the pair needs; its first common token stands this early in both.
         need = F.floor((percent * (F.col("n_a") + F.col("n_b")) + 99 + percent) / (100 + percent))
         early = (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
