@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,15 +18,40 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 PATTERNS = {
-    "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", re.A),
-    "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A),
-    "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", re.A),
+    "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", re.A),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)", re.A),
     "ssn": re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)", re.A),
     "ipv4": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", re.A),
     "date": re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-]|\.\d)", re.A),
 }
 
+#: First digits of card issuers, lowest and highest, with the lengths of their numbers.
+ISSUERS = (
+    ("4", "4", (13, 16, 19)),
+    ("51", "55", (16,)),
+    ("2221", "2720", (16,)),
+    ("34", "34", (15,)),
+    ("37", "37", (15,)),
+    ("300", "305", (14,)),
+    ("36", "36", (14,)),
+    ("38", "39", (14,)),
+    ("6011", "6011", (16, 19)),
+    ("644", "659", (16, 19)),
+    ("3528", "3589", (16, 19)),
+    ("62", "62", (16, 17, 18, 19)),
+)
+
+#: Length of a bank account number by its country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SV": 28, "TL": 23, "TN": 24,
+    "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 
 def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size): a balanced Feistel network over enough bits, walked until it is in range."""
@@ -64,12 +90,22 @@ def is_digit(c: str) -> bool:
     return c in "0123456789"
 
 
+def issued(digits: str) -> bool:
+    """Whether an issuer gives out card numbers with these first digits and this length."""
+    return any(len(digits) in sizes and lo <= digits[:len(lo)] <= hi for lo, hi, sizes in ISSUERS)
+
+
 def card(text: str, key: bytes) -> str | None:
+    """Another number with a valid check digit that some issuer gives out."""
     d = digits_of(text)
-    if not 13 <= len(d) <= 19 or luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+    if not issued(d) or luhn(d[:-1]) != int(d[-1]):
         return None
-    body = str(permuted(int(d[:-1]), 10 ** (len(d) - 1), key, "card")).zfill(len(d) - 1)
-    return refilled(text, body + str(luhn(body)), is_digit)
+    n, size = int(d[:-1]), 10 ** (len(d) - 1)
+    while True:  # walking on keeps it a permutation of the valid numbers
+        n = permuted(n, size, key, "card")
+        body = str(n).zfill(len(d) - 1)
+        if issued(body + "0"):
+            return refilled(text, body + str(luhn(body)), is_digit)
 
 
 def iban_rest(code: str) -> int:
@@ -78,7 +114,7 @@ def iban_rest(code: str) -> int:
 
 def iban(text: str, key: bytes) -> str | None:
     code = text.replace(" ", "")
-    if not 15 <= len(code) <= 34 or iban_rest(code) != 1:
+    if len(code) != IBAN_LENGTH.get(code[:2]) or iban_rest(code) != 1:
         return None
     account = code[4:]
     d = digits_of(account)
@@ -163,52 +199,72 @@ PERMUTE: dict[str, Callable[[str, bytes], str | None]] = {
 
 MAYBE = re.compile(r"[0-9@]")
 
-#: Kinds whose pattern may run on into what follows or precedes a value: an expiry date, a code, a currency.
-RUNNING = ("iban", "card")
+#: Where a card number may begin, and its usual layouts; a code of three or four digits may stand behind a dash.
+CARD_START = re.compile(r"(?<![\w.+-])\d{4}(?=[ -]?\d)", re.A)
+CARD_LAYOUTS = [re.compile(layout + r"(?!\w|\.\d|-(?!\d{3,4}(?!\w)))", re.A) for layout in (
+    r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}")]
+FOUR_BEFORE = re.compile(r"(?:\W|^)\d{4}[ -]$", re.A)
+FOUR_BEHIND = re.compile(r"[ -]\d{4}(?!\w)", re.A)
+
+IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?= ?[A-Z0-9])", re.A)
+IBAN_LAYOUT = {n: re.compile(rf"(?:[A-Z0-9]{{{n}}}|[A-Z0-9]{{4}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{f' [A-Z0-9]{{{n % 4}}}' if n % 4 else ''})(?!\w)", re.A)
+               for n in set(IBAN_LENGTH.values())}
 
 
-def pieces(kind: str, m: re.Match) -> Iterator[tuple[int, int]]:
-    """A match, then its shorter parts between separators that have the kind's form: longest first, of equal ones leftmost."""
-    yield m.span()
-    starts = [m.start(), *(i + 1 for i in range(*m.span()) if m.string[i] == " ")]
-    ends = [*(i for i in range(*m.span()) if m.string[i] in " -"), m.end()]
-    for lo, hi in sorted(((lo, hi) for lo in starts for hi in ends if hi > lo), key=lambda x: (x[0] - x[1], x[0])):
-        if (lo, hi) != m.span() and PATTERNS[kind].fullmatch(m.string[lo:hi]):
-            yield lo, hi
+def cards(text: str) -> Iterator[tuple[int, int]]:
+    """Spans laid out like card numbers. In a row of groups of four digits only those at its ends count, so tables of numbers stay."""
+    for m in CARD_START.finditer(text):
+        lo = m.start()
+        inside = FOUR_BEFORE.search(text[max(0, lo - 6):lo])
+        for layout in CARD_LAYOUTS:
+            c = layout.match(text, lo)
+            if c and not (inside and FOUR_BEHIND.match(text, c.end())):
+                yield c.span()
 
 
-def found(kind: str, text: str, taken: list[tuple[str, int, int, str]], key: bytes) -> Iterator[tuple[int, int, str]]:
-    """(start, end, pseudonym) of a running kind's values outside ``taken``; after a match without one the search goes on behind its start."""
-    at = 0
-    while m := PATTERNS[kind].search(text, at):
-        at = m.start() + 1
-        for lo, hi in pieces(kind, m):
-            if all(hi <= a or lo >= z for _, a, z, _ in taken) and (new := PERMUTE[kind](text[lo:hi], key)) is not None:
-                yield lo, hi, new
-                at = hi
-                break
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans with a country's letters and length, unspaced or in groups of four."""
+    for m in IBAN_START.finditer(text):
+        size = IBAN_LENGTH.get(m[0][:2])
+        if size and (c := IBAN_LAYOUT[size].match(text, m.start())):
+            yield c.span()
+
+
+def candidates(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    if kind in PATTERNS:
+        return (m.span() for m in PATTERNS[kind].finditer(text))
+    return cards(text) if kind == "card" else ibans(text)
 
 
 def replacements(text: str | None, key: bytes) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, pseudonym) of validated values, leftmost first; of overlapping ones the first kind listed wins."""
+    """(kind, start, end, pseudonym) of validated values, leftmost first; of overlapping ones the first kind listed wins.
+
+    Time grows in proportion to the text: every candidate is held against its two neighbours among the values found.
+    """
     if not text or not MAYBE.search(text):
         return []
     out: list[tuple[str, int, int, str]] = []
+    starts: list[int] = []
     for kind in KINDS:
-        if kind in RUNNING:
-            out += [(kind, *x) for x in found(kind, text, out, key)]
-            continue
-        for m in PATTERNS[kind].finditer(text):
-            if all(m.end() <= lo or m.start() >= hi for _, lo, hi, _ in out) and (new := PERMUTE[kind](m[0], key)) is not None:
-                out.append((kind, m.start(), m.end(), new))
-    return sorted(out, key=lambda x: x[1])
+        fresh, end = [], 0
+        for lo, hi in candidates(kind, text):
+            i = bisect_left(starts, lo)
+            free = lo >= end and (i == len(starts) or hi <= starts[i]) and (i == 0 or out[i - 1][2] <= lo)
+            if free and (new := PERMUTE[kind](text[lo:hi], key)) is not None:
+                fresh.append((kind, lo, hi, new))
+                end = hi
+        if fresh:
+            out = sorted(out + fresh, key=lambda x: x[1])
+            starts = [x[1] for x in out]
+    return out
 
 
 def pseudonymised(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, spans): every row's whole text with pseudonyms in place, and what was replaced where.
 
     Equal values get equal pseudonyms in every document, so they stay linked; the key alone undoes that. A null text
-    stays null. Offsets count code points of the original text.
+    stays null, repeated rows are replaced alike, other columns are left out. Offsets count code points of the original text.
+    Card numbers need an issuer's first digits and length, account numbers their country's length, besides the check digits.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
