@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+import xxhash
+
 from vantage.llm.suffixes import deduplicated, merged
 
 
@@ -69,6 +72,25 @@ def test_nulls_empty_long_and_repeats(spark):
     assert {(r["n_removed"], r["n_spans"]) for r in deduplicated(twice, length=20, k=8).collect()} == {(brute([(1, "a" * 10 + "bcdefghij" * 3)], 20)[1][1:3])}
 
 
+@pytest.mark.parametrize("part_rows", [150_000, 40])
+def test_equal_ids_with_different_texts(spark, part_rows):
+    rng = random.Random(9)
+    same = "".join(rng.choices("abcdefgh", k=300))
+    rows = [(1, same), (2, "zz" + same), (2, "".join(rng.choices("mnopqrst", k=400))), (3, "yy" + same[:200]), (3, None), (2, None), (None, same)]
+    texts = [t for _, t in made(10, 60)]
+    rows += [(rng.randrange(5, 20), t) for t in texts]
+    rows += rng.choices(rows, k=10)
+    order = {key: n for n, key in enumerate(sorted(
+        {r for r in rows if None not in r}, key=lambda r: (r[0], (xxhash.xxh64_intdigest(r[1], 42) + 2**63) % 2**64)))}
+    plain = brute([(n, r[1]) for r, n in order.items()], 20)
+    untouched = lambda t: (len((t or "").encode()), 0, 0, (t or "").encode())
+    expected = sorted(((r[0] or 0), *(plain[order[r]] if r in order else untouched(r[1]))) for r in rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = deduplicated(frame, length=20, k=8, part_rows=part_rows).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == expected
+    assert (2, 400, 0, 0) in {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got}
+
+
 def test_loser_tree():
     rng = random.Random(7)
     for k in (1, 2, 3, 5, 8):

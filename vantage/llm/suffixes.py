@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.llm.common import mix, pack, powers, prefix_sums, small_batches, stored, text_slices, tree_join
+from vantage.operators.ranking import ordered_positions
 
 LENGTH, ANCHOR = 100, 40
 #: Bits of the filter of repeated anchors (fixed: a fuller one costs speed only), and rows of a partition.
@@ -381,14 +382,24 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]
     return kept, len(text) - len(kept), runs
 
 
-def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR,
-                    part_rows: int = PART_ROWS) -> DataFrame:
-    """(id, lo, hi): byte spans that are covered by strings of ``length`` bytes that start earlier too; spans may overlap.
+def placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text, id): rows with the whole number that orders them; equal rows share it, rows without an id have none.
 
-    Earlier: in a document with a smaller id, or before in the same one. Rows with a null id or text take no part. Rows that
-    repeat an id count as one document at one place: they do not remove each other.
+    It is the id itself unless an id comes with different texts: then all rows are numbered by id, and within an id by the
+    text's hash, so that every text has a place of its own.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = rows.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("mark"))
+    several = marked.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a < b")
+    if several.isEmpty():
+        return rows.withColumn("id", F.col("doc_id"))
+    places = ordered_positions(marked.distinct(), ["doc_id", "mark"], "id")
+    return stored(rows.withColumn("mark", F.xxhash64("text")).join(places, ["doc_id", "mark"], "left").select("doc_id", "text", "id"))
+
+
+def placed_spans(rows: DataFrame, length: int, k: int, part_rows: int) -> DataFrame:
+    """(id, lo, hi) of rows with their place."""
+    rows = rows.filter("id is not null and text is not null").select("id", "text")
     again = stored(repeated(rows, length, k))
     total = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_rows))
@@ -400,11 +411,17 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR,
                  part_rows: int = PART_ROWS) -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, n_spans): every row with the bytes that stay (a null text is empty)."""
+    """(doc_id, kept, n_bytes, n_removed, n_spans): every row without the bytes that strings of ``length`` bytes cover that start earlier too.
+
+    Earlier: in a document with a smaller id, or before in the same one. A null text is empty; rows with a null id keep all.
+    Equal rows are one document at one place: they don't remove each other. Different texts of one id are documents of
+    their own, the one with the smaller hash first.
+    """
+    docs = placed(docs, doc_id, text)
     with small_batches(docs.sparkSession):
-        spans = stored(duplicate_spans(docs, doc_id, text, length, k, part_rows))
+        spans = stored(placed_spans(docs, length, k, part_rows))
     listed = spans.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(listed, "id", "left")
+    rows = docs.join(listed, "id", "left").select("doc_id", "text", "spans")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
