@@ -17,12 +17,22 @@ def plain_ids(text, ends):
 
 
 def plain_licenses(ids):
-    found = []
+    found, left = [], list(ids)
     for name, want in m.RULES:
-        it = iter(ids)
-        if all(w in it for w in want) and name not in found:
+        at = 0
+        while True:
+            places = []
+            for w in want:
+                try:
+                    places.append(left.index(w, places[-1] + 1 if places else at))
+                except ValueError:
+                    break
+            if len(places) < len(want):
+                break
             found.append(name)
-    return found
+            left = [None if i in places else x for i, x in enumerate(left)]
+            at = places[-1] + 1
+    return list(dict.fromkeys(found))
 
 
 MIT = """MIT License
@@ -52,8 +62,9 @@ def test_against_plain_rules(spark):
         if r["doc_id"] is None:
             continue
         lines, blocks = plain_ids(texts[r["doc_id"]], m.LINE_END), plain_ids(texts[r["doc_id"]], m.BLOCK_END)
-        assert r["sentence_ids"] == (blocks if len(blocks) > len(lines) else lines)
-        assert r["licenses"] == list(dict.fromkeys(plain_licenses(lines) + plain_licenses(blocks)))
+        ids = [x for x in dict.fromkeys(lines) if x not in blocks] + blocks
+        assert r["sentence_ids"] == ids
+        assert r["licenses"] == plain_licenses(ids)
     assert {tuple(r["licenses"]) for r in got if r["doc_id"] in (0, 3)} == {("MIT",)}
 
 
@@ -118,11 +129,39 @@ purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies."""
 
 HEADERS = [
-    (MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (BSD2, ["BSD-2-Clause"]), (BSD3, ["BSD-3-Clause", "BSD-2-Clause"]), (ISC, ["ISC"]),
+    (MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (BSD2, ["BSD-2-Clause"]), (BSD3, ["BSD-3-Clause"]), (ISC, ["ISC"]),
     (MPL.format("http"), ["MPL-2.0"]), (MPL.format("https"), ["MPL-2.0"]),
     *[(GPL.format(a, b, v), [f"GPL-{v}.0-or-later"]) for v in (2, 3) for a in ":;" for b in ",;"]]
 
 
+LESSER = GPL.replace("GNU General", "GNU Lesser General").replace("This program is", "This library is")
+AFFERO = GPL.replace("GNU General", "GNU Affero General")
+KERNEL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation."""
+
+HEADERS += [
+    *[(LESSER.format(";", b, v), [f"LGPL-{v if v != '3' else '3.0'}-or-later"]) for v in ("2.1", "3") for b in ",;"],
+    *[(AFFERO.format(":", b, "3"), ["AGPL-3.0-or-later"]) for b in ",;"], (KERNEL, ["GPL-2.0-only"]),
+    (BSD3.replace("copyright holder nor", "University of Somewhere nor"), ["BSD-3-Clause"]),
+    (BSD2 + "\n" + BSD3, ["BSD-3-Clause", "BSD-2-Clause"]), (BSD3 + "\n" + MIT, ["MIT", "BSD-3-Clause"]),
+    ("SPDX-License-Identifier: MIT", ["MIT"]), ("SPDX-License-Identifier: GPL-2.0+", ["GPL-2.0-or-later"]),
+    ("SPDX-License-Identifier: (Apache-2.0 OR MIT) AND BSD-3-Clause", ["Apache-2.0", "BSD-3-Clause", "MIT"]),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Some-exception", ["GPL-2.0-only"]), ("SPDX-License-Identifier: Unknown-1.0", []),
+]
+
+
+def test_copyright_line_directly_above(spark):
+    rows = []
+    for header, want in HEADERS:
+        for line in ("Copyright (c) 2020 A. Person", "© 2019-2021 Some Firm, Inc.", "Copyright 2020 A. Person"):
+            for mark in ("", "# ", " * "):
+                rows.append(("\n".join(f"{mark}{x}".rstrip() for x in f"{line}\n{header}".split("\n")), want))
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    for r in m.licenses(frame).collect():
+        assert r["licenses"] == rows[r["doc_id"]][1], rows[r["doc_id"]][0]
+
+
 def test_standard_headers_plain_and_commented(spark):
     rows = []
     for header, want in HEADERS:

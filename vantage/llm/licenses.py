@@ -103,6 +103,44 @@ RULES = [
     ("Unlicense", ["unlicense-grant"]),
 ]
 
+# The lesser and the Affero licence have notices like those of the general one. Words, name, versions.
+FAMILIES = {"gpl": ("general", "GPL", ("2", "3")), "lgpl": ("lesser general", "LGPL", ("2 1", "3")), "agpl": ("affero general", "AGPL", ("3",))}
+for _key, (_words, _name, _versions) in FAMILIES.items():
+    _terms = f"you can redistribute it and or modify it under the terms of the gnu {_words} public license"
+    _as = "as published by the free software foundation"
+    SENTENCES |= {f"{_terms} {_as}": f"{_key}-terms", f"gnu {_words} public license": f"{_key}-title",
+                  f"see the gnu {_words} public license for more details": f"{_key}-details"}
+    for _v in _versions:
+        _n, _later = _v.replace(" ", ""), f"either version {_v} of the license or at your option any later version"
+        _spdx = f"{_name}-{_v.replace(' ', '.') if ' ' in _v else _v + '.0'}"
+        SENTENCES |= {_later: f"gpl{_n}-later", f"{_terms} {_as} {_later}": f"{_key}{_n}-grant",
+                      **{f"{_terms} {_as} version {_v} of the license{end}": f"{_key}{_n}-only" for end in ("", " only")},
+                      **{f"{_terms} version {_v}{end} {_as}": f"{_key}{_n}-only" for end in ("", " only")},
+                      f"version {_v} of the license": f"gpl{_n}-exactly"}
+        RULES += [(f"{_spdx}-only", [f"{_key}{_n}-only"]), (f"{_spdx}-only", [f"{_key}-terms", f"gpl{_n}-exactly"])]
+        if _key != "gpl":
+            RULES += [(f"{_spdx}-or-later", [f"{_key}{_n}-grant"]), (f"{_spdx}-or-later", [f"{_key}-terms", f"gpl{_n}-later"])]
+SENTENCES |= {k.replace("this program", "this library", 1): v for k, v in SENTENCES.items() if k.startswith("this program is distributed")}
+
+# Names that may stand in a tag line.
+TAGS = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+SENTENCES |= {"spdx " + re.sub(r"[^a-z0-9]+", " ", tag.lower()): f"spdx-{tag}" for tag in TAGS}
+RULES += [(tag, [f"spdx-{tag}"]) for tag in TAGS]
+
+#: A tag line is a sentence for each name in it; a plus behind a version means later ones too.
+TAG_LINE = r"(?i)(?:SPDX-License-Identifier:|\G(?!^)[ \t]+(?:OR|AND)(?=[ \t]))[ \t]*[(]*([\w.-]*\w)(\+?)[)]*"
+
+#: A copyright line stands by itself, also directly above a grant.
+COPYRIGHT_LINE = r"(?mi)^[^\p{L}\p{N}\n]*(?:copyright[ \t]+(?:\([ \t]*c[ \t]*\)|©|\d{4})|(?:\([ \t]*c[ \t]*\)|©)[ \t]*\d{4}).*$"
+
+#: The clause against endorsement names a holder of its own in many texts.
+HOLDER = r"^neither the name of .* nor the names of its contributors"
+
 #: A sentence ends at . ! ? ; or : before white space or the text's end, and at line ends. A line that does not end a
 #: sentence may go on in the next line, so sentences of a paragraph are read both by lines and joined.
 LINE_END = r"[.!?;:]+(?=\s|$)|\n"
@@ -112,12 +150,19 @@ BLOCK_END = r"[.!?;:]+(?=\s|$)|\n[ \t\r]*\n"
 MARKS = r"(?m)^[ \t]*(?:[#%*/;!'\"|<>-]+|(?i:rem|dnl)(?=[ \t\r]|$))[ \t]*"
 
 #: A text without any of these words holds no known sentence; most texts go by.
-MAY = r"licen[sc]e|permission|redistribut|warrant|liable|copyright|public domain|rights|version|mpl"
+MAY = r"licen[sc]e|permission|redistribut|warrant|liable|copyright|public domain|rights|version|mpl|spdx"
 
 
 def normalised(sentence: Column) -> Column:
-    """Lower-case words and numbers with one space between them."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+    """Lower-case words and numbers with one space between them; whoever a clause names is the copyright holder."""
+    words = F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+    return F.regexp_replace(words, HOLDER, "neither the name of the copyright holder nor the names of its contributors")
+
+
+def prepared(text: Column) -> Column:
+    """Text without comment marks, with copyright lines and the names of tag lines as paragraphs of their own."""
+    bare = F.regexp_replace(F.regexp_replace(text, MARKS, ""), COPYRIGHT_LINE, "\n\n$0\n\n")
+    return F.regexp_replace(F.regexp_replace(bare, TAG_LINE, "\n\nspdx $1$2\n\n"), r"(\n\nspdx [\w.-]+)\+", "$1-or-later")
 
 
 def identifiers(text: Column, ends: str = BLOCK_END, sentences: dict[str, str] = SENTENCES) -> Column:
@@ -132,21 +177,35 @@ def identifiers(text: Column, ends: str = BLOCK_END, sentences: dict[str, str] =
 
 
 def matched(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
-    """Licences of the rules whose identifiers occur in order, in the order of the rules, each once."""
+    """Licences of the rules whose identifiers occur in order, in the order of the rules, each once.
+
+    A rule takes the identifiers it matches away, at every place where they occur in order; later rules see what is left.
+    """
+    listed = F.array(*[F.struct(
+        F.lit(name).alias("name"), F.lit("(.*?)".join(f" {re.escape(x)}(?= )" for x in want)).alias("form"),
+        F.lit("".join(f"${i}" for i in range(1, len(want)))).alias("rest")) for name, want in rules])
+
+    def taken(state: Column, rule: Column) -> Column:
+        hit = F.regexp_like(state["line"], rule["form"])
+        return F.struct(F.when(hit, F.regexp_replace(state["line"], rule["form"], rule["rest"])).otherwise(state["line"]).alias("line"),
+                        F.when(hit, F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
+
     line = F.concat(F.lit(" "), F.concat_ws(" ", ids), F.lit(" "))
-    found = [F.when(line.rlike("".join(f" {re.escape(x)}(?= ).*?" for x in want)), F.lit(name)) for name, want in rules]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    nothing = F.array().cast("array<string>")
+    applied = F.aggregate(listed, F.struct(line.alias("line"), nothing.alias("found")), taken, lambda state: F.array_distinct(state["found"]))
+    return F.when(F.size(ids) > 0, applied).otherwise(nothing)
 
 
 def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, licenses): one row per row of ``docs``, from the whole text.
 
-    Sentences are read by lines, and by blocks for those that run over line ends; a rule may match in either reading.
-    Comment marks at line starts are no part of them. Null and empty texts have neither sentences nor licences. Equal rows give equal rows.
+    Sentences are read by blocks, for those that run over line ends, and by lines; those that only lines show come first in
+    ``sentence_ids``, each once. Comment marks at line starts are no part of them. Null and empty texts have neither
+    sentences nor licences. Equal rows give equal rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     may = F.lower("text").rlike(MAY)
-    read = rows.select("doc_id", F.when(may, F.regexp_replace("text", MARKS, "")).alias("text")).select(
+    read = rows.select("doc_id", F.when(may, prepared(F.col("text"))).alias("text")).select(
         "doc_id", identifiers(F.col("text"), LINE_END).alias("lines"), identifiers(F.col("text"), BLOCK_END).alias("blocks"))
-    return read.select("doc_id", F.when(F.size("blocks") > F.size("lines"), F.col("blocks")).otherwise(F.col("lines")).alias("sentence_ids"),
-                       F.array_distinct(F.concat(matched(F.col("lines")), matched(F.col("blocks")))).alias("licenses"))
+    ids = read.select("doc_id", F.concat(F.array_except("lines", "blocks"), "blocks").alias("sentence_ids"))
+    return ids.select("doc_id", "sentence_ids", matched(F.col("sentence_ids")).alias("licenses"))
