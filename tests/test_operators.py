@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.operators import actions, clean, components, dedupe, grid, merge, merged, place, ranking, validate, venue_life, venues, views
+from vantage.operators import actions, clean, components, dedupe, grid, merge, merged, place, ranking, readings, validate, venue_life, venues, views
 from vantage.sources import traffic
 
 UTC = "yyyy-MM-dd HH:mm:ss"
@@ -304,3 +304,28 @@ def test_place_order_ignores_case_and_accents(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(v, "", t) for v in ["Zoo", "école", "Eagle", "", "arena"]], "venue_name string, locality string, start_ts timestamp")
     assert [r.place for r in views.by_place(df).collect()] == ["arena", "Eagle", "école", "Zoo", ""]
+
+
+def test_trailing_baseline_with_ties_and_gaps(spark):
+    rng, t0 = random.Random(4), datetime(2024, 3, 1)
+    rows = [(i, rng.choice("ab"), rng.choice(["x", "x", "x", "y"]), t0 + timedelta(minutes=rng.randrange(90 * 24 * 60) // 7 * 7),
+             rng.choice([None, rng.randrange(101), rng.randrange(20)])) for i in range(1500)]
+    rows += [(5000 + i, "a", "alone", t0 + timedelta(days=d), v) for i, (d, v) in enumerate([(0, 50), (28, 90), (28, 90), (57, 10), (85, 3)])]
+    rows += rows[:50] + [(9000, "a", "x", None, 5)]
+    got = readings.trailing_baseline(spark.createDataFrame(rows, "obs_id long, area string, name string, ts timestamp, live int")).collect()
+    # Hours from the session's own reading of the wall clock: only differences matter here.
+    live = [(a, n, int((t - t0).total_seconds() // 3600), v) for _, a, n, t, v in rows if t is not None and v is not None]
+    first = min(r["hour"] for r in got) - min(h for _, _, h, _ in live)
+    keys = {x[:3] for x in live}
+    assert len(got) == len(keys)
+    for r in got:
+        key = (r["area"], r["name"], r["hour"] - first)
+        now = [v for a, n, h, v in live if (a, n, h) == key]
+        past = [v for a, n, h, v in live if (a, n) == key[:2] and key[2] - 24 * 28 <= h < key[2]]
+        usual = math.floor(sum(past) / len(past) + 0.5) if past else None
+        busy = math.floor(sum(now) / len(now) + 0.5)
+        assert (r["live"], r["samples"], r["usual"], r["usual_samples"]) == (busy, len(now), usual, len(past))
+        assert r["surge"] == bool(past and usual >= 5 and busy >= usual * 1.4 and busy - usual >= 12)
+        assert r["dead"] == bool(past and usual >= 25 and busy <= usual * 0.5)
+    alone = {(r["live"], r["usual"], r["surge"], r["dead"]) for r in got if r["name"] == "alone"}
+    assert alone == {(50, None, False, False), (90, 50, True, False), (10, None, False, False), (3, 10, False, False)}

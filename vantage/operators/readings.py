@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vantage import vocab
 from vantage.functions.astro import computed_once, light_band, with_sun
-from vantage.functions.shoot import best_window, profile_score, verdict
+from vantage.functions.shoot import best_window, is_dead, is_surge, profile_score, verdict
 from vantage.functions.text import mentions
 from vantage.functions.times import half_up, local_date, local_hour, local_weekday, weekday
 from vantage.operators.validate import days, hours
@@ -65,6 +65,28 @@ def hourly_pattern(readings: DataFrame, tz: str) -> DataFrame:
     )
 
 
+def trailing_baseline(readings: DataFrame, days_back: int = 28) -> DataFrame:
+    """Each venue's live busyness by hour beside its own mean of the ``days_back`` days before that hour.
+
+    (area, name, hour, live, samples, usual, usual_samples, surge, dead); ``hour`` counts hours of the epoch. Readings of one
+    hour are one row; hours without readings leave no row and shorten the mean's base, not its span. Without any reading
+    in the span ``usual`` is null and there is neither surge nor slump. Sums per hour are formed before the shuffle, so the
+    window sorts hours of a venue, however many readings they hold.
+    """
+    hourly = (
+        readings.filter(F.col("live").isNotNull() & F.col("ts").isNotNull())
+        .groupBy(*READING_KEY, F.floor(F.unix_seconds("ts") / 3600).alias("hour"))
+        .agg(F.sum("live").alias("_total"), F.count(F.lit(1)).alias("samples"))
+    )
+    before = Window.partitionBy(*READING_KEY).orderBy("hour").rangeBetween(-24 * days_back, -1)
+    rows = hourly.withColumn("_before", F.sum("_total").over(before)).withColumn("usual_samples", F.coalesce(F.sum("samples").over(before), F.lit(0)))
+    rows = rows.select(
+        *READING_KEY, "hour", half_up(F.col("_total") / F.col("samples")).cast("int").alias("live"), "samples",
+        half_up(F.col("_before") / F.nullif("usual_samples", F.lit(0))).cast("int").alias("usual"), "usual_samples")
+    live, usual = F.col("live"), F.col("usual")
+    return rows.withColumns({"surge": is_surge(live, usual), "dead": is_dead(live, usual)})
+
+
 def daily_coverage(readings: DataFrame, venues: DataFrame, tz: str) -> DataFrame:
     """Readings and live readings per weekday, all seven weekdays present for every venue."""
     counted = readings.groupBy(*READING_KEY, local_weekday(F.col("ts"), tz).alias("dow")).agg(

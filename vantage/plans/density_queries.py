@@ -8,7 +8,7 @@ from vantage.functions import geo, shoot, times
 from vantage.operators import grid, readings as rd, venue_life
 from vantage.operators.ranking import sorted_positions
 from vantage.plans import bindings as b
-from vantage.plans.light_sql import label_sql, light_sql, score_sql, sun_sql, surge_sql, why_sql
+from vantage.plans.light_sql import dead_sql, label_sql, light_sql, score_sql, sun_sql, surge_sql, why_sql
 from vantage.plans.registry import query, time_sql, time_text
 from vantage.sources import observations as ob
 from vantage.streaming import jobs
@@ -179,6 +179,20 @@ def folded_hours(spark, sf):
     return jobs.fold_hours(jobs.quarter_sums(_readings(spark, sf)), b.TZ)
 
 
+@query("e17_trailing_baseline", f"""
+WITH {b.OBS_SQL}, hourly AS (
+  SELECT area, name, floor(epoch(ts) / 3600)::BIGINT AS hour, sum(live)::BIGINT AS total, count(*) AS n
+  FROM readings WHERE live IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+beside AS (
+  SELECT h.area, h.name, h.hour, floor(h.total / h.n::DOUBLE + 0.5)::INTEGER AS live, h.n AS samples,
+    floor(sum(g.total) / sum(g.n)::DOUBLE + 0.5)::INTEGER AS usual, coalesce(sum(g.n), 0)::BIGINT AS usual_samples
+  FROM hourly h LEFT JOIN hourly g ON g.area = h.area AND g.name = h.name AND g.hour BETWEEN h.hour - 24 * 28 AND h.hour - 1
+  GROUP BY h.area, h.name, h.hour, h.total, h.n)
+SELECT *, {surge_sql('live', 'usual')} AS surge, {dead_sql('live', 'usual')} AS dead FROM beside""")
+def trailing(spark, sf):
+    return rd.trailing_baseline(_readings(spark, sf))
+
+
 @query("d8_daily_coverage", f"""
 WITH {b.OBS_SQL}, {b.VENUE_SQL}, week AS (SELECT DISTINCT area, cid, name, d AS dow FROM venues, range(7) t(d)),
 counted AS (SELECT area, name, {DOW} AS dow, count(*) AS readings, count(live) AS live FROM readings GROUP BY ALL)
