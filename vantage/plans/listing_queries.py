@@ -175,17 +175,33 @@ def locality(spark, sf):
     return b.listings(spark, sf).select("id", ad.locality_of(F.col("address")).alias("locality"))
 
 
-@query("d6_town_components", f"""
-WITH {LISTING_SQL}, parts AS (
+_TOWNS = f"""parts AS (
   SELECT trim(part) AS part, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM listing,
-    LATERAL (SELECT unnest(string_split(address, ',')) AS part, generate_subscripts(string_split(address, ','), 1) AS pos) u WHERE trim(part) <> '')
+    LATERAL (SELECT unnest(string_split(address, ',')) AS part, generate_subscripts(string_split(address, ','), 1) AS pos) u WHERE trim(part) <> ''),
+towns AS (
 SELECT lower(part) AS part, count(*) AS uses FROM parts WHERE n > 1 AND NOT regexp_matches(part, '[0-9]')
   AND len(regexp_split_to_array(part, '\\s+')) <= 3 AND NOT {_sub(_REGION, 'part')} AND NOT {_sub(_COUNTRY, 'part')}
-GROUP BY lower(part) HAVING count(*) >= 3""")
+GROUP BY lower(part) HAVING count(*) >= 3)"""
+
+
+@query("d6_town_components", f"WITH {LISTING_SQL}, {_TOWNS} SELECT * FROM towns")
 def towns(spark, sf):
     return venues.late_components(b.listings(spark, sf))
 
 
+_AREA_NAMES = ["Bathurst", "Orange NSW", "Blue Mountains, Australia"]
+
+
+@query("d6_locality_words", f"""
+WITH {LISTING_SQL}, {_TOWNS}, names AS (SELECT part FROM towns UNION ALL SELECT unnest({_AREA_NAMES!r})),
+words AS (SELECT DISTINCT unnest(string_split_regex(trim(regexp_replace(lower(part), '[^a-z\\s]', ' ', 'g')), '\\s+')) AS word FROM names
+  WHERE NOT {_sub(_REGION, 'part')} AND NOT {_sub(_COUNTRY, 'part')})
+SELECT word FROM words WHERE len(word) > 2 AND NOT {_sub(_REGION, 'word')} AND NOT {_sub(_COUNTRY, 'word')}
+  AND NOT list_contains({list(vocab.REGION_NAME_WORDS)!r}, word)""")
+def locality_words(spark, sf):
+    return venues.localities(_AREA_NAMES, b.listings(spark, sf))
+
+
 # --- venue spellings ---------------------------------------------------------------------------------
 
 _ADJECTIVES = "(SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part)"
