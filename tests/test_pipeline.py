@@ -238,6 +238,35 @@ def test_structured_events_nested_and_malformed(spark):
     assert (obj.source_id, obj.start_time, obj.venue_name, obj.price_text, obj.category) == ("http://p", "2026-02-02T00:00:00.000Z", "Park", "from 12.5", "https://schema.org/Music")
 
 
+def test_structured_lists_of_any_depth(spark):
+    def inside(x, depth):
+        for _ in range(depth):
+            x = [x]
+        return x
+
+    event = lambda **more: {"@type": "Event", "startDate": "2026-03-01", **more}
+    nodes = [
+        event(name=inside("Nine", 9), url=[[], [["", {"@id": ""}], [{"@id": "u1"}]]], location=inside({"name": "Hall"}, 7)),
+        event(name="no second listing of an id", url="u1"),
+        event(**{"@type": inside("Festival", 5)}, name=["", ["", ["Wide"]], "Later"], url="u2", location=[[], "Not this"]),
+        event(name=inside([], 6), url="u3"), event(name=[None, 4, [True, []]], url="u4"),
+        event(name='Quoted [[["', url='u5 ["[', image=[['["', "x"]]),
+        event(name="not a time", startDate="soon", url="u6"), event(name="a time", url="u6"),
+        event(name=[[f"n{i}"] for i in range(3000)], url="u7"),
+    ]
+    block = lambda x: f'<script type="application/ld+json">{json.dumps(x)}</script>'
+    pages = [("http://a", block(nodes[:4]) + block(nodes[4:])), ("http://b", block([event(name="B", url="u1")])), ("http://c", None), ("http://d", "")]
+    rows = structured.page_events(spark.createDataFrame(pages, "page_url string, html string")).collect()
+    assert {(r.page_url, r.source_id, r.title, r.venue_name, r.image_url) for r in rows} == {
+        ("http://a", "u1", "Nine", "Hall", ""), ("http://a", "u2", "Wide", "", ""), ("http://a", "u5 [\"[", 'Quoted [[["', "", '["'),
+        ("http://a", "u6", "a time", "", ""), ("http://a", "u7", "n0", "", ""), ("http://b", "u1", "B", "", "")}
+
+
+def test_structured_pages_need_no_shuffle(spark):
+    plan = structured.page_events(spark.createDataFrame([("u", "h")], "page_url string, html string"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Python" not in plan.split("== Physical Plan ==")[1]
+
+
 def test_ticket_pages_from_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"_embedded": {"events": [{"id": "1", "name": "N", "dates": {"start": {"localDate": "2026-01-02"}}}, {"id": "2", "name": "M"}]}}))
     (row,) = ticketing.ticketmaster_events(ticketing.read_pages(spark, str(tmp_path), ticketing.TICKETMASTER_SCHEMA.replace("\n", " "))).collect()

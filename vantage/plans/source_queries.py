@@ -167,12 +167,12 @@ def structured_rows(spark, sf):
     page = F.concat(F.lit("https://site"), k % 50, F.lit(".example.org/"), k)
     day = F.date_format("o_orderdate", ISO_DAY)
     sub = F.when(k % 3 == 0, F.concat(
-        F.lit(', "subEvent": [{"@type": ["Thing", "https://schema.org/Event"], "name": ["", "Part of '), k, F.lit('"], "startDate": "'), day,
+        F.lit(', "subEvent": [{"@type": ["Thing", "https://schema.org/Event"], "name": [[[["", {"name": ""}, "Part of '), k, F.lit('"]]], "x"], "startDate": "'), day,
         F.lit('", "location": "Side room"}, {"@type": "Event", "name": "no date"}]'))).otherwise("")
     block = F.concat(
         F.lit('{"@graph": [{"@type": "WebPage", "name": "x"}, {"item": {"@type": "MusicEvent", "name": "Order '), k, F.lit('", "startDate": "'), day,
-        F.lit('", "url": "'), page, F.lit('#main", "location": [{"name": "Hall", "address": {"streetAddress": "1 Road", "addressLocality": "Kelso", '
-              '"addressRegion": "NSW"}, "geo": {"latitude": "-33.4", "longitude": 149.5}}], "offers": [{"price": "'), k % 10,
+        F.lit('", "url": [[], [["'), page, F.lit('#main"]]], "location": [[{"name": "Hall", "address": {"streetAddress": "1 Road", "addressLocality": "Kelso", '
+              '"addressRegion": "NSW"}, "geo": {"latitude": "-33.4", "longitude": 149.5}}], "elsewhere"], "offers": [{"price": "'), k % 10,
         F.lit('"}], "eventAttendanceMode": "'), F.when(k % 2 == 0, "https://schema.org/OnlineEventAttendanceMode").otherwise("x"),
         F.lit('"'), sub, F.lit("}}]};"))
     html = F.concat(F.lit("<html><script>var a=1</script><script type='application/ld+json'>{broken</script>"

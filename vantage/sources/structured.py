@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage import vocab
+from vantage.functions.astro import computed_once
 from vantage.functions.text import trim_all
 from vantage.functions.times import iso, parse_time
 from vantage.operators.validate import Area, inside_any_area
@@ -48,25 +49,52 @@ def _children(node: Column) -> Column:
     return F.coalesce(items, fields)
 
 
+def _opened(v: Column) -> Column:
+    """array<variant>: the items of a list in order, with lists inside it opened at any depth; null for other values.
+
+    A round opens one level. There are at most as many levels as opening brackets, and rounds after the last list is
+    open cost nothing.
+    """
+    text = F.to_json(v)
+    brackets = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))
+    is_list = lambda x: _as_array(x).isNotNull()
+
+    def one_level(state: Column, _: Column) -> Column:
+        items = state["items"]
+        wider = F.flatten(F.transform(items, lambda x: F.coalesce(_as_array(x), F.array(x))))
+        return F.when(~state["more"], state).when(
+            F.exists(items, is_list), F.struct(wider.alias("items"), F.lit(True).alias("more"))
+        ).otherwise(F.struct(items.alias("items"), F.lit(False).alias("more")))
+
+    start = F.struct(_as_array(v).alias("items"), F.lit(True).alias("more"))
+    return F.when(is_list(v), F.aggregate(F.sequence(F.lit(1), brackets), start, one_level, lambda s: s["items"]))
+
+
+def _innermost_first(v: Column) -> Column:
+    """The first item of a list, of its first item where that is a list, and so on; other values as they are."""
+    text = F.to_json(v)
+    brackets = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))
+    first = F.aggregate(
+        F.sequence(F.lit(1), brackets), v, lambda s, _: F.coalesce(F.try_element_at(_as_array(s), F.lit(1)), s))
+    return F.when(_as_array(v).isNotNull(), first).otherwise(v)
+
+
 def _is_event(v: Column) -> Column:
     def known(t: Column) -> Column:
         return F.regexp_replace(t, "^https?://schema\\.org/", "").isin(vocab.STRUCTURED_EVENT_TYPES)
 
     kind = _field(v, "@type")
-    many = F.exists(_as_array(kind), lambda t: F.coalesce(known(_as_string(t)), F.lit(False)))
+    many = F.exists(_opened(kind), lambda t: F.coalesce(known(_as_string(t)), F.lit(False)))
     return F.coalesce(known(_as_string(kind)), many, F.lit(False))
 
 
-def _first_string(v: Column, depth: int = 2) -> Column:
-    """A string, the first string of a list, or the url, name or @id of an object."""
-    own = F.coalesce(_as_string(v), *[_as_string(_field(v, k)) for k in ("url", "name", "@id")])
-    if depth == 0:
-        return own
-    found = F.filter(
-        F.transform(_as_array(v), lambda x: _first_string(x, depth - 1)),
-        lambda s: F.coalesce(s, F.lit("")) != "",
-    )
-    return F.coalesce(own, F.try_element_at(found, F.lit(1)))
+def _first_string(v: Column) -> Column:
+    """A string, the url, name or @id of an object, or the first of these in a list that isn't empty."""
+    def own(x: Column) -> Column:
+        return F.coalesce(_as_string(x), *[_as_string(_field(x, k)) for k in ("url", "name", "@id")])
+
+    found = F.filter(F.transform(_opened(v), own), lambda s: F.coalesce(s, F.lit("")) != "")
+    return F.coalesce(own(v), F.try_element_at(found, F.lit(1)))
 
 
 def _number(v: Column) -> Column:
@@ -75,71 +103,78 @@ def _number(v: Column) -> Column:
 
 
 def structured_nodes(pages: DataFrame) -> DataFrame:
-    """Every event node of (page_url, html): (page_url, block, path, v), in document order of path.
+    """Rows of (page_url, html) with ``_nodes``: array<struct<path, v>> of the event nodes of a page.
 
-    The walk is a chain of row-local projections, one per level, so a page is
-    parsed once and nothing is shuffled.
+    A path begins with the number of its block, so ordered paths are the order of the document. The walk is a chain of
+    row-local projections, one per level: a page is parsed once and nothing is shuffled.
     """
-    blocks = pages.select("page_url", F.posexplode(F.regexp_extract_all("html", F.lit(BLOCK), 1)).alias("block", "text"))
-    text = F.regexp_replace(trim_all(F.col("text")), r";\s*$", "")
-    level = blocks.withColumn("root", F.try_parse_json(text)).filter(F.col("root").isNotNull()).select(
-        "page_url", "block",
-        F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("root").alias("v"))).alias("level0"),
-    )
+    blocks = F.regexp_extract_all("html", F.lit(BLOCK), 1)
+    roots = F.transform(blocks, lambda text, i: F.struct(
+        F.array(i).alias("path"), F.try_parse_json(F.regexp_replace(trim_all(text), r";\s*$", "")).alias("v")))
+    level = pages.select("page_url", F.filter(roots, lambda r: r["v"].isNotNull()).alias("level0"))
     for n in range(1, MAX_DEPTH + 1):
         level = level.withColumn(f"level{n}", F.flatten(F.transform(f"level{n - 1}", _children)))
-    nodes = F.filter(
-        F.concat(*[F.col(f"level{n}") for n in range(MAX_DEPTH + 1)]), lambda n: _is_event(n["v"])
-    )
-    return level.select("page_url", "block", F.explode(nodes).alias("n")).select(
-        "page_url", "block", "n.path", "n.v"
-    )
+    every = F.concat(*[F.col(f"level{n}") for n in range(MAX_DEPTH + 1)])
+    return computed_once(level, _nodes=F.filter(every, lambda n: _is_event(n["v"]))).select("page_url", "_nodes")
+
+
+def _firsts(pages: DataFrame) -> DataFrame:
+    """(page_url, v, title, source_id, start): the named and dated nodes of a page, the first of each id.
+
+    All within the row of the page; no page meets another.
+    """
+    nodes = computed_once(structured_nodes(pages), _order=F.array_sort(
+        F.transform("_nodes", lambda n, i: F.struct(n["path"].alias("path"), i.alias("i")))))
+    node = lambda o: F.get("_nodes", o["i"])["v"]
+    texts = F.transform("_order", lambda o: F.struct(
+        node(o).alias("v"), _first_string(_field(node(o), "name")).alias("title"),
+        F.coalesce(_first_string(_field(node(o), "url")), "page_url").alias("source_id"),
+        _as_string(_field(node(o), "startDate")).alias("start")))
+    dated = F.transform(texts, lambda t: F.struct(
+        t["v"].alias("v"), t["title"].alias("title"), t["source_id"].alias("source_id"), parse_time(t["start"]).alias("start")))
+    valid = computed_once(nodes, _valid=F.filter(
+        dated, lambda e: (F.coalesce(e["title"], F.lit("")) != "") & e["start"].isNotNull()))
+    ranked = computed_once(valid, _ids=F.array_sort(
+        F.transform("_valid", lambda e, i: F.struct(e["source_id"].alias("id"), i.alias("i")))))
+    kept = F.filter("_ids", lambda x, i: (i == 0) | (F.get("_ids", i - 1)["id"] != x["id"]))
+    return ranked.select(
+        "page_url", F.inline(F.transform(kept, lambda x: F.get("_valid", x["i"]))))
 
 
 def page_events(pages: DataFrame) -> DataFrame:
-    """Raw listings of (page_url, html), the first of each id per page."""
+    """Raw listings of (page_url, html), the first of each id per row of ``pages``."""
     v = F.col("v")
-    nodes = structured_nodes(pages).withColumns({
-        "_name": _first_string(_field(v, "name")), "_start_text": _as_string(_field(v, "startDate")),
-        "_end_text": _as_string(_field(v, "endDate")), "_loc_raw": _field(v, "location"),
-        "_offers": _field(v, "offers"),
-    })
-    loc0 = F.coalesce(F.try_element_at(_as_array(F.col("_loc_raw")), F.lit(1)), "_loc_raw")
-    offer = F.coalesce(F.try_element_at(_as_array(F.col("_offers")), F.lit(1)), "_offers")
-    nodes = nodes.withColumns({
-        "_loc": loc0, "_price": _number(_field(offer, "price")), "_start": parse_time(F.col("_start_text")),
-        "_end": parse_time(F.col("_end_text")),
-    }).filter((F.coalesce("_name", F.lit("")) != "") & F.col("_start").isNotNull())
+    offers = _field(v, "offers")
+    # Every value used more than once is an attribute of its own.
+    nodes = computed_once(
+        _firsts(pages), _loc=_innermost_first(_field(v, "location")), _kind=_as_string(_field(v, "@type")),
+        _end=parse_time(_as_string(_field(v, "endDate"))),
+        _price=_number(_field(F.coalesce(F.try_element_at(_as_array(offers), F.lit(1)), offers), "price")),
+    )
     loc = F.col("_loc")
     address = _field(loc, "address")
     parts = F.concat_ws(", ", *[
         _as_string(_field(address, k)) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")
     ])
-    kind = F.coalesce(_as_string(_field(v, "@type")), F.lit("Event"))
-    category = F.regexp_replace(kind, "Event$", "")
+    category = F.regexp_replace(F.coalesce("_kind", F.lit("Event")), "Event$", "")
     mode = F.coalesce(_first_string(_field(v, "eventAttendanceMode")), F.lit(""))
-    url = F.coalesce(_first_string(_field(v, "url")), "page_url")
     price_text = F.when(F.col("_price") == 0, "Free").when(
         F.col("_price").isNotNull(), F.concat(F.lit("from "), number_text(F.col("_price")))
     )
     geo = _field(loc, "geo")
-    events = nodes.select(
-        "page_url", "block", "path", F.lit("websearch").alias("source"), url.alias("source_id"),
-        F.col("_name").alias("title"), F.coalesce(_as_string(_field(v, "description")), F.lit("")).alias("description"),
-        iso(F.col("_start")).alias("start_time"), iso(F.col("_end")).alias("end_time"),
-        F.coalesce(_as_string(loc), _as_string(_field(loc, "name")), F.lit("")).alias("venue_name"),
+    listing = {
+        "source": F.lit("websearch"), "source_id": F.col("source_id"), "title": F.col("title"),
+        "description": F.coalesce(_as_string(_field(v, "description")), F.lit("")),
+        "start_time": iso(F.col("start")), "end_time": iso(F.col("_end")),
+        "venue_name": F.coalesce(_as_string(loc), _as_string(_field(loc, "name")), F.lit("")),
         # Without address fields the joined parts are empty.
-        F.coalesce(_as_string(address), parts, F.lit("")).alias("address"),
-        _number(_field(geo, "latitude")).alias("lat"), _number(_field(geo, "longitude")).alias("lng"),
-        url.alias("url"), F.coalesce(_first_string(_field(v, "image")), F.lit("")).alias("image_url"),
-        F.coalesce(F.when(category != "", category), F.lit("Event")).alias("category"),
-        F.coalesce(price_text, F.lit("")).alias("price_text"),
-        mode.rlike("(?i)OnlineEventAttendanceMode").alias("is_online"),
-    )
-    row = F.struct(*[c for c in RAW_COLUMNS if c != "source_id"])
-    return events.groupBy("page_url", "source_id").agg(
-        F.min_by(row, F.struct("block", "path")).alias("_e")
-    ).select("page_url", "source_id", "_e.*")
+        "address": F.coalesce(_as_string(address), parts, F.lit("")),
+        "lat": _number(_field(geo, "latitude")), "lng": _number(_field(geo, "longitude")),
+        "url": F.col("source_id"), "image_url": F.coalesce(_first_string(_field(v, "image")), F.lit("")),
+        "category": F.coalesce(F.when(category != "", category), F.lit("Event")),
+        "price_text": F.coalesce(price_text, F.lit("")), "is_online": mode.rlike("(?i)OnlineEventAttendanceMode"),
+    }
+    return nodes.select("page_url", "source_id", *[listing[c].alias(c) for c in RAW_COLUMNS if c != "source_id"])
 
 
 def nearby_only(raw: DataFrame, area: Area) -> DataFrame:
