@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import byte_kinds, category_table, mix, pack, text_slices, tree_join, word_hashes, word_spans
+from vantage.llm.common import byte_kinds, category_table, mix, pack, small_batches, text_slices, unpack, word_hashes, word_spans
 
 #: Fixed sizes of the latent space: hashed terms, rows of the two sketches, entries per passage in each, and the rank kept.
 TERMS, BASIS_ROWS, SCALE_ROWS, ENTRIES, RANK = 1 << 14, 72, 160, 4, 64
@@ -104,10 +104,33 @@ def sketches(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                     at = at % BASIS_ROWS if k < ENTRIES else BASIS_ROWS + at % SCALE_ROWS
                     np.add.at(sums, at[own] * TERMS + term, ((r & np.uint64(1)).astype(np.int64) * 2 - 1)[own])
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(np.concatenate((sums, df, [n])))], pa.binary())], ["part"])
+            # One row of the sketches at a time, so that no process holds a second copy of them.
+            parts = [pack(sums[r * TERMS:(r + 1) * TERMS]) for r in range(rows)] + [pack(np.append(df, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(rows + 1), pa.int32()), pa.array(parts, pa.binary())], ["row", "part"])
 
-    total = tree_join(texts.mapInArrow(scan, "part binary"), np.int64, np.add, (rows + 1) * TERMS + 1)
-    return total[:rows * TERMS].reshape(rows, TERMS), total[rows * TERMS:-1], int(total[-1])
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for b in batches:
+            for r, x in zip(b.column(0).to_pylist(), b.column(1)):
+                part = unpack(x.as_py(), np.int64)
+                if r == at:
+                    total += part
+                    continue
+                if at is not None:
+                    yield one(at, total)
+                at, total = r, part.copy()
+        if at is not None:
+            yield one(at, total)
+
+    def one(r: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pack(total)], pa.binary())], ["row", "part"])
+
+    kind = "row int, part binary"
+    sums, last = np.zeros((rows, TERMS), np.int64), np.zeros(TERMS + 1, np.int64)
+    with small_batches(texts.sparkSession):
+        for r, part in texts.mapInArrow(scan, kind).repartition("row").sortWithinPartitions("row").mapInArrow(add_up, kind).collect():
+            (sums[r] if r < rows else last)[:] = unpack(bytes(part), np.int64)
+    return sums, last[:-1], int(last[-1])
 
 
 def embedding(sums: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
