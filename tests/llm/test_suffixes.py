@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
-from vantage.llm.suffixes import deduplicated, merged
+from vantage.llm.suffixes import deduplicated, joined_spans, merged
 
 
 def brute(rows, length):
@@ -56,6 +57,12 @@ def test_hot_anchors_take_the_other_way(spark):
     check(spark, made(2), part_rows=40)
 
 
+def test_hot_anchors_without_a_repeat_in_their_slice(spark):
+    text = "".join(random.Random(3).choices("abcdefgh", k=60))
+    check(spark, [(i, text) for i in (1, 2, 3)], part_rows=1)
+    assert joined_spans(np.zeros(0, np.int64), np.zeros(0, np.int64), 20).shape == (0, 3)
+
+
 def test_default_length(spark):
     rng = random.Random(5)
     base = ["".join(rng.choices("abcdefghij ", k=400)) for _ in range(5)]

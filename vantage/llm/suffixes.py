@@ -312,6 +312,8 @@ def cold_spans(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, parts: int, l
 
 def joined_spans(row: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """(row, from, to) of the unions of windows that start at ``start``; rows come sorted by (row, start)."""
+    if not len(row):
+        return np.zeros((0, 3), np.int64)
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)
     at = np.flatnonzero(new)
