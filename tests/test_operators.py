@@ -329,3 +329,32 @@ def test_trailing_baseline_with_ties_and_gaps(spark):
         assert r["dead"] == bool(past and usual >= 25 and busy <= usual * 0.5)
     alone = {(r["live"], r["usual"], r["surge"], r["dead"]) for r in got if r["name"] == "alone"}
     assert alone == {(50, None, False, False), (90, 50, True, False), (10, None, False, False), (3, 10, False, False)}
+
+
+def test_merges_do_not_multiply_requests_by_listings(spark):
+    ids = [(i, "m1" if i % 2 else "", f"d{i % 7}") for i in range(0, 300_000, 1500)] + [(None, "", "d0"), (3000, "", "d0")]
+    df = merged.with_group(spark.createDataFrame(ids, "id bigint, manual_group string, dedupe_group string"))
+    ask = [(r, g) for r in range(40) for g in ("d0", f"d{r % 7}", f"gone{r}")] + [(90, "gone"), (91, f"d{1}")]
+    got = {r.id: r.manual_group for r in actions.merge_groups(df, spark.createDataFrame(ask, "request_id int, group_key string")).collect()}
+    groups = {}
+    for i, m, d in ids:
+        groups.setdefault(m or d, []).append(i)
+    want, refused = {}, set()
+    for r in sorted({r for r, _ in ask}):
+        rows = [i for g in {g for q, g in ask if q == r} for i in groups.get(g, [])]
+        if len({i for i in rows if i is not None}) < 2:
+            refused.add(r)
+        if len(rows) >= 2:
+            slices = {}
+            for i in rows:
+                slices.setdefault(-1 if i is None else i >> 16, []).append(i)
+            parts = [hashlib.sha1(",".join(str(i) for i in sorted(x for x in v if x is not None)).encode()).hexdigest() for _, v in sorted(slices.items())]
+            want |= {i: "m" + hashlib.sha1(",".join(parts).encode()).hexdigest()[:15] for i in rows}
+    assert got == want
+    found = actions.refused_merges(df, spark.createDataFrame(ask, "request_id int, group_key string"))
+    assert {r.request_id for r in found.collect()} == refused
+    # Nothing that is joined grows with requests times listings: many requests for one large group stay small.
+    many = merged.with_group(spark.range(20_000).selectExpr("id", "'m1' AS manual_group", "'' AS dedupe_group"))
+    every = spark.range(20_000).selectExpr("id AS request_id", "'m1' AS group_key")
+    assert actions.merge_groups(many, every).select("manual_group").distinct().count() == 1
+    assert actions.refused_merges(many, every).count() == 0

@@ -6,10 +6,11 @@ which apply_actions folds into the event table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.operators.merged import group_rows
+from vantage.session import checkpointed
 
 
 def set_flag(events: DataFrame, groups: DataFrame, flag: str, value: bool) -> DataFrame:
@@ -32,31 +33,44 @@ def merge_groups(events: DataFrame, requests: DataFrame) -> DataFrame:
     name is a digest of the ordered slice digests, so no id list grows with the
     group.
     """
-    rows = _requested(events, requests)
-    slices = rows.groupBy("request_id", F.shiftright("id", SLICE_BITS).alias("_slice")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")).alias("_part"),
-    )
+    rows = group_rows(events, requests).select("id", "group_key")
+    asked = _asked(rows, requests, F.sum("_n") >= 2)
+    # A listing named by several requests follows the last one, so a group's last request is the only one that can name it.
+    last = asked.groupBy("group_key").agg(F.max("request_id").alias("request_id"))
+    needed = asked.join(last.select("request_id").distinct(), "request_id", "left_semi")
+    sliced = rows.withColumn("_slice", F.shiftright("id", SLICE_BITS))
+    # Requests that have the same groups in a slice share its digest: each such set is read and digested once.
+    present = needed.join(sliced.select("group_key", "_slice").distinct(), "group_key")
+    sets = checkpointed(present.groupBy("request_id", "_slice").agg(F.array_sort(F.collect_set("group_key")).alias("_set")))
+    once = sets.select(F.col("_slice").alias("_at"), F.col("_set").alias("_groups")).distinct()
+    digests = once.withColumn("group_key", F.explode("_groups")).join(
+        sliced.withColumnRenamed("group_key", "_key"), (F.col("group_key") == F.col("_key")) & F.col("_at").eqNullSafe(F.col("_slice"))
+    ).groupBy("_at", "_groups").agg(
+        F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")).alias("_part"))
+    slices = sets.join(digests, F.col("_slice").eqNullSafe(F.col("_at")) & (F.col("_set") == F.col("_groups")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("_slice", "_part"))), lambda x: x["_part"])
     named = slices.groupBy("request_id").agg(
-        F.sum("_n").alias("_n"), F.concat(F.lit("m"), F.substring(F.sha1(F.array_join(parts, ",")), 1, 15)).alias("manual_group")
-    ).filter(F.col("_n") >= 2).drop("_n")
-    # A listing named by several requests follows the last one.
-    return rows.join(named, "request_id").groupBy("id").agg(
-        F.max_by("manual_group", "request_id").alias("manual_group")
-    )
+        F.concat(F.lit("m"), F.substring(F.sha1(F.array_join(parts, ",")), 1, 15)).alias("manual_group"))
+    return rows.join(last, "group_key").groupBy("id").agg(F.max("request_id").alias("request_id")).join(
+        named, "request_id").select("id", "manual_group")
 
 
 def refused_merges(events: DataFrame, requests: DataFrame) -> DataFrame:
-    found = _requested(events, requests).groupBy("request_id").agg(F.count_distinct("id").alias("_n"))
-    return requests.select("request_id").distinct().join(found, "request_id", "left").filter(
-        F.coalesce("_n", F.lit(0)) < 2
-    ).select("request_id", F.lit("Merging needs at least two distinct events").alias("error"))
+    rows = group_rows(events, requests).select("id", "group_key")
+    enough = _asked(rows, requests, F.min("_min") < F.max("_max")).select("request_id").distinct()
+    return requests.select("request_id").distinct().join(enough, "request_id", "left_anti").select(
+        "request_id", F.lit("Merging needs at least two distinct events").alias("error"))
 
 
-def _requested(events: DataFrame, requests: DataFrame) -> DataFrame:
-    keyed = group_rows(events, requests).select("id", "group_key")
-    return keyed.join(requests.select("request_id", "group_key").distinct(), "group_key")
+def _asked(rows: DataFrame, requests: DataFrame, enough: Column) -> DataFrame:
+    """Distinct (request_id, group_key) of the requests that are large enough.
+
+    The size and the smallest and largest id of every group tell, so no request is multiplied by its listings.
+    """
+    ends = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_min"), F.max("id").alias("_max"))
+    asked = requests.select("request_id", "group_key").distinct()
+    large = asked.join(ends, "group_key").groupBy("request_id").agg(enough.alias("_ok")).filter("_ok").select("request_id")
+    return asked.join(large, "request_id", "left_semi")
 
 
 def unmerge_groups(events: DataFrame, groups: DataFrame) -> DataFrame:
