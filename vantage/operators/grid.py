@@ -101,15 +101,22 @@ def density_by_source(located: DataFrame) -> DataFrame:
 def cell_labels(located: DataFrame) -> DataFrame:
     """(area, r, c, top_name): the label with the single strongest contribution, first one on ties.
 
-    Only the heaviest observation of each label in a cell can win, so the rest
-    go before the kernel is applied.
+    Only the heaviest observations of a cell can win, by the smallest id of each weight, so the rest go before labels
+    are compared and the kernel is applied. Weights a rounding error apart stay: their products may be equal.
     """
-    named = located.filter(F.coalesce(F.col("label"), F.lit("")) != "").filter(F.col("weight") > 0)
-    best = named.select("*", "g.n_rows", "g.n_cols").groupBy(*GRID_COLS, "row", "col", "label").agg(
-        F.min(F.struct((-F.col("weight")).alias("w"), F.col("obs_id"))).alias("_b")
-    ).select(*GRID_COLS, "row", "col", "label", (-F.col("_b.w")).alias("weight"), F.col("_b.obs_id").alias("obs_id"))
+    named = located.filter(F.coalesce(F.col("label"), F.lit("")) != "").filter(F.col("weight") > 0).select("*", "g.n_rows", "g.n_cols")
+    cell = [*GRID_COLS, "row", "col"]
+    # Sums and ends of numbers are hash aggregates, which hold a row per cell and weight; texts would have to be sorted.
+    firsts = named.groupBy(*cell, "weight").agg(
+        F.when(F.bool_or(F.col("obs_id").isNull()), F.lit(None)).otherwise(F.min("obs_id")).alias("obs_id"))
+    tops = firsts.groupBy(*cell).agg(F.max(F.when(~F.isnan("weight"), F.col("weight"))).alias("_top"))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}")) for c in cell]
+    heavy = firsts.alias("f").join(tops.alias("t"), same).filter(
+        F.col("_top").isNull() | (F.col("_top") < 1e-290) | (F.col("weight") >= F.col("_top") * (1 - 1e-12))).select("f.*")
+    best = named.alias("n").join(
+        heavy.alias("h"), [F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*cell, "weight", "obs_id"]], "left_semi")
     return (
-        _smear(best).groupBy("area", "r", "c")
+        _smear(best.select(*cell, "label", "weight", "obs_id")).groupBy("area", "r", "c")
         .agg(F.min_by("label", F.struct(-(F.col("weight") * F.col("factor")), F.col("obs_id"))).alias("top_name"))
     )
 
