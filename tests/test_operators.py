@@ -358,3 +358,29 @@ def test_merges_do_not_multiply_requests_by_listings(spark):
     every = spark.range(20_000).selectExpr("id AS request_id", "'m1' AS group_key")
     assert actions.merge_groups(many, every).select("manual_group").distinct().count() == 1
     assert actions.refused_merges(many, every).count() == 0
+
+
+def test_points_per_area_counts_pairs_without_listing_them(spark):
+    points = spark.createDataFrame([(i, None if i % 9 == 0 else -33.4 + (i % 5) / 100, 149.5 + (i % 3) / 100) for i in range(200)], "id long, lat double, lng double")
+    areas = spark.createDataFrame([(f"a{i % 30}" if i % 11 else None, -33.4 + (i % 4) / 100, 149.5, (i % 3) / 1.0) for i in range(60)],
+                                  "name string, lat double, lng double, radius_km double")
+    want = {r["area"]: r["count"] for r in validate.areas_within(points, areas, "id", bin_deg=0.01).groupBy("area").count().collect()}
+    assert {r["area"]: r["n"] for r in validate.points_per_area(points, areas, bin_deg=0.01).collect()} == want
+    # As many pairs as rows squared, yet one position and one circle.
+    many = spark.range(50_000).selectExpr("id", "-33.4D AS lat", "149.5D AS lng")
+    same = spark.range(50_000).selectExpr("CAST(id AS STRING) AS name", "-33.4D AS lat", "149.5D AS lng", "1D AS radius_km")
+    assert validate.points_per_area(many, same, bin_deg=0.01).filter("n = 50000").count() == 50_000
+
+
+def test_events_per_venue_counts_pairs_without_listing_them(spark):
+    events = spark.createDataFrame([
+        (f"g{i}", i % 7 == 0, ["", "Hall", "HALL", "Pub", None][i % 5], None if i % 4 == 0 else -33.4 + (i % 3) / 1000, 149.5) for i in range(120)],
+        "group_key string, hidden boolean, venue_name string, lat double, lng double")
+    venues = spark.createDataFrame([
+        (f"area-{i % 2}", str(i % 6), ["hall", "Pub", "Bar", None][i % 4], -33.4 + (i % 5) / 1000 if i % 8 else None, 149.5) for i in range(24)],
+        "area string, cid string, name string, lat double, lon double")
+    want = {r["cid"]: r["count"] for r in views.events_at_venues(events, venues).groupBy("cid").count().collect()}
+    assert want and {r["cid"]: r["events"] for r in views.events_per_venue(events, venues).collect()} == want
+    many = spark.range(50_000).selectExpr("CAST(id AS STRING) AS group_key", "false AS hidden", "'Hall' AS venue_name", "-33.4D AS lat", "149.5D AS lng")
+    same = spark.range(50_000).selectExpr("'area-0' AS area", "CAST(id AS STRING) AS cid", "'hall' AS name", "-33.4D AS lat", "149.5D AS lon")
+    assert views.events_per_venue(many, same).filter("events = 50000").count() == 50_000

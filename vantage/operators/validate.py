@@ -119,6 +119,19 @@ def areas_within(points: DataFrame, areas: DataFrame, id_col: str, slack: float
     return placed.join(covered, ["_lat_bin", "_lon_bin"]).filter(near).select(id_col, "area")
 
 
+def points_per_area(points: DataFrame, areas: DataFrame, slack: float = RADIUS_SLACK, bin_deg: float = 0.5) -> DataFrame:
+    """(area, n): how many points areas_within gives each area name that has any.
+
+    Points at one position lie in the same circles, and equal circles hold the same points, so only one of each takes
+    part and counts are added up behind the pairs.
+    """
+    spots = points.groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("_n")).select(F.struct("lat", "lng", "_n").alias("_spot"), "lat", "lng")
+    named = areas.select(F.col("name").alias("area"), F.struct("lat", "lng", "radius_km").alias("_circle"))
+    circles = named.select("_circle").distinct().select(F.col("_circle").alias("name"), "_circle.*")
+    sums = areas_within(spots, circles, "_spot", slack, bin_deg).groupBy(F.col("area").alias("_at")).agg(F.sum("_spot._n").alias("_n"))
+    return named.join(sums, F.col("_circle") == F.col("_at")).groupBy("area").agg(F.sum("_n").alias("n"))
+
+
 def split_valid(raw: DataFrame, as_of: Column, areas: list[Area]) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, rejected rows with a reason)."""
     checked = check_location(check_dates(raw, as_of), areas)

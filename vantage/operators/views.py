@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.address import place_label
@@ -144,6 +144,28 @@ def events_at_venues(events: DataFrame, venues: DataFrame) -> DataFrame:
     return named.unionByName(near).distinct()
 
 
+def events_per_venue(events: DataFrame, venues: DataFrame) -> DataFrame:
+    """(cid, events): how many events events_at_venues gives each; ``events`` has one row per group_key.
+
+    Events of one name and position meet the same venues, and venues of one name and position the same events, so only
+    one of each kind takes part and counts are added up behind the pairs.
+    """
+    kinds = events.filter(~F.col("hidden")).groupBy(F.lower("venue_name").alias("venue_name"), "lat", "lng").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = kinds.select(F.struct("venue_name", "lat", "lng", "_n").alias("group_key"), F.lit(False).alias("hidden"), "venue_name", "lat", "lng")
+    members = venues.select("area", "cid", F.struct(F.lower("name").alias("name"), "lat", "lon").alias("_site")).distinct()
+    sites = members.select("_site").distinct().select(
+        F.lit("").alias("area"), F.col("_site").alias("cid"), "_site.name", "_site.lat", "_site.lon")
+    pairs = events_at_venues(kinds, sites).select("group_key", F.col("cid").alias("_at"))
+    one = Window.partitionBy("area", "cid")
+    members = members.withColumn("_several", F.count(F.lit(1)).over(one) > 1)
+    sums = pairs.groupBy("_at").agg(F.sum("group_key._n").alias("_n"))
+    at = F.col("_site") == F.col("_at")
+    single = members.filter(~F.col("_several")).join(sums, at).select("cid", "_n")
+    # A venue listed under several names or positions meets an event once.
+    several = members.filter("_several").join(pairs, at).select("area", "cid", "group_key").distinct().select("cid", "group_key._n")
+    return single.unionByName(several).groupBy("cid").agg(F.sum("_n").alias("events"))
+
+
 def event_links(heads: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct URLs per group: source links first, then those in the description.
 

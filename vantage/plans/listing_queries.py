@@ -352,8 +352,7 @@ def areas_within(spark, sf):
     circles = b.table(spark, sf, "customer").selectExpr(
         "c_name AS name", "CAST(-33.46D + (c_custkey * 37 % 900) / 10000D AS DOUBLE) AS lat",
         "CAST(149.52D + (c_custkey * 53 % 1200) / 10000D AS DOUBLE) AS lng", "(c_custkey % 10) / 20D AS radius_km")
-    found = validate.areas_within(b.listings(spark, sf), circles, "id", bin_deg=0.01)
-    return found.groupBy("area").agg(F.count(F.lit(1)).alias("listings"))
+    return validate.points_per_area(b.listings(spark, sf), circles, bin_deg=0.01).withColumnRenamed("n", "listings")
 
 
 @query("d23_dropped_by_reason", f"""
@@ -728,8 +727,7 @@ SELECT v.cid, count(*) AS events FROM heads h JOIN venues v ON NOT h.hidden AND
   (h.venue_name <> '' AND lower(h.venue_name) = lower(v.name)) OR (abs(h.lat - v.lat) < 0.0012::DOUBLE AND abs(h.lng - v.lon) < 0.0012::DOUBLE))
 GROUP BY v.cid""")
 def at_venues(spark, sf):
-    found = views.events_at_venues(_heads(spark, sf), b.venues(spark, sf))
-    return found.groupBy("cid").agg(F.count(F.lit(1)).alias("events"))
+    return views.events_per_venue(_heads(spark, sf), b.venues(spark, sf))
 
 
 @query("h34_links", f"""
