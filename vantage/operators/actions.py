@@ -33,7 +33,7 @@ def merge_groups(events: DataFrame, requests: DataFrame) -> DataFrame:
     name is a digest of the ordered slice digests, so no id list grows with the
     group.
     """
-    rows = group_rows(events, requests).select("id", "group_key")
+    requests, rows = _stored(events, requests)
     asked = _asked(rows, requests, F.sum("_n") >= 2)
     # A listing named by several requests follows the last one, so a group's last request is the only one that can name it.
     last = asked.groupBy("group_key").agg(F.max("request_id").alias("request_id"))
@@ -56,21 +56,26 @@ def merge_groups(events: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def refused_merges(events: DataFrame, requests: DataFrame) -> DataFrame:
-    rows = group_rows(events, requests).select("id", "group_key")
+    requests, rows = _stored(events, requests)
     enough = _asked(rows, requests, F.min("_min") < F.max("_max")).select("request_id").distinct()
     return requests.select("request_id").distinct().join(enough, "request_id", "left_anti").select(
         "request_id", F.lit("Merging needs at least two distinct events").alias("error"))
 
 
+def _stored(events: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct requests, (id, group_key) of the listings behind them): used several times, so events are read once for each."""
+    requests = checkpointed(requests.select("request_id", "group_key").distinct())
+    return requests, checkpointed(group_rows(events, requests).select("id", "group_key"))
+
+
 def _asked(rows: DataFrame, requests: DataFrame, enough: Column) -> DataFrame:
     """Distinct (request_id, group_key) of the requests that are large enough.
 
     The size and the smallest and largest id of every group tell, so no request is multiplied by its listings.
     """
     ends = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_min"), F.max("id").alias("_max"))
-    asked = requests.select("request_id", "group_key").distinct()
-    large = asked.join(ends, "group_key").groupBy("request_id").agg(enough.alias("_ok")).filter("_ok").select("request_id")
-    return asked.join(large, "request_id", "left_semi")
+    large = requests.join(ends, "group_key").groupBy("request_id").agg(enough.alias("_ok")).filter("_ok").select("request_id")
+    return requests.join(large, "request_id", "left_semi")
 
 
 def unmerge_groups(events: DataFrame, groups: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from vantage.functions.shoot import ramp_colour
 from vantage.functions.text import slug
 from vantage.functions.times import half_up, iso
 from vantage.operators.ranking import nearest_rank
-
+from vantage.session import checkpointed
 
 
 def area_dimension(settings: DataFrame, cell_metres: float = 150.0, kernel_metres: float = 300.0,
@@ -104,8 +104,9 @@ def cell_labels(located: DataFrame) -> DataFrame:
     Only the heaviest observations of a cell can win, by the smallest id of each weight, so the rest go before labels
     are compared and the kernel is applied. Weights a rounding error apart stay: their products may be equal.
     """
-    named = located.filter(F.coalesce(F.col("label"), F.lit("")) != "").filter(F.col("weight") > 0).select("*", "g.n_rows", "g.n_cols")
     cell = [*GRID_COLS, "row", "col"]
+    named = located.filter(F.coalesce(F.col("label"), F.lit("")) != "").filter(F.col("weight") > 0)
+    named = checkpointed(named.select("*", "g.n_rows", "g.n_cols").select(*cell, "label", "weight", "obs_id"))
     # Sums and ends of numbers are hash aggregates, which hold a row per cell and weight; texts would have to be sorted.
     firsts = named.groupBy(*cell, "weight").agg(
         F.when(F.bool_or(F.col("obs_id").isNull()), F.lit(None)).otherwise(F.min("obs_id")).alias("obs_id"))
