@@ -384,3 +384,22 @@ def test_events_per_venue_counts_pairs_without_listing_them(spark):
     many = spark.range(50_000).selectExpr("CAST(id AS STRING) AS group_key", "false AS hidden", "'Hall' AS venue_name", "-33.4D AS lat", "149.5D AS lng")
     same = spark.range(50_000).selectExpr("'area-0' AS area", "CAST(id AS STRING) AS cid", "'hall' AS name", "-33.4D AS lat", "149.5D AS lon")
     assert views.events_per_venue(many, same).filter("events = 50000").count() == 50_000
+
+
+def test_cell_labels_only_compare_the_heaviest_weights(spark):
+    rng = random.Random(4)
+    rows = [("a", i, rng.choice([None, "", "x", "y", f"z{i}"]), rng.choice([0.0, 0.25, 0.5, 0.5, 1.0]), rng.randrange(5), rng.randrange(5)) for i in range(300)]
+    located = spark.createDataFrame(rows, "area string, obs_id long, label string, weight double, row long, col long").selectExpr(
+        "*", "150D AS cell_metres", "300D AS kernel_metres", "named_struct('n_rows', 5L, 'n_cols', 5L) AS g")
+    want = {}
+    for r in range(5):
+        for c in range(5):
+            hits = []
+            for _, i, label, w, y, x in rows:
+                far = math.hypot(r - y, c - x) * 150
+                if label and w > 0 and far <= 300:
+                    hits.append((-w * math.exp(-far * far / (2 * 100 * 100)), i, label))
+            want[r, c] = min(hits)[2]
+    assert {(x.r, x.c): x.top_name for x in grid.cell_labels(located).collect()} == want
+    # Labels join what numbers alone have chosen, ahead of the kernel.
+    assert "LeftSemi" in grid.cell_labels(located)._jdf.queryExecution().toString()
