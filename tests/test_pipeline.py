@@ -267,6 +267,24 @@ def test_structured_pages_need_no_shuffle(spark):
     assert "Exchange" not in plan and "Python" not in plan.split("== Physical Plan ==")[1]
 
 
+def test_structured_blocks_of_odd_spelling(spark):
+    event = '{"@type": "%s", "name": "%s", "startDate": "2026-03-01", "url": "%s"}'
+    block = lambda x: f'<script type="application/ld+json">{x}</script>'
+    html = "".join(map(block, [
+        "\u00a0\ufeff" + event % ("Event", "Spaced", "u1") + " ;\u2003\n", event % (r"\u0045vent", "Escaped", "u2"), event % ("Festival", "Fest", "u3") + ";;",
+        event % ("WebPage", "No event", "u4"), event % ("NoEvent", "Unknown type", "u5"), '"Event"', '["Event", 3, null, {"@type": null}]', "", ";",
+        '{"subEvent": null, "item": [[%s], {"@graph": %s}]}' % (event % ("Event", "In lists", "u6"), event % ("Event", "In graph", "u7"))]))
+    rows = structured.page_events(spark.createDataFrame([("http://a", html)], "page_url string, html string")).collect()
+    assert [(r.source_id, r.title) for r in rows] == [("u1", "Spaced"), ("u2", "Escaped"), ("u3", "Fest"), ("u6", "In lists"), ("u7", "In graph")]
+
+
+def test_structured_nodes_are_read_once(spark):
+    """A node is opened by one read of its items and one of its fields, not by a read of each field it may have."""
+    plan = structured.structured_nodes(spark.createDataFrame([("u", "h")], "page_url string, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    walk = plan.split("inline(")[1].split("Project", 1)[1]
+    assert walk.count("try_variant_get(") <= 2 * (structured.MAX_DEPTH + 1)
+
+
 def test_ticket_pages_from_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"_embedded": {"events": [{"id": "1", "name": "N", "dates": {"start": {"localDate": "2026-01-02"}}}, {"id": "2", "name": "M"}]}}))
     (row,) = ticketing.ticketmaster_events(ticketing.read_pages(spark, str(tmp_path), ticketing.TICKETMASTER_SCHEMA.replace("\n", " "))).collect()
