@@ -164,3 +164,8 @@ def test_long_text_and_item(spark):
     docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(reversed(long)))], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(long[30_000:30_040])), (2, " ".join(f"w{rng.randrange(5000)}" for _ in range(8_000)))], "item_id long, text string")
     assert pairs(d.leaks(docs, items)) == {(1, 1)}
+
+
+def test_passages_share_what_their_item_has():
+    own = d.passages(1, " ".join(f"w{k}" for k in range(200)) + ". " + " ".join(f"end{k}" for k in range(30)))
+    assert len(own) > 40 and len({id(p.answer_masks) for p in own}) == 1 and own[0].answer_masks == d.masks(own[0].answer)

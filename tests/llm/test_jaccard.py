@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+
+from vantage.llm.common import PIECE, PIECES, joined, pieces
 from vantage.llm.jaccard import similar_classes
 
 
@@ -75,3 +78,31 @@ def test_empty_table_extra_columns_and_repeats(spark):
     rows = [(1, "a b c d e f", 7, "x"), (1, "a b c d e f", 7, "x"), (None, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y")]
     got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string, n long, digest string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(["(1, 2, 1)", "(1, 2, 1)", "(None, 2, None)", "(2, 2, 1)"])
+
+
+def test_no_worker_but_arrow(spark, monkeypatch):
+    """Sketches are joined without RDD functions, whose workers would stand beside those of the Arrow functions."""
+    from pyspark.core.rdd import RDD
+
+    def refused(*_, **__):
+        raise AssertionError("an RDD function was used")
+
+    monkeypatch.setattr(RDD, "treeAggregate", refused)
+    rows = made(3, 60)
+    out = similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows)
+
+
+def test_joined_pieces(spark):
+    rng = np.random.default_rng(5)
+    arrays = [rng.integers(0, 9, 3 * PIECE + 7) for _ in range(9)]
+    rows = spark.createDataFrame([(k,) for k in range(len(arrays))], "k int").repartition(4)
+
+    def made_pieces(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                yield pieces(arrays[k])
+
+    found = joined(rows.mapInArrow(made_pieces, PIECES), np.int64, np.add, 3 * PIECE + 7)
+    assert (found == sum(arrays)).all()
+    assert not joined(rows.limit(0).mapInArrow(made_pieces, PIECES), np.int64, np.add, 5).any()

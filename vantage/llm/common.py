@@ -86,6 +86,46 @@ def tree_join(rows: DataFrame, dtype: type, join: Callable[[np.ndarray, np.ndarr
     return np.zeros(size, dtype) if total is None else unpack(total, dtype)
 
 
+#: Entries of a piece of an array that ``joined`` puts together.
+PIECE = 1 << 16
+PIECES = "piece int, part binary"
+
+
+def pieces(a: np.ndarray) -> pa.RecordBatch:
+    """An array as numbered packed pieces, rows of ``PIECES``."""
+    parts = [pack(a[i:i + PIECE]) for i in range(0, len(a), PIECE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["piece", "part"])
+
+
+def joined(rows: DataFrame, dtype: type, join: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Arrays of one fixed size, given as ``pieces``, joined entry by entry; one array reaches the driver.
+
+    A piece is joined where all of its number meet, one after another: no process holds two whole arrays, and none but
+    the workers of ``mapInArrow`` are started. Without rows the result is all zeros.
+    """
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                part = unpack(x.as_py(), dtype)
+                if k == at:
+                    total = join(total, part)
+                    continue
+                if at is not None:
+                    yield one(at, total)
+                at, total = k, part
+        if at is not None:
+            yield one(at, total)
+
+    def one(k: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(total)], pa.binary())], ["piece", "part"])
+
+    out = np.zeros(size, dtype)
+    for k, part in rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(meet, PIECES).collect():
+        out[k * PIECE:(k + 1) * PIECE] = unpack(bytes(part), dtype)
+    return out
+
+
 def beside(df: DataFrame, most: int = 10_000) -> DataFrame:
     """``df`` marked for broadcast if it is counted to have at most ``most`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -83,7 +83,7 @@ def sketches(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     rows = BASIS_ROWS + SCALE_ROWS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, df, n = np.zeros(rows * TERMS, np.int64), np.zeros(TERMS, np.int64), 0
+        sums, df, n = np.zeros(rows * TERMS, np.int32), np.zeros(TERMS, np.int64), 0
         for b in batches:
             for _, _, data, off in text_slices(b, "text", lower=True):
                 h, first = hashed_words(data, off)
@@ -104,8 +104,9 @@ def sketches(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                     at = at % BASIS_ROWS if k < ENTRIES else BASIS_ROWS + at % SCALE_ROWS
                     np.add.at(sums, at[own] * TERMS + term, ((r & np.uint64(1)).astype(np.int64) * 2 - 1)[own])
         if n:
-            # One row of the sketches at a time, so that no process holds a second copy of them.
-            parts = [pack(sums[r * TERMS:(r + 1) * TERMS]) for r in range(rows)] + [pack(np.append(df, n))]
+            # One row of the sketches at a time, so that no process holds a second copy of them. A task's own sums, at
+            # most one a passage, are 32-bit; all further ones are 64-bit.
+            parts = [pack(sums[r * TERMS:(r + 1) * TERMS].astype(np.int64)) for r in range(rows)] + [pack(np.append(df, n))]
             yield pa.RecordBatch.from_arrays([pa.array(range(rows + 1), pa.int32()), pa.array(parts, pa.binary())], ["row", "part"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,8 @@ def passages(item: int, text: str | None) -> list[Passage]:
     sentences = [s for s in re.split(r"[.!?\n]+", text or "") if text_words(s)]
     answer = words[-max(5, len(text_words(sentences[-1]))):]
     starts = [*range(0, max(1, len(words) - PASSAGE), GRID), max(0, len(words) - PASSAGE)]
-    return [Passage(item, w := words[i:i + PASSAGE], answer, masks(w), masks(answer)) for i in dict.fromkeys(starts)]
+    answer_masks = masks(answer)  # one for all passages of the item
+    return [Passage(item, w := words[i:i + PASSAGE], answer, masks(w), answer_masks) for i in dict.fromkeys(starts)]
 
 
 def window_steps(size: int) -> int:

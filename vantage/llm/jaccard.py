@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.llm.common import BASE, LOWER, mix, pack, small_batches, stored, text_slices, tree_join, word_hashes, word_spans
+from vantage.llm.common import BASE, LOWER, PIECES, joined, mix, pack, pieces, small_batches, stored, text_slices, unpack, word_hashes, word_spans
 from vantage.operators.components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -98,7 +98,12 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def rarity(rows: DataFrame) -> np.ndarray:
     """Class of each sketch slot: the binary logarithm of its count over all documents."""
-    counts = tree_join(rows.filter("sketch is not null").select("sketch"), np.int64, np.add, SKETCH)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pieces(unpack(x.as_py(), np.int64))
+
+    counts = joined(rows.filter("sketch is not null").select("sketch").mapInArrow(split, PIECES), np.int64, np.add, SKETCH)
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
@@ -163,13 +168,15 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
     The arrays are made again from the texts of documents that pass a filter of the ids on that side of ``pairs``.
     """
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((2, FILTER_BITS), bool)
+        out, some = np.zeros((2, FILTER_BITS), bool), False
         for b in batches:
+            some |= b.num_rows > 0
             for c in range(2):
                 out[c, _filter_slots(b.column(c).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([pack(np.packbits(out))], pa.binary())], ["bits"])
+        if some:
+            yield pieces(np.packbits(out))
 
-    wanted = tree_join(pairs.select("a", "b").mapInArrow(bits, "bits binary"), np.uint8, np.bitwise_or, FILTER_BITS // 4).reshape(2, -1)
+    wanted = joined(pairs.select("a", "b").mapInArrow(bits, PIECES), np.uint8, np.bitwise_or, FILTER_BITS // 4).reshape(2, -1)
 
     def arrays(side: int) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(wanted[side])
