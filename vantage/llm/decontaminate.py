@@ -74,6 +74,28 @@ def terms(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) % TERMS
 
 
+def add_passages(sums: np.ndarray, df: np.ndarray, h: np.ndarray, first: np.ndarray) -> int:
+    """Add the passages of some texts to both sketches, one below the other and flat, and to ``df``; how many they are."""
+    if not len(h):
+        return 0
+    starts = np.flatnonzero((np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))) % PASSAGE == 0)
+    passage = np.zeros(len(h), np.int64)
+    passage[starts] = 1
+    seen = np.sort((np.cumsum(passage) - 1) * TERMS + terms(h))
+    seen = seen[np.concatenate(([True], seen[1:] != seen[:-1]))]
+    own, term = seen // TERMS, seen % TERMS
+    df += np.bincount(term, minlength=TERMS)
+    key = np.bitwise_xor.reduceat(h, starts)
+    for k in range(2 * ENTRIES):
+        r = mix(key + np.uint64(k + 1))
+        at = (r >> np.uint64(8)).astype(np.int64)
+        at = at % BASIS_ROWS if k < ENTRIES else BASIS_ROWS + at % SCALE_ROWS
+        # Signs have the type of the sums: add.at converts others entry by entry, which takes fifteen times as long.
+        sign = (r & np.uint64(1)).astype(sums.dtype) * 2 - 1
+        np.add.at(sums, at[own] * TERMS + term, sign[own])
+    return len(starts)
+
+
 def sketches(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Sketches of the passage matrix (terms present, unweighted), passages per term, and passages, over all ``texts``.
 
@@ -86,23 +108,7 @@ def sketches(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         sums, df, n = np.zeros(rows * TERMS, np.int32), np.zeros(TERMS, np.int64), 0
         for b in batches:
             for _, _, data, off in text_slices(b, "text", lower=True):
-                h, first = hashed_words(data, off)
-                if not len(h):
-                    continue
-                starts = np.flatnonzero((np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))) % PASSAGE == 0)
-                passage = np.zeros(len(h), np.int64)
-                passage[starts] = 1
-                seen = np.sort((np.cumsum(passage) - 1) * TERMS + terms(h))
-                seen = seen[np.concatenate(([True], seen[1:] != seen[:-1]))]
-                own, term = seen // TERMS, seen % TERMS
-                df += np.bincount(term, minlength=TERMS)
-                n += len(starts)
-                key = np.bitwise_xor.reduceat(h, starts)
-                for k in range(2 * ENTRIES):
-                    r = mix(key + np.uint64(k + 1))
-                    at = (r >> np.uint64(8)).astype(np.int64)
-                    at = at % BASIS_ROWS if k < ENTRIES else BASIS_ROWS + at % SCALE_ROWS
-                    np.add.at(sums, at[own] * TERMS + term, ((r & np.uint64(1)).astype(np.int64) * 2 - 1)[own])
+                n += add_passages(sums, df, *hashed_words(data, off))
         if n:
             # One row of the sketches at a time, so that no process holds a second copy of them. A task's own sums, at
             # most one a passage, are 32-bit; all further ones are 64-bit.
